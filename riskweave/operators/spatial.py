@@ -78,7 +78,7 @@ def nearest_k(entities: DataFrame, trace: DataFrame, max_km: float, k: int, orde
     """
     paired = entities.crossJoin(F.broadcast(trace.select("segment")))
     d = polyline_distance(paired, trace, max_km=max_km)
-    w = Window.partitionBy("segment").orderBy("dist_km", order_tie)
+    w = Window.partitionBy("segment").orderBy(F.round("dist_km", 6), order_tie)
     return d.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 

@@ -169,6 +169,12 @@ def trailing_slope(frame: DataFrame, keys, day: str, source: str, out: str, widt
     order = Window.partitionBy(*keys).orderBy(day)
     i = F.row_number().over(order).cast("double")
     base = frame.withColumn("__i", i)
+    if width <= 64:
+        # narrow frames: the direct aggregate is as fast and keeps all digits
+        past = order.rowsBetween(-width, -1)
+        fit = F.regr_slope(F.col(source).cast("double"), F.col("__i")).over(past)
+        ok = (F.col("__i") > width) & (F.count(source).over(past) > width * min_share)
+        return base.withColumn(out, F.when(ok, fit * scale)).drop("__i")
     y, x = F.col(source).cast("double"), F.when(F.col(source).isNotNull(), F.col("__i"))
     base = base.withColumns({"__y": y, "__x": x, "__xx": x * x, "__xy": x * y})
     base = rolling(base, keys, day, [Roll(f"__r{c}", f"__{c}", width) for c in ("y", "x", "xx", "xy")]

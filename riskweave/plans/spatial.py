@@ -134,7 +134,7 @@ def _(spark, sf):
    {DX.format(a='lon2', b='ref_lon')} AS x2, (lat2 - ref_lat) * 110.57e0 AS y2 FROM st, ref JOIN edges USING (segment)),
  tt AS (SELECT *, least(1e0, greatest(0e0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) + 1e-9))) AS t FROM pr),
  ds AS (SELECT segment, sta, min(sqrt(pow(x - (x1 + t * (x2 - x1)), 2) + pow(y - (y1 + t * (y2 - y1)), 2))) AS dist_km FROM tt GROUP BY 1, 2),
- rk AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY dist_km, sta) AS rank FROM ds WHERE dist_km <= 60e0)
+ rk AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY round(dist_km, 6), sta) AS rank FROM ds WHERE dist_km <= 60e0)
  SELECT segment, sta, {sql_round('dist_km', 5)} AS dist_km, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 20""")
 def _(spark, sf):
     st = fault_vertices(spark, sf).select(
