@@ -65,8 +65,8 @@ def rolling(frame: DataFrame, keys: Sequence[str], day: str, rolls: Sequence[Rol
     sources = list(dict.fromkeys(r.source for r in rolls))
     cums = {}
     for s in sources:
-        cums[f"__s_{s}"] = F.sum(F.coalesce(F.col(s).cast("double"), F.lit(0.0))).over(upto)
-        cums[f"__n_{s}"] = F.count(F.col(s)).over(upto)
+        cums[f"__cum_s_{s}"] = F.sum(F.coalesce(F.col(s).cast("double"), F.lit(0.0))).over(upto)
+        cums[f"__cum_n_{s}"] = F.count(F.col(s)).over(upto)
     out = frame.withColumns(cums)
 
     def diff(name, r):
@@ -75,7 +75,7 @@ def rolling(frame: DataFrame, keys: Sequence[str], day: str, rolls: Sequence[Rol
 
     results = {}
     for r in rolls:
-        n, s = diff(f"__n_{r.source}", r), diff(f"__s_{r.source}", r)
+        n, s = diff(f"__cum_n_{r.source}", r), diff(f"__cum_s_{r.source}", r)
         value = {"sum": s, "mean": s / n, "count": n.cast("double")}[r.kind]
         results[r.out] = F.when(n >= max(r.min_periods, 1), value)
     return out.withColumns(results).drop(*cums)
