@@ -66,12 +66,14 @@ def cluster_evidence(frame: DataFrame, keys: Sequence[str], day: str, clusters:
     out = rolling(frame, keys, day, [Roll(f"__f_{c}", c, 7, "mean", 3, 0) for c in channels]
                   + [Roll(f"__s_{c}", c, 60, "mean", 20, 0) for c in channels])
     # degrees are columns of their own, so that the cluster formulas below reuse them
-    per_channel = {}
+    inputs, per_channel = {}, {}
     for c in channels:
+        inputs[f"__x_{c}"] = F.coalesce(F.col(c).cast("double"), F.lit(0.0))
         gap = F.coalesce(F.col(f"__f_{c}") - F.col(f"__s_{c}"), F.lit(0.0)) / 0.35
-        per_channel |= {f"__lev_{c}": elevated(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), c),
-                        f"__qui_{c}": depressed(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), c),
-                        f"__tre_{c}": elevated(clip(gap, -1.0, 1.0)), f"__av_{c}": _available(frame, c)}
+        inputs[f"__g_{c}"] = F.least(F.greatest(gap, F.lit(-1.0)), F.lit(1.0))
+        per_channel |= {f"__lev_{c}": elevated(f"__x_{c}", c), f"__qui_{c}": depressed(f"__x_{c}", c),
+                        f"__tre_{c}": elevated(f"__g_{c}"), f"__av_{c}": _available(frame, c)}
+    out = out.withColumns(inputs)
     out = out.withColumns(per_channel)
     cols, daily = {}, {}
     for k, cs in present.items():

@@ -54,7 +54,7 @@ def two_sql(src, names, prefix):
  {prefix}2 AS (SELECT *, CASE WHEN abs(lf - 1) > 1e-6 THEN (lv - 1) / (lf - 1) ELSE 0 END AS ret FROM {prefix}w WHERE sf >= 100 AND sv >= 80), {prefix} AS (SELECT *, (lf - 1) * (lv - 1) > 0 AND ret >= 0.5 AS ok FROM {prefix}2)"""
 
 
-@query("channel_retention", f"WITH {SINGLE_SQL}, {two_sql('sl', ['channel', 'term'], 's')}, c AS (SELECT unnest(['a_seis', 'a_swarm', 'a_fore', 'A_state', 'a_tect']) AS channel) SELECT channel, {sql_round('least(1e0, greatest(0.2e0, coalesce(avg(least(1e0, greatest(0e0, ret))), 0.3e0)))', 5)} AS influence FROM c LEFT JOIN s USING (channel) GROUP BY channel")
+@query("channel_retention", f"WITH {SINGLE_SQL}, {two_sql('sl', ['channel', 'term'], 's')}, c AS (SELECT unnest(['a_seis', 'a_swarm', 'a_fore', 'A_state', 'a_tect']) AS channel) SELECT channel, {sql_round('least(1e0, greatest(0.2e0, coalesce(avg(CASE WHEN ret IS NOT NULL THEN least(1e0, greatest(0e0, ret)) END), 0.3e0)))', 5)} AS influence FROM c LEFT JOIN s USING (channel) GROUP BY channel")
 def _(spark, sf):
     s = mining.two_epochs(mining.support_lift(cases(spark, sf), CH, "y", "epoch", SETS), ["channel", "term"], "epoch", 100, 80)
     return rounded(mining.channel_influence(s, [*CH, "a_tect"]), 5)

@@ -88,7 +88,7 @@ def compare(spark, con, q, sf_dir, show=3):
         return "TYPES", len(rows), spark_s, duck_s, str(bad)
     if got != exp:
         a, b = set(got), set(exp)
-        detail = f"spark {len(got)} oracle {len(exp)} rows; only spark {sorted(a - b)[:show]} only oracle {sorted(b - a)[:show]}"
+        detail = f"spark {len(got)} oracle {len(exp)} rows; columns {names} only spark {sorted(a - b)[:show]} only oracle {sorted(b - a)[:show]}"
         return "VALUES", len(rows), spark_s, duck_s, detail
     return ("OK" if rows else "EMPTY"), len(rows), spark_s, duck_s, ""
 
