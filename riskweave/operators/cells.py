@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.functions import geo
-from riskweave.functions.fuzzy import clip_scale, log_scale, value_bucket
+from riskweave.functions.fuzzy import ANOMALY_SETS, clip_scale, log_scale, value_bucket
 from riskweave.operators.spatial import halo
 
 # Kernel of the activity sum, look-back windows, channels.
@@ -160,7 +160,7 @@ def forecast_table(state: DataFrame, rules: Sequence, influence: Mapping[str, fl
     from riskweave.operators.scoring import bipolar
 
     d = derive_channels(state)
-    fz = bipolar(rules, influence)
+    fz = bipolar(rules, influence, {c: ANOMALY_SETS for c in CHANNELS})
     d = d.withColumns({"mom": fz["mom"], "score": fz["score"], "p30": logistic_score(
         [F.log1p("omori"), (F.col("omori") > 0).cast("double"), F.log1p("rate_bg")], coef, intercept)})
     d = d.join(mag_stats.select("la", "lo", F.col("mag_mean").alias("__mean"), F.col("mag_max").alias("__max")), ["la", "lo"], "left")

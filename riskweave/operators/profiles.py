@@ -28,3 +28,16 @@ def summary_stats(frame: DataFrame, keys: Sequence[str], day: str, value: str) -
     return frame.join(s, list(keys)).groupBy(*keys).agg(
         F.first("mean").alias("mean"), F.first("std").alias("std"), F.avg(high).alias("frac_high"),
         F.first((F.col("__last") - F.col("__first")) / decades).alias("trend_per_decade"))
+
+
+def pairwise_distance(profiles: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """Euclidean distance of every two standardised profiles.
+
+    Profiles are one row per configured segment or station, so the table is short however many rows
+    it was aggregated from.
+    """
+    z = standardize(profiles.select(key, *columns), columns)
+    a = z.select(F.col(key).alias("a"), *[F.col(c).alias(f"__a_{c}") for c in columns])
+    b = z.select(F.col(key).alias("b"), *[F.col(c).alias(f"__b_{c}") for c in columns])
+    d = sum((F.pow(F.col(f"__a_{c}") - F.col(f"__b_{c}"), 2) for c in columns), F.lit(0.0))
+    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.sqrt(d).alias("distance"))

@@ -106,8 +106,8 @@ def ocean_basin(lat: Column, lon: Column) -> Column:
 
 
 def spatiotemporal_exclusion(events: DataFrame, triggers: DataFrame, days: float = 30.0, km: float = 30.0,
-                             time: str = "time", lat: str = "latitude", lon: str = "longitude") -> DataFrame:
-    """Drop events strictly within *days* after and *km* of a trigger.
+                             time: str = "time", lat: str = "latitude", lon: str = "longitude", keys: Sequence[str] = ()) -> DataFrame:
+    """Drop events strictly within *days* after and *km* of a trigger (of the same *keys*).
 
     Triggers are reduced to distinct (time, place) and replicated to the space-time cells they can
     reach, so the anti join is an equi join on small cells.
@@ -117,7 +117,7 @@ def spatiotemporal_exclusion(events: DataFrame, triggers: DataFrame, days: float
         return (F.floor(F.unix_micros(t.cast("timestamp")) / F.lit(days * 86400e6)).alias("__ct"),
                 F.floor(a / F.lit(dlat)).alias("__ca"), F.floor(o / F.lit(dlon)).alias("__co"))
     ev = events.select("*", *cells(F.col(time), F.col(lat), F.col(lon)))
-    trig = triggers.select(F.col(time).alias("__t"), F.col(lat).alias("__la"), F.col(lon).alias("__lo")).distinct()
+    trig = triggers.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col(time).alias("__t"), F.col(lat).alias("__la"), F.col(lon).alias("__lo")).distinct()
     trig = trig.select("*", *cells(F.col("__t"), F.col("__la"), F.col("__lo")))
     around = F.sequence(F.lit(-1), F.lit(1))
     for c, steps in (("__ct", F.array(F.lit(0), F.lit(1))), ("__ca", around), ("__co", around)):
@@ -127,6 +127,8 @@ def spatiotemporal_exclusion(events: DataFrame, triggers: DataFrame, days: float
                    (F.col(lon) - F.col("__lo")) * geo.EXCLUSION_KM_PER_DEG_LON) < km
     e, g = ev.alias("e"), trig.alias("g")
     same = (F.col("e.__ct") == F.col("g.__ct")) & (F.col("e.__ca") == F.col("g.__ca")) & (F.col("e.__co") == F.col("g.__co"))
+    for k in keys:
+        same = same & (F.col(f"e.{k}") == F.col(f"g.__k_{k}"))
     return e.join(g, same & (dt > 0) & (dt < days) & near, "left_anti").select(*events.columns)
 
 
