@@ -121,6 +121,11 @@ def _(spark, sf):
                                         fuzzy.clip_scale("value", 4.5, 154.5).alias("c"), fuzzy.log_scale("value", 50.0).alias("l")))
 
 
+@query("clip_scale", f"""SELECT event_id, {sql_round('greatest(-1e0, least(1e0, 2 * (value - 10e0) / 90e0 - 1))')} AS x, {sql_round('greatest(0e0, least(1e0, value / 80e0))')} AS u FROM events""")
+def _(spark, sf):
+    return rounded(ev(spark, sf).select("event_id", fuzzy.clip_scale("value", 10.0, 100.0).alias("x"), fuzzy.clip(F.col("value") / 80.0, 0.0, 1.0).alias("u")))
+
+
 @query("poisson_probability", f"""SELECT event_id, {sql_round('1 - exp(-value / 2000e0 * 30)')} AS p30, {sql_round('-ln(greatest(1 - (1 - exp(-value / 2000e0 * 30)), 1e-9)) / 30e0')} AS rate, {sql_round('30e0 / -ln(greatest(1 - (1 - exp(-value / 2000e0 * 30)), 1e-9))', 4)} AS wait_days FROM events WHERE value > 1""")
 def _(spark, sf):
     p = pr.poisson_probability(F.col("value") / 2000.0, 30)
@@ -139,7 +144,7 @@ def _(spark, sf):
     return rounded(ev(spark, sf).select("event_id", pr.softplus(F.col("value") - 60).alias("s")))
 
 
-@query("unit_conversions", f"""SELECT event_id, {sql_round('value / 100 * 0.055465763e0 * 1000 / (4 * pi())')} AS los_mm, {sql_round('log10(greatest(value, 1e-3))')} AS log_rms, CAST(DATE '1858-11-17' + CAST(floor(50000 + value) AS INTEGER) AS DATE) AS day FROM events""")
+@query("seismic_unit_conversions", f"""SELECT event_id, {sql_round('value / 100 * 0.055465763e0 * 1000 / (4 * pi())')} AS los_mm, {sql_round('log10(greatest(value, 1e-3))')} AS log_rms, CAST(DATE '1858-11-17' + CAST(floor(50000 + value) AS INTEGER) AS DATE) AS day FROM events""")
 def _(spark, sf):
     return rounded(ev(spark, sf).select("event_id", pr.phase_to_mm(F.col("value") / 100).alias("los_mm"),
                                         F.log10(F.greatest("value", F.lit(1e-3))).alias("log_rms"), pr.mjd_to_date(50000 + F.col("value")).alias("day")))

@@ -175,6 +175,15 @@ def _(spark, sf):
     return rounded(spark.read.schema("station int, day date, value double, segment int").parquet(path).select("segment", "station", "day", "value"))
 
 
+@query("sink_table", f"WITH {CATALOG_SQL} SELECT CAST(year(day) AS INTEGER) AS year, k, {sql_round('mag')} AS mag FROM catalog WHERE year(day) >= 1998")
+def _(spark, sf):
+    path = shared_dir(spark, "table")
+    c = catalog(spark, sf).select(F.year("day").alias("year"), "k", "mag")
+    sinks.write_series(c, path, partition_by=["year"])
+    # the year filter prunes folders
+    return rounded(spark.read.schema("k bigint, mag double, year int").parquet(path).filter("year >= 1998").select("year", "k", "mag"))
+
+
 @query("sink_json_document", f"""WITH {CATALOG_SQL} SELECT CAST(floor(latitude) AS DOUBLE) AS la, CAST(floor(longitude) AS DOUBLE) AS lo, {sql_round('max(mag)', 5)} AS p30, 'risk of large events' AS target FROM catalog GROUP BY 1, 2""")
 def _(spark, sf):
     path = shared_dir(spark, "document")

@@ -121,11 +121,15 @@ def decayed_state(daily: DataFrame, key: str, day: str, drive: str, lam: float =
 
 
 def decluster(days: DataFrame, key: str, day: str, gap_days: int = 45) -> DataFrame:
-    """Online greedy declustering: keep a day more than *gap_days* after the last kept one."""
+    """Online greedy declustering: keep a day more than *gap_days* after the last kept one.
+
+    Repeated (entity, day) rows are dropped in a state keyed by both before the ordered walk, so a busy
+    entity sends one row per day to it.
+    """
     def step(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         kept = state.get[0] if state.exists else None
         out = []
-        for d in sorted(pd.concat(list(batches))["d"].unique().tolist()):
+        for d in sorted({d for pdf in batches for d in pdf["d"].tolist()}):
             if kept is None or d - kept > gap_days:
                 kept = d
                 out.append((k[0], d))
@@ -134,6 +138,7 @@ def decluster(days: DataFrame, key: str, day: str, gap_days: int = 45) -> DataFr
         yield pd.DataFrame(out, columns=["k", "d"])
 
     rows = days.select(F.col(key).cast("long").alias("k"), F.unix_date(day).cast("long").alias("d"))
+    rows = rows.dropDuplicates(["k", "d"])
     out = rows.groupBy("k").applyInPandasWithState(step, "k long, d long", "kept long", "append", "NoTimeout")
     return out.select(F.col("k").alias(key), F.date_from_unix_date(F.col("d").cast("int")).alias(day))
 
