@@ -68,7 +68,7 @@ def cluster_evidence(frame: DataFrame, keys: Sequence[str], day: str, clusters:
     # degrees are columns of their own, so that the cluster formulas below reuse them
     inputs, per_channel = {}, {}
     for c in channels:
-        inputs[f"__x_{c}"] = F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+        inputs[f"__x_{c}"] = F.expr(f"coalesce(CAST(`{c}` AS double), 0D)")
         gap = F.coalesce(F.col(f"__f_{c}") - F.col(f"__s_{c}"), F.lit(0.0)) / 0.35
         inputs[f"__g_{c}"] = F.least(F.greatest(gap, F.lit(-1.0)), F.lit(1.0))
         per_channel |= {f"__lev_{c}": elevated(f"__x_{c}", c), f"__qui_{c}": depressed(f"__x_{c}", c),

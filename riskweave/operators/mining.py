@@ -2,50 +2,74 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.functions.fuzzy import centroid, clip, membership, sets_for
+from riskweave.functions.fuzzy import centroid, clip, degree0, membership_sql, sets_for
 
 Sets = Mapping[str, Mapping[str, Sequence[float]]]
 
 
 def active_terms(channels: Sequence[str], sets: Sets | None = None) -> Column:
-    """array<struct<c: channel number, channel, term, mu>> of the terms with a positive degree.
+    """array<struct<channel, term, mu>> of the terms with a positive degree.
 
     Overlapping partitions give at most two active terms per channel, so the array is short; a missing
-    value counts as 0.
+    value is in no term.
     """
-    items = []
-    for i, c in enumerate(channels):
-        x = F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-        for term, params in ((sets or {}).get(c) or sets_for(c)).items():
-            items.append(F.struct(F.lit(i).alias("c"), F.lit(c).alias("channel"), F.lit(term).alias("term"), membership(x, params).alias("mu")))
-    return F.filter(F.array(*items), lambda t: t["mu"] > 0)
+    items = [f"named_struct('channel', '{c}', 'term', '{term}', 'mu', coalesce({membership_sql(c, params)}, 0D))"
+             for c in channels for term, params in ((sets or {}).get(c) or sets_for(c)).items()]
+    return F.expr(f"filter(array({', '.join(items)}), t -> t.mu > 0)")
 
 
-def term_pairs(active: Column) -> Column:
-    """array of all pairs of active terms of two different channels with the smaller degree."""
-    def with_later(a):
-        later = F.filter(active, lambda b: b["c"] > a["c"])
-        return F.transform(later, lambda b: F.struct(a["channel"].alias("channel_a"), a["term"].alias("term_a"), b["channel"].alias("channel_b"),
-                                                     b["term"].alias("term_b"), F.least(a["mu"], b["mu"]).alias("mu")))
-    return F.flatten(F.transform(active, with_later))
+def _pair_sums(rows: DataFrame, terms: Sequence[tuple[str, str]], epoch: str) -> DataFrame:
+    """Sums of the smaller degree of every pair of terms of two channels, per epoch.
+
+    An Arrow batch is one matrix of degrees, so a pair costs one vector minimum; a batch hands on one row
+    per epoch and pair, which the following aggregation adds up. (Expanding a row to its active pairs
+    writes tens of rows per input row.)
+    """
+    pairs = [(i, j) for i, a in enumerate(terms) for j, b in enumerate(terms) if j > i and a[0] != b[0]]
+    columns = [f"__mu_{i}" for i in range(len(terms))]
+    left, right = np.array([i for i, _ in pairs]), np.array([j for _, j in pairs])
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            mu = pdf[columns].to_numpy().T
+            for name, rows_of in pdf.groupby("e").indices.items():
+                m, y = mu[:, rows_of], pdf["y"].to_numpy()[rows_of]
+                support, hits = np.empty(len(pairs)), np.empty(len(pairs))
+                for i in np.unique(left):
+                    at = np.flatnonzero(left == i)
+                    low = np.minimum(m[i], m[right[at]])
+                    support[at], hits[at] = low.sum(axis=1), low @ y
+                yield pd.DataFrame({"e": name, "pair": np.arange(len(pairs)), "support": support, "hits": hits})
+
+    sums = rows.select(F.col(epoch).cast("string").alias("e"), "y", *columns).mapInPandas(partial, "e string, pair long, support double, hits double").groupBy("e", "pair").agg(F.sum("support").alias("support"), F.sum("hits").alias("hits"))
+    values = ", ".join(f"({n}L, '{terms[i][0]}', '{terms[i][1]}', '{terms[j][0]}', '{terms[j][1]}')" for n, (i, j) in enumerate(pairs))
+    names = rows.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(pair, channel_a, term_a, channel_b, term_b)")
+    named = sums.join(F.broadcast(names), "pair").filter("support > 0")
+    return named.select(F.col("e").alias(epoch), "channel_a", "term_a", "channel_b", "term_b", "support", "hits")
 
 
 def support_lift(df: DataFrame, channels: Sequence[str], y: str, epoch: str, sets: Sets | None = None, pairs: bool = False) -> DataFrame:
     """Support, rate and lift over the epoch's base rate per term (or pair of terms) and epoch.
 
-    One pass: a row contributes its few active terms and the sums are partial aggregations, so the
-    exchange carries one row per task, epoch and term.
+    One pass over the data per call; the exchange carries one row per task, epoch and term (or pair).
     """
     base = df.groupBy(epoch).agg(F.avg(y).alias("base"))
-    rows = df.select(F.col(epoch), F.col(y).cast("double").alias("y"), active_terms(channels, sets).alias("__a"))
     names = ["channel_a", "term_a", "channel_b", "term_b"] if pairs else ["channel", "term"]
-    exploded = rows.select(epoch, "y", F.explode(term_pairs(F.col("__a")) if pairs else F.col("__a")).alias("t")).select(epoch, "y", *[f"t.{n}" for n in names], "t.mu")
-    g = exploded.groupBy(epoch, *names).agg(F.sum("mu").alias("support"), F.sum(F.col("mu") * F.col("y")).alias("hits"))
+    if pairs:
+        terms = [(c, t) for c in channels for t in ((sets or {}).get(c) or sets_for(c))]
+        degrees = {f"__mu_{i}": degree0(c, ((sets or {}).get(c) or sets_for(c))[t]) for i, (c, t) in enumerate(terms)}
+        g = _pair_sums(df.select(F.col(epoch), F.col(y).cast("double").alias("y"), *[v.alias(k) for k, v in degrees.items()]), terms, epoch)
+    else:
+        rows = df.select(F.col(epoch), F.col(y).cast("double").alias("y"), F.explode(active_terms(channels, sets)).alias("t"))
+        g = rows.groupBy(epoch, F.col("t.channel").alias("channel"), F.col("t.term").alias("term")).agg(
+            F.sum("t.mu").alias("support"), F.sum(F.col("t.mu") * F.col("y")).alias("hits"))
     return g.join(F.broadcast(base), epoch).select(epoch, *names, "support", (F.col("hits") / F.col("support")).alias("rate"),
                                                    (F.col("hits") / F.col("support") / (F.col("base") + 1e-12)).alias("lift"))
 

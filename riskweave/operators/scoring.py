@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.functions.fuzzy import EPS, centroid, clip, membership, sets_for
+from riskweave.functions.fuzzy import EPS, centroid, clip, degree0, membership, sets_for
 from riskweave.functions.geo import col
 
 N_OUTPUT_TERMS = 7
@@ -35,6 +35,8 @@ class Rule:
 def degree(variable: str, term: str, sets: Mapping | None = None, missing=0.0) -> Column:
     """Degree of a variable in a term; *missing* replaces an absent value."""
     params = (sets or {}).get(variable, sets_for(variable))[term]
+    if missing == 0:
+        return degree0(variable, params)
     return F.coalesce(membership(variable, params), F.lit(float(missing)))
 
 

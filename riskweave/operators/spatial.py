@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,22 +134,55 @@ def spatiotemporal_exclusion(events: DataFrame, triggers: DataFrame, days: float
     return e.join(g, same & (dt > 0) & (dt < days) & near, "left_anti").select(*events.columns)
 
 
+NEAR_DAYS, MOMENTS = 8, 14
+
+
 def kernel_intensity(events: DataFrame, keys: Sequence[str], time: str, weight: str, c: float, p: float,
                      last_day, lookback: int | None = None, out: str = "excitation") -> DataFrame:
     """Sum over past events of weight / (lag + c)^p at the start of every later day.
 
-    Events of one instant are merged first (the kernel is linear in the weight). Each event is then
-    expanded to the days it reaches and the sum is a partial aggregation by (entity, day): no join,
-    and the shuffle carries at most one row per task, entity and day.
+    The first days after an event are summed event by event. Beyond them the kernel is a power series in
+    the time of day s (|s| <= 0.5 of a lag of at least 8.5 days, so 14 terms reach double precision):
+    events are reduced to 14 moments per (entity, day) before the exchange, and a convolution over the
+    calendar of one entity finishes the sum. The work per event is 8 rows, not one per later day, and no
+    pair of events and days is ever joined. *lookback* limits the lag in days.
     """
-    merged = events.groupBy(*keys, time).agg(F.sum(weight).alias("__w"))
-    day0 = F.date_add(F.col(time).cast("date"), 1)
     stop = F.lit(last_day).cast("date")
-    if lookback is not None:
-        stop = F.least(stop, F.date_add(F.col(time).cast("date"), lookback))
-    days = merged.filter(day0 <= stop).withColumn("day", F.explode(F.sequence(day0, stop)))
-    lag = (F.unix_micros(F.col("day").cast("timestamp")) - F.unix_micros(F.col(time).cast("timestamp"))) / F.lit(86400e6)
-    days = days.withColumn("__k", F.col("__w") / F.pow(lag + c, F.lit(p)))
-    if lookback is not None:
-        days = days.filter(lag <= lookback)
-    return days.groupBy(*keys, "day").agg(F.sum("__k").alias(out))
+    near_last = NEAR_DAYS if lookback is None else min(NEAR_DAYS, lookback)
+    day = F.to_date(F.col(time))
+    e = events.select(*keys, day.alias("__d"), F.col(weight).cast("double").alias("__w"),
+                      ((F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(day.cast("timestamp"))) / F.lit(86400e6)).alias("__u"))
+    near = e.withColumn("__k", F.explode(F.sequence(F.lit(1), F.lit(near_last)))).withColumn("day", F.date_add("__d", F.col("__k")))
+    near = near.filter(F.col("day") <= stop)
+    near = near.select(*keys, "day", (F.col("__w") / F.pow(F.col("__k") - F.col("__u") + c, F.lit(p))).alias(out))
+    if lookback is not None and lookback <= NEAR_DAYS:
+        return near.groupBy(*keys, "day").agg(F.sum(out).alias(out))
+    s = F.col("__u") - 0.5
+    moments = e.groupBy(*keys, "__d").agg(*[F.sum(F.col("__w") * (F.pow(s, F.lit(float(k))) if k else F.lit(1.0))).alias(f"m{k}") for k in range(MOMENTS)])
+    key_fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in moments.schema.fields if f.name in keys)
+    end_day = np.datetime64(str(last_day)[:10], "D").astype(int)
+
+    def far(pdf: pd.DataFrame) -> pd.DataFrame:
+        d = pd.to_datetime(pdf["__d"]).to_numpy().astype("datetime64[D]").astype(int)
+        first = d.min()
+        span = int(end_day - first) + 1
+        keep = d <= end_day
+        lag = np.arange(1, span + 1, dtype=float)
+        reach = (lag > NEAR_DAYS) & ((lag <= lookback) if lookback is not None else True)
+        centre = lag - 0.5 + c
+        total, coef = np.zeros(span), 1.0
+        for k in range(MOMENTS):
+            if k:
+                coef *= (p + k - 1) / k
+            daily = np.zeros(span)
+            daily[d[keep] - first] = pdf[f"m{k}"].to_numpy()[keep]
+            kernel = np.concatenate([[0.0], np.where(reach, coef * centre ** (-p - k), 0.0)[: span - 1]])
+            total += np.convolve(daily, kernel)[:span]
+        days = (np.arange(span) + first).astype("datetime64[D]")
+        res = pd.DataFrame({"day": pd.Series(days).dt.date, out: total})
+        for key in keys:
+            res[key] = pdf[key].iloc[0]
+        return res[total > 0][[*keys, "day", out]]
+
+    rest = moments.groupBy(*keys).applyInPandas(far, f"{key_fields}, day date, {out} double")
+    return near.unionByName(rest).groupBy(*keys, "day").agg(F.sum(out).alias(out))

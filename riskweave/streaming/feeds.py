@@ -113,7 +113,8 @@ def decayed_state(daily: DataFrame, key: str, day: str, drive: str, lam: float =
                 continue  # late or repeated day
             out.append((k[0], d, value))
         state.update((last, value))
-        yield pd.DataFrame(out, columns=["k", "d", "s"])
+        if out:
+            yield pd.DataFrame(out, columns=["k", "d", "s"])
 
     rows = daily.select(F.col(key).cast("long").alias("k"), F.unix_date(day).cast("long").alias("d"), F.col(drive).cast("double").alias("x"))
     out = rows.groupBy("k").applyInPandasWithState(step, "k long, d long, s double", "last long, value double", "append", "NoTimeout")
@@ -135,7 +136,8 @@ def decluster(days: DataFrame, key: str, day: str, gap_days: int = 45) -> DataFr
                 out.append((k[0], d))
         if kept is not None:
             state.update((kept,))
-        yield pd.DataFrame(out, columns=["k", "d"])
+        if out:
+            yield pd.DataFrame(out, columns=["k", "d"])
 
     rows = days.select(F.col(key).cast("long").alias("k"), F.unix_date(day).cast("long").alias("d"))
     rows = rows.dropDuplicates(["k", "d"])
