@@ -12,52 +12,49 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskweave.operators.quantiles import bucket_of, split_points
+
 
 def neighbours(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str,
-               values: Sequence[str], tiebreak: Sequence[str] = (), bucket: str = "MONTH",
+               values: Sequence[str], tiebreak: Sequence[str] = (), bucket: str | None = "MONTH",
                prev: bool = True, next: bool = True, equal: str = "prev") -> DataFrame:
     """Add structs ``prev`` and/or ``next`` (fields ``t`` and *values*) to every left row.
 
     *equal* says which neighbour a right row at the same time is. Among right rows of one time the
-    last by *tiebreak* is the previous one, the first by *tiebreak* the next one.
+    last by *tiebreak* is the previous one, the first by *tiebreak* the next one. *bucket* is a calendar
+    unit; None cuts the times at equal-count split points instead, for sources that are busy in bursts.
     """
-    fields = [F.col(right_time).alias("t")] + [F.col(c).alias(c) for c in dict.fromkeys([*values, *tiebreak])]
-    r = right.select(*keys, F.col(right_time).alias("__t"), F.struct(*fields).alias("__v"), F.lit(None).alias("__row"))
-    rows = F.struct(*[F.col(c) for c in left.columns])
-    lf = left.select(*keys, F.col(left_time).alias("__t"), F.lit(None).cast(r.schema["__v"].dataType).alias("__v"),
-                     rows.alias("__row"))
-    r = r.withColumn("__row", F.lit(None).cast(lf.schema["__row"].dataType))
-    u = lf.unionByName(r).withColumn("__b", F.date_trunc(bucket, F.col("__t").cast("timestamp")))
+    keys = list(keys)
+    fields = F.struct(F.col(right_time).alias("t"), *[F.col(c).alias(c) for c in dict.fromkeys([*values, *tiebreak])])
+    rank = F.struct(*[F.col(c) for c in (tiebreak or [right_time])])
+    # one row per (key, time) on either side: repeated times merge before the exchange
+    r = right.groupBy(*keys, F.col(right_time).alias("__t")).agg(F.max_by(fields, rank).alias("__vp"), F.min_by(fields, rank).alias("__vn"))
+    empty = F.lit(None).cast(r.schema["__vp"].dataType)
+    asked = left.select(*keys, F.col(left_time).alias("__t")).distinct()
+    u = asked.select(*keys, "__t", empty.alias("__vp"), empty.alias("__vn"), F.lit(1).alias("__ask")).unionByName(r.withColumn("__ask", F.lit(0)))
+    if bucket is None:
+        at = F.unix_micros(F.col("__t").cast("timestamp")).cast("double")
+        u = u.withColumn("__b", bucket_of(at, split_points(asked.select(at.alias("x")), "x")[1]))
+    else:
+        u = u.withColumn("__b", F.date_trunc(bucket, F.col("__t").cast("timestamp")))
     part = [*keys, "__b"]
-    is_left = F.col("__row").isNotNull().cast("int")
-    first_at_tie = is_left if equal == "prev" else -is_left
-    ties = [F.col(f"__v.{c}") for c in tiebreak]
-    up = [F.col("__t").asc(), first_at_tie.asc(), *[c.asc() for c in ties]]
-    down = [F.col("__t").desc(), first_at_tie.desc(), *[c.desc() for c in ties]]
-    rank = F.struct(F.col("__t"), *ties)
-    aggs, carry, found = [], {}, {}
-    over_buckets = Window.partitionBy(*keys)
-    if prev:
-        aggs.append(F.max_by("__v", F.when(F.col("__v").isNotNull(), rank)).alias("__bp"))
-        carry["__cp"] = F.last("__bp", True).over(over_buckets.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
-        found["__ip"] = F.last("__v", True).over(Window.partitionBy(*part).orderBy(*up).rowsBetween(Window.unboundedPreceding, 0))
-    if next:
-        aggs.append(F.min_by("__v", F.when(F.col("__v").isNotNull(), rank)).alias("__bn"))
-        carry["__cn"] = F.last("__bn", True).over(
-            over_buckets.orderBy(F.col("__b").desc()).rowsBetween(Window.unboundedPreceding, -1))
-        found["__in"] = F.last("__v", True).over(Window.partitionBy(*part).orderBy(*down).rowsBetween(Window.unboundedPreceding, 0))
-    carried = u.groupBy(*part).agg(*aggs)
-    for name, c in carry.items():
-        carried = carried.withColumn(name, c)
-    carried = carried.select(*part, *carry)
-    local = u.withColumns(found).filter(F.col("__row").isNotNull())
-    joined = local.join(carried, part)
-    out = [F.col(f"__row.{c}").alias(c) for c in left.columns]
+    first_at_tie = F.col("__ask") if equal == "prev" else -F.col("__ask")
+    over_buckets, inside = Window.partitionBy(*keys), Window.partitionBy(*part)
+    before = (Window.unboundedPreceding, -1)
+    aggs, carry, found, out = [], {}, {}, []
     if prev:
+        aggs.append(F.max_by("__vp", F.when(F.col("__vp").isNotNull(), F.col("__t"))).alias("__bp"))
+        carry["__cp"] = F.last("__bp", True).over(over_buckets.orderBy("__b").rowsBetween(*before))
+        found["__ip"] = F.last("__vp", True).over(inside.orderBy("__t", first_at_tie.asc()).rowsBetween(Window.unboundedPreceding, 0))
         out.append(F.coalesce("__ip", "__cp").alias("prev"))
     if next:
+        aggs.append(F.min_by("__vn", F.when(F.col("__vn").isNotNull(), F.col("__t"))).alias("__bn"))
+        carry["__cn"] = F.last("__bn", True).over(over_buckets.orderBy(F.col("__b").desc()).rowsBetween(*before))
+        found["__in"] = F.last("__vn", True).over(inside.orderBy(F.col("__t").desc(), first_at_tie.desc()).rowsBetween(Window.unboundedPreceding, 0))
         out.append(F.coalesce("__in", "__cn").alias("next"))
-    return joined.select(*out)
+    carried = u.groupBy(*part).agg(*aggs).withColumns(carry).select(*part, *carry)
+    solved = u.withColumns(found).filter("__ask = 1").join(carried, part).select(*keys, F.col("__t").alias(left_time), *out)
+    return left.join(solved, [*keys, left_time], "left").select(*left.columns, *(["prev"] if prev else []), *(["next"] if next else []))
 
 
 def days_between(later, earlier):
@@ -65,7 +62,7 @@ def days_between(later, earlier):
     return (F.unix_micros(F.col(later).cast("timestamp")) - F.unix_micros(F.col(earlier).cast("timestamp"))) / F.lit(86400e6)
 
 
-def nearest(left: DataFrame, right: DataFrame, keys, left_time, right_time, values, tiebreak=(), bucket="MONTH",
+def nearest(left: DataFrame, right: DataFrame, keys, left_time, right_time, values, tiebreak=(), bucket: str | None = "MONTH",
             out: str = "match") -> DataFrame:
     """Right row nearest in time; the later one of two equally near."""
     both = neighbours(left, right, keys, left_time, right_time, values, tiebreak, bucket)

@@ -15,7 +15,8 @@ def walk_forward(df: DataFrame, date: str, origins: Sequence[str], years_test: f
     """Rows labelled (fold, role): fit and val before the origin, test in the years after it.
 
     fit and val are split at the *inner_share* quantile of the training dates, which is taken from
-    counts per date. A row appears once per fold it belongs to.
+    counts per date. A row appears once per fold it belongs to. The fold table has one row per origin
+    given, so it is broadcast.
     """
     spark = df.sparkSession
     folds = spark.createDataFrame([(o,) for o in origins], "fold string").withColumn("origin", F.col("fold").cast("date"))

@@ -89,20 +89,19 @@ def catalog_upsert(base: DataFrame, incoming: DataFrame, columns: Sequence[str])
     settled by the latest ``updated``.
     """
     cols = list(columns)
-    b = base.select(*cols).withColumn("row", F.monotonically_increasing_id())
-    # row numbers must agree between the two uses of the base: take them from content instead
-    ident = F.xxhash64(*cols)
-    b = b.withColumn("row", ident)
+    # rows are named by content (two independent 64-bit hashes), so that a recomputed task gives the same names
+    ident = F.concat(F.hex(F.xxhash64(*cols)), F.hex(F.xxhash64(F.lit(7), *reversed(cols))))
+    b = base.select(*cols).withColumn("row", ident)
     inc = incoming.select(*cols).withColumn("row", ident)
     known = b.filter(has_id()).select(F.col("id").alias("__known")).distinct()
     inc = inc.join(known, inc["id"] == known["__known"], "left")
     exact = inc.filter(F.col("__known").isNotNull()).drop("__known")
     rest = inc.filter(F.col("__known").isNull()).drop("__known")
     matched = fuzzy_match(rest, b)
-    base_key = F.when(has_id(), F.concat(F.lit("id:"), F.col("id"))).otherwise(F.concat(F.lit("row:"), F.col("row").cast("string")))
+    base_key = F.when(has_id(), F.concat(F.lit("id:"), F.col("id"))).otherwise(F.concat(F.lit("row:"), F.col("row")))
     owner = b.select(F.col("row").alias("match"), base_key.alias("__owner"))
     matched = matched.join(owner, "match", "left")
-    key_new = F.when(has_id(), F.concat(F.lit("id:"), F.col("id"))).otherwise(F.concat(F.lit("new:"), F.col("row").cast("string")))
+    key_new = F.when(has_id(), F.concat(F.lit("id:"), F.col("id"))).otherwise(F.concat(F.lit("new:"), F.col("row")))
     far = F.lit("9999-12-31").cast("timestamp_ntz")
     old_time = F.lit("0001-01-01").cast("timestamp_ntz")
     merged = (

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.functions.probability import delta_stress
+from riskweave.session import small
 
 
 def stress_edges(events: DataFrame, nodes: DataFrame, source: str = "segment", mag: str = "mag",
@@ -17,7 +18,7 @@ def stress_edges(events: DataFrame, nodes: DataFrame, source: str = "segment", m
     src = nodes.select(F.col("segment").alias(source), F.col("strike").alias("__ss"), F.col("regime").alias("__sr"))
     dst = nodes.select(F.col("segment").alias("receiver"), F.col("lat").alias("__rla"), F.col("lon").alias("__rlo"),
                        F.col("strike").alias("__rs"), F.col("regime").alias("__rr"))
-    pairs = events.join(F.broadcast(src), source).join(F.broadcast(dst), F.col(source) != F.col("receiver"))
+    pairs = events.join(small(src), source).join(small(dst), F.col(source) != F.col("receiver"))
     step = delta_stress(mag, lat, lon, "__ss", "__sr", "__rla", "__rlo", "__rs", "__rr")
     return pairs.select(*events.columns, "receiver", step.alias("delta_cfs_bar"))
 

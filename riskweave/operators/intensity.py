@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from riskweave.operators.evaluation import t_two_sided
 from riskweave.operators.spatial import kernel_intensity, spatiotemporal_exclusion
+from riskweave.session import small
 
 
 def baseline_intensity(catalog: DataFrame, spine: DataFrame, keys: Sequence[str], last_day, target_mag: float, ref_mag: float, trigger_mag: float,
@@ -47,7 +48,7 @@ def fitted_intensity(catalog: DataFrame, spine: DataFrame, keys: Sequence[str],
 
 def daily_weights(catalog: DataFrame, candidates: DataFrame, keys: Sequence[str], day: str, mc: float) -> DataFrame:
     """Events and their summed trigger weight per (candidate, entity, day); candidates are a short table."""
-    ev = catalog.select(*keys, day, "mag").filter(F.col("mag") >= mc).crossJoin(F.broadcast(candidates))
+    ev = catalog.select(*keys, day, "mag").filter(F.col("mag") >= mc).crossJoin(small(candidates))
     w = F.pow(F.lit(10.0), F.col("alpha") * (F.col("mag") - mc))
     return ev.groupBy("cand", *keys, day).agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("w"),
                                               *[F.first(c).alias(c) for c in ("mu", "K", "c", "p")])

@@ -134,5 +134,6 @@ def interferogram_stack(pairs: DataFrame, rate: str, start: str, end: str, first
     origin = F.lit(first_day).cast("date")
     b = F.floor(F.datediff(F.col(start), origin) / bin_days)
     keep = pairs.filter((F.col(start) >= origin) & (F.col(end) <= F.lit(last_day).cast("date")) & (gap <= max_gap) & (gap > 0))
-    g = keep.withColumn("bin", b.cast("int")).groupBy("bin").agg(F.percentile(rate, 0.5).alias("los_rate"), F.count(F.lit(1)).alias("n_pairs"))
+    keep = keep.withColumn("bin", b.cast("int"))
+    g = grouped_quantile(keep, ["bin"], rate, 0.5, "los_rate").join(keep.groupBy("bin").agg(F.count(F.lit(1)).alias("n_pairs")), "bin")
     return g.withColumn("day", F.date_add(origin, F.col("bin") * bin_days + bin_days // 2))

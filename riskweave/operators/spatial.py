@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from riskweave.functions import geo
 from riskweave.functions.geo import col
+from riskweave.session import small
 
 
 def bbox_filter(df: DataFrame, lat: str, lon: str, south: float, north: float, west: float, east: float,
@@ -78,7 +79,7 @@ def nearest_k(entities: DataFrame, trace: DataFrame, max_km: float, k: int, orde
     The traces are the bounded side; ``row_number() <= k`` lets Spark keep k rows per task before
     the exchange.
     """
-    paired = entities.crossJoin(F.broadcast(trace.select("segment")))
+    paired = entities.crossJoin(small(trace.select("segment")))
     d = polyline_distance(paired, trace, max_km=max_km)
     w = Window.partitionBy("segment").orderBy(F.round("dist_km", 6), order_tie)
     return d.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -36,7 +36,7 @@ def _(spark, sf):
 def _(spark, sf):
     e = table(spark, sf, "events").select("event_id", "event_type", "ts", "value")
     t = e.filter("value >= 140")
-    out = asof.neighbours(e, t, ["event_type"], "ts", "ts", ["event_id", "value"], bucket="DAY", prev=False)
+    out = asof.neighbours(e, t, ["event_type"], "ts", "ts", ["event_id", "value"], bucket=None, prev=False)
     d = asof.days_between("next.t", "ts")
     return rounded(out.select("event_id", F.when(d <= 0.25, F.col("next.event_id")).alias("next_id"),
                               F.when(d <= 0.25, F.col("next.value")).alias("next_mag"), F.when(d <= 0.25, d).alias("delta_days")))
@@ -193,11 +193,12 @@ def _(spark, sf):
 @query("group_prior_lookup", f"""WITH {CATALOG_SQL}, tr AS (SELECT segment, mag FROM catalog WHERE day < DATE '1999-01-01' AND segment <> 5), md AS (SELECT segment, quantile_cont(mag, 0.5) AS m FROM tr GROUP BY segment),
  g AS (SELECT quantile_cont(mag, 0.5) AS m FROM tr) SELECT c.id, {sql_round('coalesce(md.m, g.m)')} AS prior FROM catalog c LEFT JOIN md USING (segment), g WHERE c.day >= DATE '1999-01-01'""")
 def _(spark, sf):
+    from riskweave.operators.evaluation import grouped_quantile
     from riskweave.operators.quantiles import quantiles
 
     c = catalog(spark, sf)
     train = c.filter((F.col("day") < F.lit("1999-01-01").cast("date")) & (F.col("segment") != 5)).select("segment", "mag")
-    medians = train.groupBy("segment").agg(F.percentile("mag", 0.5).alias("m"))
+    medians = grouped_quantile(train, ["segment"], "mag", 0.5, "m")
     overall = quantiles(train, "mag", [0.5])[0]
     test = c.filter(F.col("day") >= F.lit("1999-01-01").cast("date"))
     return rounded(test.join(medians, "segment", "left").select("id", F.coalesce("m", F.lit(overall)).alias("prior")))

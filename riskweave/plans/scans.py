@@ -140,8 +140,7 @@ def _(spark, sf):
     path = shared_dir(spark, "observations")
     p = F.struct(F.concat(F.lit("USGS-"), F.col("station").cast("string")).alias("monitoring_location_id"), F.col("day").cast("string").alias("time"),
                  F.when(F.col("flag") != "N", F.col("value").cast("string")).otherwise("Ice").alias("value"))
-    docs = readings(spark, sf).groupBy("day").agg(F.collect_list(F.struct(p.alias("properties"))).alias("features"))
-    docs.select("features").write.json(path)
+    readings(spark, sf).select(F.array(F.struct(p.alias("properties"))).alias("features")).write.json(path)
     return rounded(files.observation_json(spark, path))
 
 

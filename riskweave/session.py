@@ -57,3 +57,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table; column pruning and filters reach the Parquet scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Broadcast *df* when it is shown to have at most *max_rows* rows; otherwise leave the join to Spark.
+
+    The check reads at most one row more than the limit.
+    """
+    from pyspark.sql.functions import broadcast
+
+    return broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

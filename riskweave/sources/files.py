@@ -116,8 +116,10 @@ def measurement_csv(spark: SparkSession, path: str) -> DataFrame:
     row = F.from_csv("value", "value double, target string, start string, end string, lddate string")
     parsed = lines.filter(F.col("value").rlike(r'^"?[0-9.eE+-]+"?,')).select(row.alias("r"))
     day = F.to_date(F.substring("r.start", 1, 10), "yyyy/MM/dd")
-    return (parsed.select(F.col("r.target").alias("target"), day.alias("day"), F.col("r.value").alias("v"))
-            .filter("v > 0").groupBy("target", "day").agg(F.percentile("v", 0.5).alias("sample_rms")))
+    from riskweave.operators.evaluation import grouped_quantile
+
+    rows = parsed.select(F.col("r.target").alias("target"), day.alias("day"), F.col("r.value").alias("v")).filter("v > 0")
+    return grouped_quantile(rows, ["target", "day"], "v", 0.5, "sample_rms")
 
 
 def observation_json(spark: SparkSession, path: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from riskweave.operators.catalogs import latest_per_key
 from riskweave.sources import schemas
 from riskweave.sources.files import feed_rows
+from riskweave.session import small
 from riskweave.sources.sinks import ledger_append_once
 
 
@@ -164,4 +165,4 @@ def available_intervals(releases: DataFrame, available: str, value: str) -> Data
 def late_available_join(rows: DataFrame, intervals: DataFrame, day: str) -> DataFrame:
     """Value known on each day: a release is visible from its publication on."""
     hit = (F.col(day) >= F.col("valid_from")) & (F.col(day) < F.col("valid_to"))
-    return rows.join(F.broadcast(intervals), hit, "left").drop("valid_to")
+    return rows.join(small(intervals), hit, "left").drop("valid_to")
