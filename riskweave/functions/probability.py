@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,21 +88,47 @@ def mjd_to_date(mjd) -> Column:
     return F.date_add(F.lit("1858-11-17").cast("date"), F.floor(col(mjd)).cast("int"))
 
 
+def upper_gamma(a: float, x: float) -> float:
+    """Regularised upper incomplete gamma function Q(a, x); the work grows with the root of its arguments."""
+    if x <= 0.0:
+        return 1.0
+    scale = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1.0:
+        term = total = 1.0 / a
+        n = a
+        while term > total * 1e-17:
+            n += 1.0
+            term *= x / n
+            total += term
+        return max(0.0, 1.0 - total * scale)
+    tiny = 1e-300
+    b = x + 1.0 - a
+    c, d = 1.0 / tiny, 1.0 / b
+    h, i = d, 0
+    while True:
+        i += 1
+        an, b = -i * (i - a), b + 2.0
+        d = an * d + b
+        d = 1.0 / (d if abs(d) > tiny else tiny)
+        c = b + an / c
+        c = c if abs(c) > tiny else tiny
+        h *= d * c
+        if abs(d * c - 1.0) < 1e-15 or i > 10_000_000:
+            return min(1.0, scale * h)
+
+
+def _upper_gamma_column(a: Column, x: Column) -> Column:
+    @F.pandas_udf("double")
+    def q(a: pd.Series, x: pd.Series) -> pd.Series:
+        return pd.Series([upper_gamma(u, v) if u > 0 and v == v else None for u, v in zip(a, x)], dtype="float64")
+
+    return q(a.cast("double"), x.cast("double"))
+
+
 def poisson_lower_tail(k, mean) -> Column:
-    """P(X <= k) of a Poisson variable, summed in log space so that large means do not overflow."""
+    """P(X <= k) of a Poisson variable; counts and means may be of any size."""
     k, mean = col(k), col(mean)
-    terms = F.sequence(F.lit(0), F.greatest(k, F.lit(0)).cast("int"))
-    log_mean = F.log(mean)
-    # running pair: log of the current pmf term and the sum so far
-    start = F.struct((-mean).alias("lp"), F.lit(0.0).alias("s"))
-    folded = F.aggregate(
-        terms, start,
-        lambda acc, i: F.struct(
-            F.when(i == 0, acc["lp"]).otherwise(acc["lp"] + log_mean - F.log(i.cast("double"))).alias("lp"),
-            (acc["s"] + F.exp(F.when(i == 0, acc["lp"])
-                              .otherwise(acc["lp"] + log_mean - F.log(i.cast("double"))))).alias("s")),
-        lambda acc: acc["s"])
-    return F.when(k < 0, 0.0).otherwise(F.least(folded, F.lit(1.0)))
+    return F.when(k < 0, 0.0).otherwise(_upper_gamma_column(F.greatest(k, F.lit(0)) + 1, mean))
 
 
 def poisson_two_sided(k, mean) -> Column:
@@ -112,13 +139,5 @@ def poisson_two_sided(k, mean) -> Column:
 
 
 def chi2_upper_even(chi2, half_df) -> Column:
-    """P(X > chi2) for 2*half_df degrees of freedom (closed form)."""
-    half = col(chi2) / 2
-    folded = F.aggregate(
-        F.sequence(F.lit(0), (col(half_df) - 1).cast("int")),
-        F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("s")),
-        lambda acc, i: F.struct(
-            F.when(i == 0, F.lit(1.0)).otherwise(acc["t"] * half / i.cast("double")).alias("t"),
-            (acc["s"] + F.when(i == 0, F.lit(1.0)).otherwise(acc["t"] * half / i.cast("double"))).alias("s")),
-        lambda acc: acc["s"])
-    return F.exp(-half) * folded
+    """P(X > chi2) for 2*half_df degrees of freedom."""
+    return _upper_gamma_column(col(half_df), col(chi2) / 2)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskweave.functions.geo import haversine_km
+from riskweave.session import cut_lineage
 
 
 def normalize_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -35,12 +36,22 @@ def has_id(c: str = "id"):
     return F.col(c).isNotNull() & (F.col(c) != "")
 
 
+def row_identity(columns: Sequence[str]):
+    """Name of a row from its content: two independent 64-bit hashes, the same on every recomputation."""
+    return F.concat(F.lit("row:"), F.hex(F.xxhash64(*columns)), F.hex(F.xxhash64(F.lit(7), *reversed(list(columns)))))
+
+
+def identity_key(columns: Sequence[str], id_col: str = "id"):
+    """The id, or the content of a row that has none (equal copies share it)."""
+    return F.when(has_id(id_col), F.concat(F.lit("id:"), F.col(id_col))).otherwise(row_identity(columns))
+
+
 def dedupe_by_id_then_space(df: DataFrame, order: Sequence[str], id_col: str = "id",
                             space=("time", "latitude", "longitude")) -> DataFrame:
-    """Latest row per id (rows without id are exempt), then the last per (time, lat, lon)."""
-    named = latest_per_key(df.filter(has_id(id_col)), [id_col], *order)
-    both = named.unionByName(df.filter(~F.coalesce(has_id(id_col), F.lit(False))))
-    return latest_per_key(both, list(space), F.col(id_col).isNull().cast("int"), *order)
+    """Latest row per id (different rows without id are exempt), then the last per (time, lat, lon)."""
+    keyed = df.withColumn("__key", identity_key(df.columns, id_col))
+    named = latest_per_key(keyed, ["__key"], *order).drop("__key")
+    return latest_per_key(named, list(space), F.col(id_col).isNull().cast("int"), *order)
 
 
 def incremental_merge(old: DataFrame, new: DataFrame, id_col: str = "id",
@@ -89,33 +100,30 @@ def catalog_upsert(base: DataFrame, incoming: DataFrame, columns: Sequence[str])
     settled by the latest ``updated``.
     """
     cols = list(columns)
-    # rows are named by content (two independent 64-bit hashes), so that a recomputed task gives the same names
-    ident = F.concat(F.hex(F.xxhash64(*cols)), F.hex(F.xxhash64(F.lit(7), *reversed(cols))))
-    b = base.select(*cols).withColumn("row", ident)
-    inc = incoming.select(*cols).withColumn("row", ident)
-    known = b.filter(has_id()).select(F.col("id").alias("__known")).distinct()
-    inc = inc.join(known, inc["id"] == known["__known"], "left")
-    exact = inc.filter(F.col("__known").isNotNull()).drop("__known")
-    rest = inc.filter(F.col("__known").isNull()).drop("__known")
-    matched = fuzzy_match(rest, b)
-    base_key = F.when(has_id(), F.concat(F.lit("id:"), F.col("id"))).otherwise(F.concat(F.lit("row:"), F.col("row")))
-    owner = b.select(F.col("row").alias("match"), base_key.alias("__owner"))
-    matched = matched.join(owner, "match", "left")
-    key_new = F.when(has_id(), F.concat(F.lit("id:"), F.col("id"))).otherwise(F.concat(F.lit("new:"), F.col("row")))
+    b = base.select(*cols).withColumn("row", identity_key(cols))
+    inc = incoming.select(*cols).withColumn("row", row_identity(cols))
+    # only ids that the batch asks for leave the base
+    asked = inc.filter(has_id()).select("id").distinct()
+    known = b.select("id").join(asked, "id", "left_semi").distinct().withColumnRenamed("id", "__known")
+    # one feed batch, read by both branches below
+    inc = cut_lineage(inc.join(known, inc["id"] == known["__known"], "left"))
+    exact = inc.filter(F.col("__known").isNotNull())
+    matched = fuzzy_match(inc.filter(F.col("__known").isNull()).drop("__known"), b)
+    key_new = F.concat(F.lit("new:"), identity_key(cols))
     far = F.lit("9999-12-31").cast("timestamp_ntz")
     old_time = F.lit("0001-01-01").cast("timestamp_ntz")
     merged = (
-        b.select(*cols, base_key.alias("__key"), F.lit(0).alias("__src"), F.coalesce("updated", old_time).alias("__u"))
+        b.select(*cols, F.col("row").alias("__key"), F.lit(0).alias("__src"), F.coalesce("updated", old_time).alias("__u"))
         .unionByName(exact.select(*cols, F.concat(F.lit("id:"), F.col("id")).alias("__key"), F.lit(1).alias("__src"),
                                   F.coalesce("updated", far).alias("__u")))
-        .unionByName(matched.select(*cols, F.coalesce("__owner", key_new).alias("__key"),
-                                    F.when(F.col("__owner").isNotNull(), 2).otherwise(1).alias("__src"),
+        .unionByName(matched.select(*cols, F.coalesce("match", key_new).alias("__key"),
+                                    F.when(F.col("match").isNotNull(), 2).otherwise(1).alias("__src"),
                                     F.coalesce("updated", far).alias("__u"))))
     # a fuzzy match always wins over its target; otherwise the later date, then the incoming row
     winner = latest_per_key(merged, ["__key"], (F.col("__src") == 2).cast("int"), "__u", "__src", "time")
-    winner = winner.select(*cols, "__u", "__src")
-    named = latest_per_key(winner.filter(has_id()), ["id"], F.coalesce("updated", old_time), "__src")
-    return named.unionByName(winner.filter(~F.coalesce(has_id(), F.lit(False)))).select(*cols)
+    # ids are unique in the result: a target may have taken the id of another row
+    final = winner.select(*cols, "__src").withColumn("__key", identity_key(cols))
+    return latest_per_key(final, ["__key"], F.coalesce("updated", old_time), "__src").select(*cols)
 
 
 def new_ids(merged: DataFrame, before: DataFrame, id_col: str = "id") -> DataFrame:
