@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from riskweave.operators import calibration as cal
 from riskweave.operators.evaluation import forecast_metrics
+from riskweave.session import cut_lineage
 
 
 def walk_forward(df: DataFrame, date: str, origins: Sequence[str], years_test: float = 4.0, inner_share: float = 0.55) -> DataFrame:
@@ -39,17 +40,18 @@ def ladder(train: DataFrame, test: DataFrame, y: str, rate: str, activity: str,
     logs = {"__o": F.log1p(activity), "__r": F.log1p(rate)}
     train, test = train.withColumns(logs), test.withColumns(logs)
     base = train.agg(F.avg(y)).first()[0]
-    edges = {"r1": cal.quantile_edges(train, rate, 10), "o1": cal.quantile_edges(train, activity, 10), "o2": cal.quantile_edges(train, "__o", 8, True), "r2": cal.quantile_edges(train, rate, 8),
-             "o3": cal.quantile_edges(train, "__o", 7, True), "r3": cal.quantile_edges(train, "__r", n_rate), "s3": cal.quantile_edges(train, score, n_score)}
-    source = {"r1": rate, "o1": activity, "o2": "__o", "r2": rate, "o3": "__o", "r3": "__r", "s3": score}
+    axes = {"r1": (rate, 10, False), "o1": (activity, 10, False), "o2": ("__o", 8, True), "r2": (rate, 8, False), "o3": ("__o", 7, True),
+            "r3": ("__r", n_rate, False), "s3": (score, n_score, False)}
+    edges = cal.edge_sets(train, axes)
     def binned(df):
-        return df.withColumns({b: cal.bin_of(c, edges[b]) for b, c in source.items()})
+        return df.withColumns({b: cal.bin_of(c, edges[b]) for b, (c, _, _) in axes.items()})
     train, test = binned(train), binned(test)
     models = {"rate": ([("r1", 10)], min_1d), "activity": ([("o1", 10)], min_1d), "activity_rate": ([("o2", 7), ("r2", 8)], min_2d), "full": ([("o3", 6), ("r3", n_rate), ("s3", n_score)], min_3d)}
     out = test.withColumn("constant", F.lit(base))
     for name, (bins, need) in models.items():
         out = cal.apply_binned(out, cal.binned_rate(train, bins, y, need), [b for b, _ in bins], name)
-    long = out.withColumn("y", F.col(y).cast("double")).unpivot(["y"], ["constant", *models], "model", "p")
+    # scored once, read by the thresholds and by the metrics
+    long = cut_lineage(out.withColumn("y", F.col(y).cast("double")).unpivot(["y"], ["constant", *models], "model", "p"))
     return forecast_metrics(long, ["model"], "p", "y", base)
 
 

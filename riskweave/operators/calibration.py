@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskweave.operators.quantiles import bucket_of, quantiles
+from riskweave.operators.quantiles import bucket_of, quantile_sets, quantiles
 
 
 def interior_shares(n: int) -> list[float]:
@@ -23,6 +23,15 @@ def quantile_edges(df: DataFrame, column: str, n: int, positive_only: bool = Fal
     return quantiles(df, column, interior_shares(n))
 
 
+def edge_sets(df: DataFrame, axes: Mapping[str, tuple[str, int, bool]]) -> dict[str, list[float]]:
+    """Inner edges of several axes: name -> (column, bins, positive values only)."""
+    wanted = {}
+    for name, (column, n, positive) in axes.items():
+        wanted[name] = ((f"CASE WHEN `{column}` > 0 THEN `{column}` END", [i / (n - 1) for i in range(1, n - 1)]) if positive
+                        else (f"`{column}`", interior_shares(n)))
+    return quantile_sets(df, wanted)
+
+
 def bin_of(column: str | Column, edges: Sequence[float]) -> Column:
     """Bin number: inner edges at or below the value."""
     return bucket_of(column, list(edges))

@@ -19,18 +19,25 @@ from riskweave.session import cut_lineage
 EPS_P = 1e-5
 
 
-def grouped_quantile(df: DataFrame, keys: Sequence[str], column: str, share: float, out: str = "q") -> DataFrame:
-    """Exact interpolated quantile per group without holding a group in one buffer."""
+def grouped_quantiles(df: DataFrame, keys: Sequence[str], column: str, shares: Mapping[str, float]) -> DataFrame:
+    """Exact interpolated quantiles per group (output column -> share) without holding a group in one buffer."""
     clean = df.filter(F.col(column).isNotNull()).withColumn("__one", F.lit(1))
     sizes = clean.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     tot = ordered_totals(clean, keys, column, ["__one"]).join(sizes, list(keys))
-    pos = share * (F.col("__n") - 1)
     upper = F.col("__one_below") + F.col("__one")
     def holds(rank):
-        return F.when((F.col("__one_below") <= rank) & (rank < upper), F.col(column))
-    g = tot.groupBy(*keys).agg(F.max(holds(F.floor(pos))).alias("__lo"), F.max(holds(F.ceil(pos))).alias("__hi"),
-                               F.first(pos - F.floor(pos)).alias("__f"))
-    return g.select(*keys, (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__f")).alias(out))
+        return F.max(F.when((F.col("__one_below") <= rank) & (rank < upper), F.col(column)))
+    aggs = []
+    for out, share in shares.items():
+        pos = share * (F.col("__n") - 1)
+        aggs += [holds(F.floor(pos)).alias(f"__lo_{out}"), holds(F.ceil(pos)).alias(f"__hi_{out}"), F.first(pos - F.floor(pos)).alias(f"__f_{out}")]
+    g = tot.groupBy(*keys).agg(*aggs)
+    return g.select(*keys, *[(F.col(f"__lo_{o}") + (F.col(f"__hi_{o}") - F.col(f"__lo_{o}")) * F.col(f"__f_{o}")).alias(o) for o in shares])
+
+
+def grouped_quantile(df: DataFrame, keys: Sequence[str], column: str, share: float, out: str = "q") -> DataFrame:
+    """One exact quantile per group."""
+    return grouped_quantiles(df, keys, column, {out: share})
 
 
 def forecast_metrics(df: DataFrame, keys: Sequence[str], p: str, y: str, p0: str | float) -> DataFrame:

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from riskweave.functions.fuzzy import centroid
 from riskweave.functions.probability import logistic_score
-from riskweave.operators.calibration import bin_of, quantile_edges
+from riskweave.operators.calibration import bin_of, edge_sets
 from riskweave.operators.evaluation import rank_scores
 
 
 def mutual_information(df: DataFrame, features: Sequence[str], label: str, bins: int = 8) -> DataFrame:
     """Mutual information of each feature (equal-count bins) with a binary label, in nats."""
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), bin_of(c, quantile_edges(df, c, bins)).alias("b")) for c in features])
+    edges = edge_sets(df, {c: (c, bins, False) for c in features})
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), bin_of(c, edges[c]).alias("b")) for c in features])
     counts = df.select(F.explode(cells).alias("c"), F.col(label).alias("y")).groupBy("c.feature", "c.b", "y").agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(Window.partitionBy("feature"))
     q = F.col("n") / total

@@ -65,14 +65,13 @@ def partition_coverage(df: DataFrame, column: str, sets: Mapping[str, Sequence[f
 def distribution(df: DataFrame, channels: Sequence[str], sets: Mapping[str, Sequence[float]], saturation: float = 0.95,
                  span_ok: float = 0.15, span_warn: float = 0.05) -> DataFrame:
     """Quantiles, saturated and zero share, share of rows above 0.5 per term, and a verdict on the spread."""
-    from riskweave.operators.evaluation import grouped_quantile
+    from riskweave.operators.evaluation import grouped_quantiles
 
     long = melt(df, [], channels)
     stats = long.groupBy("channel").agg(
         F.min("x").alias("q0"), F.max("x").alias("q100"), F.avg((F.abs("x") > saturation).cast("double")).alias("saturated"),
         F.avg((F.col("x") == 0).cast("double")).alias("zero_share"),
         *[F.avg((membership("x", p) > 0.5).cast("double")).alias(f"share_{t}") for t, p in sets.items()])
-    for share, name in ((0.05, "q5"), (0.5, "q50"), (0.95, "q95")):
-        stats = stats.join(grouped_quantile(long, ["channel"], "x", share, name), "channel")
+    stats = stats.join(grouped_quantiles(long, ["channel"], "x", {"q5": 0.05, "q50": 0.5, "q95": 0.95}), "channel")
     span = F.col("q95") - F.col("q5")
     return stats.withColumn("verdict", F.when(span > span_ok, "PASS").when(span > span_warn, "WARN").otherwise("FAIL"))

@@ -9,7 +9,7 @@ whatever the sketch returned: the split points only decide where the buckets end
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,10 +27,11 @@ def split_points(df: DataFrame, column: str, buckets: int = 256) -> tuple[int, l
 
 def bucket_of(column: str | Column, points: Sequence[float]) -> Column:
     """Number of split points at or below the value (a bounded literal array)."""
-    c = F.col(column) if isinstance(column, str) else column
     if not points:
         return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(float(p)) for p in points]), lambda e: e <= c))
+    if isinstance(column, str):
+        return F.expr(f"size(filter(array({', '.join(f'{float(p)!r}D' for p in points)}), e -> e <= `{column}`))")
+    return F.size(F.filter(F.array(*[F.lit(float(p)) for p in points]), lambda e: e <= column))
 
 
 def ordered_totals(df: DataFrame, keys: Sequence[str], column: str, sums: Sequence[str], buckets: int = 256,
@@ -55,11 +56,12 @@ def quantiles(df: DataFrame, column: str, shares: Sequence[float], buckets: int
     """Linear-interpolated quantiles of a column as a list, one per share."""
     shares = list(shares)
     clean = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    n, points = split_points(clean, "v", buckets)
+    n = clean.count()
     if n == 0:
         return [float("nan")] * len(shares)
     if n <= small_rows:
         return list(clean.agg(F.percentile("v", F.array(*[F.lit(float(s)) for s in shares])).alias("q")).first()["q"])
+    points = split_points(clean, "v", buckets)[1]
     # exact: totals per bucket locate the buckets of the wanted ranks, only those are ordered
     counted = clean.withColumn("b", bucket_of("v", points))
     totals = {r["b"]: r["n"] for r in counted.groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -83,3 +85,15 @@ def quantiles(df: DataFrame, column: str, shares: Sequence[float], buckets: int
         low, high = at[math.floor(p)], at[math.ceil(p)]
         out.append(low + (high - low) * (p - math.floor(p)))
     return out
+
+
+def quantile_sets(df: DataFrame, wanted: Mapping[str, tuple[str, Sequence[float]]], small_rows: int = SMALL_ROWS) -> dict[str, list[float]]:
+    """Quantiles of several SQL expressions: name -> (expression, shares). Null results are left out.
+
+    Up to *small_rows* rows all of them come from one aggregation, beyond that each is found by ranks.
+    """
+    cols = df.select(*[F.expr(f"CAST({e} AS double)").alias(n) for n, (e, _) in wanted.items()])
+    if df.count() > small_rows:
+        return {n: quantiles(cols, n, shares, small_rows=small_rows) for n, (_, shares) in wanted.items()}
+    row = cols.agg(*[F.percentile(n, F.array(*[F.lit(float(s)) for s in shares])).alias(n) for n, (_, shares) in wanted.items()]).first()
+    return {n: list(row[n]) if row[n] is not None else [float("nan")] * len(shares) for n, (_, shares) in wanted.items()}

@@ -102,13 +102,19 @@ class Robust:
         return self.baseline // 2 if self.min_periods is None else self.min_periods
 
 
+def _known_before(x: np.ndarray) -> np.ndarray:
+    """Values as they are known one row later."""
+    return np.concatenate([[np.nan], x[:-1]])
+
+
 def _robust_z(x: np.ndarray, width: int, needed: int) -> np.ndarray:
     """z of each row from earlier rows only: every residual uses the median known the day before."""
-    series = pd.Series(x)
-    known_median = series.rolling(width, min_periods=needed).median().shift()
-    deviation = (series - known_median).abs()
-    known_spread = deviation.rolling(width, min_periods=needed).median().shift()
-    return ((series - known_median) / (1.4826 * known_spread + 1e-9)).shift().to_numpy()
+    def median(v):
+        return pd.Series(v).rolling(width, min_periods=needed).median().to_numpy()
+
+    residual = x - _known_before(median(x))
+    spread = _known_before(median(np.abs(residual)))
+    return _known_before(residual / (1.4826 * spread + 1e-9))
 
 
 def robust_anomaly(frame: DataFrame, keys: Sequence[str], day: str, specs: Sequence[Robust]) -> DataFrame:

@@ -37,8 +37,8 @@ TWO_SQL = SCORES_SQL + f""", x AS (SELECT *, greatest(value - 30e0, 0e0) AS om F
 
 def two_axis(spark, sf):
     s = score_rows(spark, sf).withColumn("lo", F.log1p(F.greatest(F.col("value") - 30.0, F.lit(0.0))))
-    e1, e2 = cal.quantile_edges(s, "lo", 8, positive_only=True), cal.quantile_edges(s, "p", 8)
-    return s.withColumns({"b1": cal.bin_of("lo", e1), "b2": cal.bin_of("p", e2)})
+    e = cal.edge_sets(s, {"b1": ("lo", 8, True), "b2": ("p", 8, False)})
+    return s.withColumns({"b1": cal.bin_of("lo", e["b1"]), "b2": cal.bin_of("p", e["b2"])})
 
 
 @query("binned_rate_2d", f"WITH {TWO_SQL} SELECT b1, b2, n, {sql_round('p')} AS p FROM t2")
@@ -60,8 +60,9 @@ def _(spark, sf):
  w2 AS (SELECT b1, b2, b3, n, coalesce(rr, avg(rr) OVER (PARTITION BY b1), (SELECT avg(y) FROM x)) AS q FROM w1) SELECT b1, b2, b3, n, {sql_round('max(q) OVER (PARTITION BY b1, b2 ORDER BY b3)')} AS p FROM w2""")
 def _(spark, sf):
     s = score_rows(spark, sf).withColumns({"lo": F.log1p(F.greatest(F.col("value") - 30.0, F.lit(0.0))), "z": F.col("w") * F.col("value")})
-    e = [cal.quantile_edges(s, "lo", 5, True), cal.quantile_edges(s, "p", 4), cal.quantile_edges(s, "z", 4)]
-    s = s.withColumns({f"b{i + 1}": cal.bin_of(c, e[i]) for i, c in enumerate(("lo", "p", "z"))})
+    axes = {"b1": ("lo", 5, True), "b2": ("p", 4, False), "b3": ("z", 4, False)}
+    e = cal.edge_sets(s, axes)
+    s = s.withColumns({b: cal.bin_of(c, e[b]) for b, (c, _, _) in axes.items()})
     return rounded(cal.binned_rate(s, [("b1", 4), ("b2", 4), ("b3", 4)], "y", 150))
 
 

@@ -31,7 +31,7 @@ def shared_root(spark: SparkSession) -> str:
     A cluster names it in ``spark.checkpoint.dir``. Only a local master without that setting falls
     back to a temporary folder: there the driver and the executors are one process.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
