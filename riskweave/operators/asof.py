@@ -34,7 +34,8 @@ def neighbours(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time
     u = asked.select(*keys, "__t", empty.alias("__vp"), empty.alias("__vn"), F.lit(1).alias("__ask")).unionByName(r.withColumn("__ask", F.lit(0)))
     if bucket is None:
         at = F.unix_micros(F.col("__t").cast("timestamp")).cast("double")
-        u = u.withColumn("__b", bucket_of(at, split_points(asked.select(at.alias("x")), "x")[1]))
+        points = split_points(asked.select(at.alias("x")), "x")[1]
+        u = u.withColumn("__at", at).withColumn("__b", bucket_of("__at", points)).drop("__at")
     else:
         u = u.withColumn("__b", F.date_trunc(bucket, F.col("__t").cast("timestamp")))
     part = [*keys, "__b"]

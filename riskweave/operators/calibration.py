@@ -32,7 +32,7 @@ def edge_sets(df: DataFrame, axes: Mapping[str, tuple[str, int, bool]]) -> dict[
     return quantile_sets(df, wanted)
 
 
-def bin_of(column: str | Column, edges: Sequence[float]) -> Column:
+def bin_of(column: str, edges: Sequence[float]) -> Column:
     """Bin number: inner edges at or below the value."""
     return bucket_of(column, list(edges))
 

@@ -25,13 +25,21 @@ def split_points(df: DataFrame, column: str, buckets: int = 256) -> tuple[int, l
     return row["n"], sorted({float(v) for v in (row["q"] or [])})
 
 
-def bucket_of(column: str | Column, points: Sequence[float]) -> Column:
-    """Number of split points at or below the value (a bounded literal array)."""
+def bucket_of(column: str, points: Sequence[float], block: int = 16) -> Column:
+    """Number of split points at or below the value of a column (null for null).
+
+    The points are a constant array of blocks: the block is found by its last points, then only that
+    block is counted, so 256 points cost about 32 comparisons.
+    """
     if not points:
         return F.lit(0)
-    if isinstance(column, str):
-        return F.expr(f"size(filter(array({', '.join(f'{float(p)!r}D' for p in points)}), e -> e <= `{column}`))")
-    return F.size(F.filter(F.array(*[F.lit(float(p)) for p in points]), lambda e: e <= column))
+    def array(values):
+        return f"array({', '.join(values)})"
+    blocks = [[f"{float(p)!r}D" for p in points[i:i + block]] for i in range(0, len(points), block)]
+    passed = f"size(filter({array([b[-1] for b in blocks])}, e -> e <= `{column}`))"
+    inside = f"coalesce(size(filter(get({array([array(b) for b in blocks])}, {passed}), e -> e <= `{column}`)), 0)"
+    last = f"least({passed} * {block}, {len(points)})"
+    return F.expr(f"CASE WHEN `{column}` IS NOT NULL THEN {last} + CASE WHEN {passed} < {len(blocks)} THEN {inside} ELSE 0 END END")
 
 
 def ordered_totals(df: DataFrame, keys: Sequence[str], column: str, sums: Sequence[str], buckets: int = 256,
