@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskweave.operators.quantiles import bucket_of, split_points
+from riskweave.operators.quantiles import bucket_of, bucket_points
 
 
 def neighbours(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str,
@@ -34,7 +34,7 @@ def neighbours(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time
     u = asked.select(*keys, "__t", empty.alias("__vp"), empty.alias("__vn"), F.lit(1).alias("__ask")).unionByName(r.withColumn("__ask", F.lit(0)))
     if bucket is None:
         at = F.unix_micros(F.col("__t").cast("timestamp")).cast("double")
-        points = split_points(asked.select(at.alias("x")), "x")[1]
+        points = bucket_points(left.select(F.unix_micros(F.col(left_time).cast("timestamp")).cast("double").alias("x")), "x")
         u = u.withColumn("__at", at).withColumn("__b", bucket_of("__at", points)).drop("__at")
     else:
         u = u.withColumn("__b", F.date_trunc(bucket, F.col("__t").cast("timestamp")))

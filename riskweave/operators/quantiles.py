@@ -25,14 +25,15 @@ def split_points(df: DataFrame, column: str, buckets: int = 256) -> tuple[int, l
     return row["n"], sorted({float(v) for v in (row["q"] or [])})
 
 
-def bucket_of(column: str, points: Sequence[float], block: int = 16) -> Column:
+def bucket_of(column: str, points: Sequence[float]) -> Column:
     """Number of split points at or below the value of a column (null for null).
 
     The points are a constant array of blocks: the block is found by its last points, then only that
-    block is counted, so 256 points cost about 32 comparisons.
+    block is counted, so 4096 points cost about 128 comparisons.
     """
     if not points:
         return F.lit(0)
+    block = math.isqrt(len(points) - 1) + 1
     def array(values):
         return f"array({', '.join(values)})"
     blocks = [[f"{float(p)!r}D" for p in points[i:i + block]] for i in range(0, len(points), block)]
@@ -42,13 +43,16 @@ def bucket_of(column: str, points: Sequence[float], block: int = 16) -> Column:
     return F.expr(f"CASE WHEN `{column}` IS NOT NULL THEN {last} + CASE WHEN {passed} < {len(blocks)} THEN {inside} ELSE 0 END END")
 
 
-def ordered_totals(df: DataFrame, keys: Sequence[str], column: str, sums: Sequence[str], buckets: int = 256,
-                   small_rows: int = SMALL_ROWS) -> DataFrame:
+def bucket_points(df: DataFrame, column: str, rows_per_bucket: int = 1_000_000, most: int = 4096) -> list[float]:
+    """Split points for buckets of about *rows_per_bucket* rows; none when one bucket is enough."""
+    buckets = min(most, df.count() // rows_per_bucket)
+    return split_points(df, column, buckets)[1] if buckets > 1 else []
+
+
+def ordered_totals(df: DataFrame, keys: Sequence[str], column: str, sums: Sequence[str], buckets: int | None = None) -> DataFrame:
     """Distinct (keys, value) with each sum and ``<sum>_below``, the total of smaller values."""
     merged = df.groupBy(*keys, column).agg(*[F.sum(s).alias(s) for s in sums])
-    n, points = split_points(df, column, buckets)
-    if n <= small_rows:
-        points = points[::max(1, buckets // 8)]
+    points = split_points(df, column, buckets)[1] if buckets else bucket_points(df, column)
     merged = merged.withColumn("__b", bucket_of(column, points))
     inside = Window.partitionBy(*keys, "__b").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
     across = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)

@@ -48,11 +48,19 @@ def test_ordered_totals_with_a_hot_group(spark):
     rng = np.random.default_rng(2)
     rows = [("hot" if i % 3 else f"g{i % 7}", float(rng.integers(0, 40)), 1) for i in range(2000)]
     df = spark.createDataFrame(rows, "g string, v double, n int")
-    got = {(r["g"], r["v"]): r["n_below"] for r in ordered_totals(df, ["g"], "v", ["n"], buckets=16, small_rows=10).collect()}
+    got = {(r["g"], r["v"]): r["n_below"] for r in ordered_totals(df, ["g"], "v", ["n"], buckets=16).collect()}
     for (g, v), below in got.items():
         assert below == sum(1 for a, b, _ in rows if a == g and b < v)
 
 
+def test_bucket_lookup_counts_the_points(spark):
+    from riskweave.operators.quantiles import bucket_of
+
+    points = [float(p) for p in range(0, 300, 3)]
+    rows = spark.range(-5, 310).select((F.col("id") * 1.0).alias("x")).select("x", bucket_of("x", points).alias("b")).collect()
+    assert all(r["b"] == sum(p <= r["x"] for p in points) for r in rows)
+
+
 def test_grouped_quantile_and_auc(spark):
     rng = np.random.default_rng(4)
     p, y, w = rng.random(400).round(2), rng.integers(0, 2, 400), rng.integers(1, 4, 400)
