@@ -2,19 +2,63 @@
 
 from __future__ import annotations
 
-from riskweave.llm import mixing, sharding
+from pyspark.sql import DataFrame, SparkSession
+
+from riskweave.llm import (decontamination, linededup, mixing, neighbours, quoting, scoring, sharding, simhash, toxicity,
+                           warc)
 from riskweave.session import table
 
 
-def op4_sharding(spark, sf_dir):
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents hold."""
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with one line left of each group of like lines."""
+    return linededup.clean_documents(table(spark, sf_dir, "documents"))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into 40 shards."""
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-def op9_mixing(spark, sf_dir):
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages through web archives and back."""
+    return warc.page_captures(table(spark, sf_dir, "pages"))
+
+
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest rows of each twentieth vector."""
+    return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op7_quoting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages in reply order without quotes."""
+    return quoting.conversations(table(spark, sf_dir, "conversations"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the targets of their sources."""
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_sharding, op9_mixing)}
-ORACLES = {"op4_sharding": sharding.oracle(), "op9_mixing": mixing.ORACLE}
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of all documents."""
+    return scoring.score_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_line_dedup, op4_sharding, op5_warc, op6_neighbours,
+                                   op7_quoting, op8_toxicity, op9_mixing, op10_lm_scoring)}
+ORACLES = {"op4_sharding": sharding.oracle(), "op7_quoting": quoting.ORACLE, "op9_mixing": mixing.ORACLE}
