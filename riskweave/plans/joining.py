@@ -179,15 +179,13 @@ def _(spark, sf):
 
 
 @query("station_code_match", f"""WITH {READINGS_SQL}, st AS (SELECT DISTINCT station, segment FROM readings), files AS (SELECT s_suppkey % 17 AS code, 'series-' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS file FROM supplier),
- f AS (SELECT code, min(file) AS file FROM files GROUP BY code), j AS (SELECT segment, station, file, row_number() OVER (PARTITION BY segment ORDER BY station) AS r FROM st JOIN f ON f.code = st.station)
- SELECT segment, station, file FROM j WHERE r <= 2""")
+ f AS (SELECT code, min(file) AS file FROM files GROUP BY code) SELECT segment, station, file FROM st JOIN f ON f.code = st.station""")
 def _(spark, sf):
     st = readings(spark, sf).select("station", "segment").distinct()
     files = table(spark, sf, "supplier").select((F.col("s_suppkey") % 17).alias("station"),
                                                 F.concat(F.lit("series-"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0")).alias("file"))
     first = files.groupBy("station").agg(F.min("file").alias("file"))
-    w = Window.partitionBy("segment").orderBy("station")
-    return st.join(first, "station").withColumn("r", F.row_number().over(w)).filter("r <= 2").select("segment", "station", "file")
+    return st.join(first, "station").select("segment", "station", "file")
 
 
 @query("group_prior_lookup", f"""WITH {CATALOG_SQL}, tr AS (SELECT segment, mag FROM catalog WHERE day < DATE '1999-01-01' AND segment <> 5), md AS (SELECT segment, quantile_cont(mag, 0.5) AS m FROM tr GROUP BY segment),

@@ -94,7 +94,7 @@ def _(spark, sf):
 
 @query("forest_importance")
 def _(spark, sf):
-    imp = ln.forest_importance(ln.class_balance(cases(spark, sf), "y"), CH, "y", trees=60, weight="__w")
+    imp = ln.forest_importance(ln.class_balance(cases(spark, sf), "y"), CH, "y", trees=300, weight="__w")
     return rounded(spark.createDataFrame(imp, "feature string, importance double"))
 
 
