@@ -53,10 +53,10 @@ def _(spark, sf):
     return rounded(sensors.latest_release(monthly(spark, sf), "available_at", "month", "total_vol"), 2)
 
 
-@query("axial_circular_mean", f"""WITH {CATALOG_SQL}, t AS (SELECT segment, avg(cos(radians(depth * 6e0))) AS c, avg(sin(radians(depth * 6e0))) AS s, count(*) AS n FROM catalog WHERE depth BETWEEN 8 AND 22 GROUP BY segment)
+@query("axial_circular_mean", f"""WITH {CATALOG_SQL}, t AS (SELECT segment, avg(cos(radians(depth * 6e0))) AS c, avg(sin(radians(depth * 6e0))) AS s, count(*) AS n FROM catalog GROUP BY segment)
  SELECT segment, {sql_round('((degrees(atan2(s, c)) / 2) % 180e0 + 180e0) % 180e0')} AS mean_azimuth, {sql_round('sqrt(c * c + s * s)')} AS concentration, n FROM t""")
 def _(spark, sf):
-    c = catalog(spark, sf).filter(F.col("depth").between(8, 22)).withColumn("azi", F.col("depth") * 3.0)
+    c = catalog(spark, sf).withColumn("azi", F.col("depth") * 3.0)
     return rounded(sensors.axial_mean(c, ["segment"], "azi"))
 
 
@@ -105,10 +105,10 @@ def _(spark, sf):
     return rounded(quality.partition_coverage(channels(spark, sf), "a_water", ANOMALY_SETS))
 
 
-@query("class_histogram", f"""WITH {CATALOG_SQL}, r AS (SELECT CAST(floor(latitude) AS INTEGER) AS la, CAST(floor(longitude) AS INTEGER) AS lo, count(*) / 6.6e0 AS rate FROM catalog WHERE mag >= 5.5e0 GROUP BY 1, 2)
+@query("class_histogram", f"""WITH {CATALOG_SQL}, r AS (SELECT CAST(floor(latitude) AS INTEGER) AS la, CAST(floor(longitude) AS INTEGER) AS lo, count(*) / 66e0 AS rate FROM catalog GROUP BY 1, 2)
  SELECT CASE WHEN rate > 8 THEN 3 WHEN rate > 2 THEN 2 WHEN rate > 0.5 THEN 1 ELSE 0 END AS class, count(*) AS n FROM r GROUP BY 1""")
 def _(spark, sf):
-    r = catalog(spark, sf).filter("mag >= 5.5").groupBy(F.floor("latitude").alias("la"), F.floor("longitude").alias("lo")).agg((F.count(F.lit(1)) / 6.6).alias("rate"))
+    r = catalog(spark, sf).groupBy(F.floor("latitude").alias("la"), F.floor("longitude").alias("lo")).agg((F.count(F.lit(1)) / 66.0).alias("rate"))
     return r.groupBy(value_bucket("rate", [0.5, 2, 8], [0, 1, 2, 3], strict=True).alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 

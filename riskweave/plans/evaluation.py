@@ -230,19 +230,19 @@ def _(spark, sf):
     return rounded(e.groupBy("grp").agg(F.avg(F.when(F.col("y") == 1, hit)).alias("sensitivity"), F.avg(F.when(F.col("y") == 0, hit)).alias("false_fraction")))
 
 
-@query("episode_starts", f"""WITH {SCORES_SQL}, d AS (SELECT grp, day, max(y) AS y FROM scores WHERE value < 160 OR y = 0 GROUP BY 1, 2), l AS (SELECT *, lag(y) OVER (PARTITION BY grp ORDER BY day) AS py FROM (SELECT grp, day, CASE WHEN day_of = 0 THEN 0 ELSE y END AS y FROM (SELECT *, dayofmonth(day) % 3 AS day_of FROM d)))
+@query("episode_starts", f"""WITH {SCORES_SQL}, d AS (SELECT grp, day, max(y) AS y FROM scores GROUP BY 1, 2), l AS (SELECT *, lag(y) OVER (PARTITION BY grp ORDER BY day) AS py FROM (SELECT grp, day, CASE WHEN day_of = 0 THEN 0 ELSE y END AS y FROM (SELECT *, dayofmonth(day) % 3 AS day_of FROM d)))
  SELECT grp, count(*) FILTER (WHERE y = 1 AND py = 0) AS starts FROM l GROUP BY grp""")
 def _(spark, sf):
-    d = score_rows(spark, sf).filter("value < 160 OR y = 0").groupBy("grp", "day").agg(F.max("y").alias("y"))
+    d = score_rows(spark, sf).groupBy("grp", "day").agg(F.max("y").alias("y"))
     d = d.withColumn("y", F.when(F.dayofmonth("day") % 3 == 0, 0).otherwise(F.col("y")))
     d = d.withColumn("py", F.lag("y").over(Window.partitionBy("grp").orderBy("day")))
     return d.groupBy("grp").agg(F.count(F.when((F.col("y") == 1) & (F.col("py") == 0), 1)).alias("starts"))
 
 
-@query("promotion_gate", f"""WITH {SCORES_SQL}, m AS (SELECT grp, count(DISTINCT episode) AS events, avg(y) AS rate, 1 - avg(abs(p - y)) AS fit FROM scores WHERE y = 1 OR p > 0.2 GROUP BY grp)
+@query("promotion_gate", f"""WITH {SCORES_SQL}, m AS (SELECT grp, count(DISTINCT episode) AS events, avg(y) AS rate, 1 - avg(abs(p - y)) AS fit FROM scores GROUP BY grp)
  SELECT grp, events >= 20 AS enough_events, rate <= 0.16e0 AS rate_ok, fit >= 0.56e0 AS fit_ok, events >= 20 AND rate <= 0.16e0 AND fit >= 0.56e0 AS promoted, CASE WHEN events >= 20 AND rate <= 0.16e0 AND fit >= 0.56e0 THEN 'candidate' ELSE 'shadow_research' END AS status FROM m""")
 def _(spark, sf):
-    m = score_rows(spark, sf).filter("y = 1 OR p > 0.2").groupBy("grp").agg(
+    m = score_rows(spark, sf).groupBy("grp").agg(
         F.countDistinct("episode").alias("events"), F.avg("y").alias("rate"), (1 - F.avg(F.abs(F.col("p") - F.col("y")))).alias("fit"))
     out = ev.promotion_gate(m, {"enough_events": ("events", ">=", 20), "rate_ok": ("rate", "<=", 0.16), "fit_ok": ("fit", ">=", 0.56)})
     return out.drop("events", "rate", "fit")
