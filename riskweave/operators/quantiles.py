@@ -14,8 +14,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SMALL_ROWS = 2_000_000
-
 
 def split_points(df: DataFrame, column: str, buckets: int = 256) -> tuple[int, list[float]]:
     """(number of non-null rows, increasing split points) from one aggregation."""
@@ -63,49 +61,22 @@ def ordered_totals(df: DataFrame, keys: Sequence[str], column: str, sums: Sequen
         *keys, column, *sums, *[(F.col(f"__l_{s}") + F.col(f"__c_{s}")).alias(f"{s}_below") for s in sums])
 
 
-def quantiles(df: DataFrame, column: str, shares: Sequence[float], buckets: int = 1024,
-              small_rows: int = SMALL_ROWS) -> list[float]:
+def quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float]:
     """Linear-interpolated quantiles of a column as a list, one per share."""
-    shares = list(shares)
-    clean = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    n = clean.count()
-    if n == 0:
-        return [float("nan")] * len(shares)
-    if n <= small_rows:
-        return list(clean.agg(F.percentile("v", F.array(*[F.lit(float(s)) for s in shares])).alias("q")).first()["q"])
-    points = split_points(clean, "v", buckets)[1]
-    # exact: totals per bucket locate the buckets of the wanted ranks, only those are ordered
-    counted = clean.withColumn("b", bucket_of("v", points))
-    totals = {r["b"]: r["n"] for r in counted.groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect()}
-    wanted, start, offsets = set(), 0, {}
-    positions = [s * (n - 1) for s in shares]
-    for b in sorted(totals):
-        offsets[b] = start
-        start += totals[b]
-    ranks = sorted({r for p in positions for r in (math.floor(p), math.ceil(p))})
-    for b, off in offsets.items():
-        if any(off <= r < off + totals[b] for r in ranks):
-            wanted.add(b)
-    off_col = F.element_at(F.create_map(*[F.lit(x) for b in wanted for x in (b, offsets[b])]), F.col("b"))
-    cells = counted.filter(F.col("b").isin(*wanted)).groupBy("b", "v").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("lo", off_col + F.coalesce(F.sum("c").over(w), F.lit(0)))
-    hit = F.filter(F.array(*[F.lit(r) for r in ranks]), lambda r: (r >= F.col("lo")) & (r < F.col("lo") + F.col("c")))
-    at = {r["r"]: r["v"] for r in cells.select("v", F.explode(hit).alias("r")).collect()}
-    out = []
-    for p in positions:
-        low, high = at[math.floor(p)], at[math.ceil(p)]
-        out.append(low + (high - low) * (p - math.floor(p)))
-    return out
-
-
-def quantile_sets(df: DataFrame, wanted: Mapping[str, tuple[str, Sequence[float]]], small_rows: int = SMALL_ROWS) -> dict[str, list[float]]:
+    return quantile_sets(df, {"v": (f"`{column}`", shares)})["v"]
+
+
+def quantile_sets(df: DataFrame, wanted: Mapping[str, tuple[str, Sequence[float]]]) -> dict[str, list[float]]:
     """Quantiles of several SQL expressions: name -> (expression, shares). Null results are left out.
 
-    Up to *small_rows* rows all of them come from one aggregation, beyond that each is found by ranks.
+    All expressions stand below each other as (name, value) and share one search by totals over
+    distinct values; a name without a value has NaN.
     """
-    cols = df.select(*[F.expr(f"CAST({e} AS double)").alias(n) for n, (e, _) in wanted.items()])
-    if df.count() > small_rows:
-        return {n: quantiles(cols, n, shares, small_rows=small_rows) for n, (_, shares) in wanted.items()}
-    row = cols.agg(*[F.percentile(n, F.array(*[F.lit(float(s)) for s in shares])).alias(n) for n, (_, shares) in wanted.items()]).first()
-    return {n: list(row[n]) if row[n] is not None else [float("nan")] * len(shares) for n, (_, shares) in wanted.items()}
+    from riskweave.operators.evaluation import grouped_quantiles
+
+    pairs = F.array(*[F.struct(F.lit(n).alias("name"), F.expr(f"CAST({e} AS double)").alias("v")) for n, (e, _) in wanted.items()])
+    long = df.select(F.explode(pairs).alias("p")).select("p.name", "p.v").filter("v IS NOT NULL")
+    every = sorted({float(s) for _, shares in wanted.values() for s in shares})
+    rows = grouped_quantiles(long, ["name"], "v", {f"q{i}": s for i, s in enumerate(every)}).collect()
+    found = {r["name"]: {s: r[f"q{i}"] for i, s in enumerate(every)} for r in rows}
+    return {n: [found[n][float(s)] if n in found else float("nan") for s in shares] for n, (_, shares) in wanted.items()}

@@ -62,21 +62,24 @@ def dominant_category(df: DataFrame, keys: Sequence[str], category: str) -> Data
 
 # ---------------------------------------------------------------- rasters in long form
 
-def bilinear(points: DataFrame, grid: DataFrame, step_lat: float, step_lon: float, lat0: float, lon0: float, value: str = "vtec") -> DataFrame:
+def bilinear(points: DataFrame, grid: DataFrame, step_lat: float, step_lon: float, lat0: float, lon0: float, n_lat: int, n_lon: int,
+             value: str = "vtec") -> DataFrame:
     """Bilinear value at each point, averaged over the maps of a day.
 
-    *grid* has day, map, lat, lon (regular, from lat0/lon0) and a value. A point expands to its four
-    weighted corners and meets the grid in one equi join; the weighted sum is a partial aggregation.
+    *grid* has day, map, lat, lon (regular, n_lat by n_lon from lat0/lon0) and a value. A point expands to
+    its four weighted corners and meets the grid in one equi join; the weighted mean is a partial
+    aggregation. Points outside take the value at the edge; a corner that a map lacks has no weight.
     """
-    i, j = F.floor((F.col("latitude") - lat0) / step_lat), F.floor((F.col("longitude") - lon0) / step_lon)
-    ti = (F.col("latitude") - lat0) / step_lat - i
-    tj = (F.col("longitude") - lon0) / step_lon - j
+    y = F.greatest(F.lit(0.0), F.least((F.col("latitude") - lat0) / step_lat, F.lit(n_lat - 1.0)))
+    x = F.greatest(F.lit(0.0), F.least((F.col("longitude") - lon0) / step_lon, F.lit(n_lon - 1.0)))
+    i, j = F.least(F.floor(y), F.lit(n_lat - 2)), F.least(F.floor(x), F.lit(n_lon - 2))
+    ti, tj = y - i, x - j
     corner = F.array(*[F.struct((i + a).cast("int").alias("gi"), (j + b).cast("int").alias("gj"),
                                 ((ti if a else 1 - ti) * (tj if b else 1 - tj)).alias("w")) for a in (0, 1) for b in (0, 1)])
-    c = points.select("point", F.explode(corner).alias("c")).select("point", "c.gi", "c.gj", "c.w")
+    c = points.select("point", F.explode(corner).alias("c")).select("point", "c.gi", "c.gj", "c.w").filter("w > 0")
     g = grid.select("day", "map", F.round((F.col("lat") - lat0) / step_lat).cast("int").alias("gi"),
                     F.round((F.col("lon") - lon0) / step_lon).cast("int").alias("gj"), F.col(value).alias("v"))
-    per_map = c.join(g, ["gi", "gj"]).groupBy("point", "day", "map").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
+    per_map = c.join(g.filter("v IS NOT NULL"), ["gi", "gj"]).groupBy("point", "day", "map").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("v"))
     return per_map.groupBy("point", "day").agg(F.avg("v").alias(value))
 
 

@@ -88,9 +88,9 @@ def _(spark, sf):
 def _(spark, sf):
     from riskweave.functions.fuzzy import strictly_increasing
 
-    shares = F.array(*[F.lit(x) for x in (0.02, 0.25, 0.5, 0.75, 0.98)])
-    q = score_rows(spark, sf).groupBy("grp").agg(F.percentile("w", shares).alias("b"))
-    q = q.withColumn("k", strictly_increasing("b"))
+    shares = {f"q{i}": x for i, x in enumerate((0.02, 0.25, 0.5, 0.75, 0.98))}
+    q = ev.grouped_quantiles(score_rows(spark, sf), ["grp"], "w", shares)
+    q = q.withColumn("k", strictly_increasing(F.array(*shares)))
     return rounded(q.select("grp", *[F.col("k")[i].alias(f"k{i + 1}") for i in range(5)]))
 
 

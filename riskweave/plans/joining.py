@@ -14,17 +14,17 @@ from riskweave.plans.standins import (
 from riskweave.registry import query
 from riskweave.session import table
 
-FEAT_SQL = READINGS_SQL + ", feat AS (SELECT segment, day, avg(value) AS value FROM readings WHERE station < 8 AND flag <> 'N' GROUP BY 1, 2)"
+FEAT_SQL = READINGS_SQL + ", feat AS (SELECT segment, day, avg(value) AS value FROM readings GROUP BY 1, 2)"
 
 
 def features(spark, sf):
-    return readings(spark, sf).filter("station < 8 AND flag <> 'N'").groupBy("segment", "day").agg(F.avg("value").alias("value"))
+    return readings(spark, sf).groupBy("segment", "day").agg(F.avg("value").alias("value"))
 
 
-@query("asof_backward_row", f"""WITH {CATALOG_SQL}, {FEAT_SQL}, a AS (SELECT id, segment, day - 7 AS anchor FROM catalog WHERE mag >= 5.6e0 AND segment < 4)
+@query("asof_backward_row", f"""WITH {CATALOG_SQL}, {FEAT_SQL}, a AS (SELECT id, segment, day - 7 AS anchor FROM catalog WHERE mag >= 5.6e0)
  SELECT a.id, a.segment, CAST(a.anchor AS DATE) AS anchor, f.day AS feature_day, {sql_round('f.value')} AS value FROM a ASOF LEFT JOIN feat f ON a.segment = f.segment AND a.anchor >= f.day""")
 def _(spark, sf):
-    a = catalog(spark, sf).filter("mag >= 5.6 AND segment < 4").select("id", "segment", F.date_sub("day", 7).alias("anchor"))
+    a = catalog(spark, sf).filter("mag >= 5.6").select("id", "segment", F.date_sub("day", 7).alias("anchor"))
     out = asof.neighbours(a, features(spark, sf), ["segment"], "anchor", "day", ["value"], next=False)
     return rounded(out.select("id", "segment", "anchor", F.col("prev.t").alias("feature_day"), F.col("prev.value").alias("value")))
 
@@ -48,10 +48,10 @@ NEAREST_SQL = f"""b AS (SELECT a.id, a.segment, a.time, f.day AS d, f.value AS v
    CASE WHEN b.d IS NULL OR (n.d IS NOT NULL AND {sql_days('n.d', 'b.time')} <= {sql_days('b.time', 'b.d')}) THEN n.v ELSE b.v END AS v FROM b JOIN n USING (id))"""
 
 
-@query("asof_nearest", f"""WITH {CATALOG_SQL}, {FEAT_SQL}, a AS (SELECT id, segment, time FROM catalog WHERE segment < 4), {NEAREST_SQL}
+@query("asof_nearest", f"""WITH {CATALOG_SQL}, {FEAT_SQL}, a AS (SELECT id, segment, time FROM catalog), {NEAREST_SQL}
  SELECT id, d AS match_day, {sql_round('v')} AS value FROM near""")
 def _(spark, sf):
-    a = catalog(spark, sf).filter("segment < 4").select("id", "segment", "time")
+    a = catalog(spark, sf).select("id", "segment", "time")
     f = features(spark, sf).withColumn("fday", F.col("day").cast("timestamp_ntz"))
     out = asof.nearest(a, f, ["segment"], "time", "fday", ["value"])
     return rounded(out.select("id", F.to_date("match.t").alias("match_day"), F.col("match.value").alias("value")))
@@ -132,25 +132,25 @@ def _(spark, sf):
     return ep.event_count_epochs(c, ["segment"], "day", "n", 5, "1996-01-01").select("segment", "epoch", "start", "end")
 
 
-@query("lead_time_expand", f"""WITH RECURSIVE {INDEP_SQL}, {FEAT_SQL}, a AS (SELECT i.segment, i.id, l.v AS lead_days, i.day - l.v AS anchor FROM indep i, (VALUES (7), (14), (30)) l(v) WHERE i.segment < 4)
+@query("lead_time_expand", f"""WITH RECURSIVE {INDEP_SQL}, {FEAT_SQL}, a AS (SELECT i.segment, i.id, l.v AS lead_days, i.day - l.v AS anchor FROM indep i, (VALUES (7), (14), (30)) l(v))
  SELECT a.segment, a.id, a.lead_days, CAST(a.anchor AS DATE) AS anchor, f.day AS feature_day, {sql_round('f.value')} AS value FROM a ASOF JOIN feat f ON a.segment = f.segment AND a.anchor >= f.day""")
 def _(spark, sf):
-    ind = independent(spark, sf).filter("segment < 4").select("segment", "day", "id")
+    ind = independent(spark, sf).select("segment", "day", "id")
     out = ep.lead_time_rows(ind, features(spark, sf), ["segment"], "day", [7, 14, 30], ["value"])
     return rounded(out.select("segment", "id", "lead_days", "anchor", "feature_day", "value"))
 
 
 CONTROL_SQL = INDEP_SQL + f""", {FEAT_SQL}, ix AS (SELECT segment, day, row_number() OVER (PARTITION BY segment ORDER BY day) AS i, count(*) OVER (PARTITION BY segment) AS n FROM feat),
- rare AS (SELECT * FROM indep WHERE k % 4 = 0), cd AS (SELECT segment, day FROM ix x WHERE i > 180 AND i <= n - 1 AND NOT EXISTS (SELECT 1 FROM rare WHERE rare.segment = x.segment AND abs(x.day - rare.day) <= 60)),
+ rare AS (SELECT * FROM indep WHERE mag >= 5.698e0), cd AS (SELECT segment, day FROM ix x WHERE i > 180 AND i <= n - 1 AND NOT EXISTS (SELECT 1 FROM rare WHERE rare.segment = x.segment AND abs(x.day - rare.day) <= 180)),
  cl AS (SELECT cd.segment, cd.day, r.day AS event_day, r.id, row_number() OVER (PARTITION BY cd.segment, cd.day ORDER BY r.day, r.id) AS q FROM cd JOIN rare r ON r.segment = cd.segment AND abs(cd.day - r.day) <= 1095
    AND least(abs(month(cd.day) - month(r.day)), 12 - abs(month(cd.day) - month(r.day))) <= 1),
  pk AS (SELECT *, row_number() OVER (PARTITION BY segment, id ORDER BY CAST(day - DATE '1970-01-01' AS BIGINT) * 7919 % 10007, day) AS rank FROM cl WHERE q = 1)"""
 
 
 def controls(spark, sf):
-    rare = independent(spark, sf).filter("k % 4 = 0").select("segment", "day", "id")
+    rare = independent(spark, sf).filter("mag >= 5.698e0").select("segment", "day", "id")
     shuffle = F.unix_date("day").cast("bigint") * 7919 % 10007
-    return ep.control_days(features(spark, sf), rare, ["segment"], "day", "id", shuffle, exclusion_days=60)
+    return ep.control_days(features(spark, sf), rare, ["segment"], "day", "id", shuffle)
 
 
 @query("case_control_match", f"WITH RECURSIVE {CONTROL_SQL} SELECT segment, day, event_day, id, CAST(rank AS INTEGER) AS rank FROM pk WHERE rank <= 3")
@@ -158,11 +158,12 @@ def _(spark, sf):
     return controls(spark, sf).select("segment", "day", "event_day", "id", "rank")
 
 
-@query("episode_weights", f"""WITH RECURSIVE {INDEP_SQL}, a AS (SELECT 'event:' || i.id AS episode_id, l.v AS lead_days FROM indep i, (VALUES (7), (14), (30)) l(v) WHERE i.k % 3 <> 0 OR l.v < 30)
+@query("episode_weights", f"""WITH RECURSIVE {INDEP_SQL}, {FEAT_SQL}, l AS (SELECT i.segment, i.id, l.v AS lead_days, i.day - l.v AS anchor FROM indep i, (VALUES (7), (14), (30)) l(v)),
+ a AS (SELECT 'event:' || l.id AS episode_id, lead_days FROM l ASOF JOIN feat f ON l.segment = f.segment AND l.anchor >= f.day)
  SELECT episode_id, lead_days, {sql_round('1e0 / count(*) OVER (PARTITION BY episode_id)')} AS sample_weight FROM a""")
 def _(spark, sf):
-    a = independent(spark, sf).withColumn("lead_days", F.explode(F.array(F.lit(7), F.lit(14), F.lit(30))))
-    a = a.filter("k % 3 <> 0 OR lead_days < 30").select(F.concat(F.lit("event:"), F.col("id")).alias("episode_id"), "lead_days")
+    ind = independent(spark, sf).select("segment", "day", "id")
+    a = ep.lead_time_rows(ind, features(spark, sf), ["segment"], "day", [7, 14, 30], ["value"]).select(F.concat(F.lit("event:"), F.col("id")).alias("episode_id"), "lead_days")
     return rounded(a.withColumn("sample_weight", 1 / F.count(F.lit(1)).over(Window.partitionBy("episode_id"))))
 
 
@@ -279,7 +280,7 @@ def _(spark, sf):
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), month_distance("o_orderdate", F.lit("1990-02-15").cast("date")).alias("months"))
 
 
-TRAJ_SQL = SENSOR_SQL + f""", ev AS (SELECT DISTINCT station, day FROM readings WHERE value > 52.2e0 AND station < 6), ix AS (SELECT station, day, value, row_number() OVER (PARTITION BY station ORDER BY day) AS i FROM sensor),
+TRAJ_SQL = SENSOR_SQL + f""", ev AS (SELECT DISTINCT station, day FROM readings WHERE value > 52.2e0), ix AS (SELECT station, day, value, row_number() OVER (PARTITION BY station ORDER BY day) AS i FROM sensor),
  w AS (SELECT ev.station, ev.day AS event_day, h.i - greatest(1, c.i - 90) AS x, h.value AS v FROM ev JOIN ix c ON c.station = ev.station AND c.day = ev.day JOIN ix h ON h.station = ev.station AND h.i BETWEEN c.i - 90 AND c.i WHERE h.value IS NOT NULL),
  g AS (SELECT station, event_day, x, v, row_number() OVER (PARTITION BY station, event_day ORDER BY x) - 1 AS j, count(*) OVER (PARTITION BY station, event_day) AS n FROM w)"""
 
@@ -290,7 +291,7 @@ def _(spark, sf):
     s = sensor(spark, sf)
     w = Window.partitionBy("station").orderBy("day")
     ix = s.withColumn("i", F.row_number().over(w))
-    ev = readings(spark, sf).filter("value > 52.2 AND station < 6").select("station", "day").distinct()
+    ev = readings(spark, sf).filter("value > 52.2").select("station", "day").distinct()
     at = ev.join(ix.select("station", "day", "i"), ["station", "day"]).withColumnRenamed("day", "event_day")
     at = at.withColumn("i", F.explode(F.sequence(F.greatest(F.lit(1), F.col("i") - 90), F.col("i"))))
     win = at.join(ix.select("station", "i", "value"), ["station", "i"]).filter("value is not null")

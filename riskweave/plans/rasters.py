@@ -6,15 +6,17 @@ from pyspark.sql import functions as F
 
 from riskweave.functions.probability import phase_to_mm
 from riskweave.operators import sensors
-from riskweave.plans.standins import CATALOG_SQL, catalog, rounded, sql_round
+from riskweave.plans.standins import CATALOG_SQL, VERTEX_ROWS, catalog, literal_table, rounded, sql_round, values
 from riskweave.registry import query
 from riskweave.session import table
 
-GRID_SQL = CATALOG_SQL + """, gr AS (SELECT CAST(date_trunc('year', day) AS DATE) AS day, CAST(k % 2 AS INTEGER) AS map, -25e0 + 5e0 * (k % 4) AS lat, 172e0 + 2e0 * (k // 4 % 5) AS lon, avg(mag) AS vtec FROM catalog GROUP BY 1, 2, 3, 4),
- pt AS (SELECT id AS point, latitude, longitude FROM catalog WHERE longitude BETWEEN 172e0 AND 179.9e0 AND latitude < -10.05e0 AND mag >= 5.69e0),
- cn AS (SELECT point, floor((latitude + 25) / 5) AS i, floor((longitude - 172) / 2) AS j, (latitude + 25) / 5 - floor((latitude + 25) / 5) AS ti, (longitude - 172) / 2 - floor((longitude - 172) / 2) AS tj FROM pt),
+#: Configured points: the trace vertices and two beyond the rim of the grid.
+POINTS = [(10 * s + i, lat, lon) for s, i, lon, lat in VERTEX_ROWS] + [(900, -28.0, 175.0), (901, -12.0, 190.0)]
+GRID_SQL = CATALOG_SQL + f""", gr AS (SELECT CAST(date_trunc('year', day) AS DATE) AS day, CAST(k % 2 AS INTEGER) AS map, -25e0 + 5e0 * (k % 4) AS lat, 172e0 + 2e0 * (k // 4 % 5) AS lon, avg(mag) AS vtec FROM catalog GROUP BY 1, 2, 3, 4),
+ pt AS (SELECT * FROM (VALUES {values(POINTS)}) AS t(point, latitude, longitude)), yx AS (SELECT point, greatest(0e0, least((latitude + 25) / 5, 3e0)) AS y, greatest(0e0, least((longitude - 172) / 2, 4e0)) AS x FROM pt),
+ cn AS (SELECT point, least(floor(y), 2) AS i, least(floor(x), 3) AS j, y - least(floor(y), 2) AS ti, x - least(floor(x), 3) AS tj FROM yx),
  co AS (SELECT point, i + a AS gi, j + b AS gj, (CASE a WHEN 1 THEN ti ELSE 1 - ti END) * (CASE b WHEN 1 THEN tj ELSE 1 - tj END) AS w FROM cn, range(2) x(a), range(2) y(b)),
- pm AS (SELECT point, day, map, sum(w * vtec) AS v FROM co JOIN gr ON gi = round((lat + 25) / 5) AND gj = round((lon - 172) / 2) GROUP BY 1, 2, 3)"""
+ pm AS (SELECT point, day, map, sum(w * vtec) / sum(w) AS v FROM co JOIN gr ON w > 0 AND gi = round((lat + 25) / 5) AND gj = round((lon - 172) / 2) GROUP BY 1, 2, 3)"""
 
 
 @query("bilinear_interpolate", f"WITH {GRID_SQL} SELECT point, day, {sql_round('avg(v)')} AS vtec FROM pm GROUP BY point, day")
@@ -22,18 +24,18 @@ def _(spark, sf):
     c = catalog(spark, sf)
     k = F.col("k")
     g = c.groupBy(F.trunc("day", "YEAR").alias("day"), (k % 2).cast("int").alias("map"), (F.lit(-25.0) + 5.0 * (k % 4)).alias("lat"), (F.lit(172.0) + 2.0 * (F.floor(k / 4) % 5)).alias("lon")).agg(F.avg("mag").alias("vtec"))
-    p = c.filter(F.col("longitude").between(172.0, 179.9) & (F.col("latitude") < -10.05) & (F.col("mag") >= 5.69)).select(F.col("id").alias("point"), "latitude", "longitude")
-    return rounded(sensors.bilinear(p, g, 5.0, 2.0, -25.0, 172.0))
+    p = literal_table(spark, POINTS, "point, latitude, longitude")
+    return rounded(sensors.bilinear(p, g, 5.0, 2.0, -25.0, 172.0, 4, 5))
 
 
-PIX_SQL = """px AS (SELECT CAST(l_suppkey % 10 AS INTEGER) AS pair, CAST(l_partkey % 80 AS INTEGER) AS row, CAST(l_orderkey % 90 AS INTEGER) AS col, avg(CASE WHEN l_linenumber = 3 THEN 0e0 ELSE ln(l_extendedprice) + 0.01e0 * (l_partkey % 80) - 0.02e0 * (l_orderkey % 90) END) AS phase FROM lineitem WHERE l_partkey % 13 <> 0 GROUP BY 1, 2, 3),
+PIX_SQL = """px AS (SELECT CAST(l_suppkey % 10 AS INTEGER) AS pair, CAST(l_partkey % 80 AS INTEGER) AS row, CAST(l_orderkey % 90 AS INTEGER) AS col, avg(CASE WHEN l_linenumber = 3 THEN 0e0 ELSE ln(l_extendedprice) + 0.01e0 * (l_partkey % 80) - 0.02e0 * (l_orderkey % 90) END) AS phase FROM lineitem GROUP BY 1, 2, 3),
  ok AS (SELECT * FROM px WHERE phase <> 0), s AS (SELECT pair, count(*) AS n, avg(row) AS mr, avg(col) AS mc, avg(phase) AS mv, var_pop(row) AS rr, var_pop(col) AS cc, covar_pop(row, col) AS rc, covar_pop(row, phase) AS rv, covar_pop(col, phase) AS cv FROM ok GROUP BY pair),
  pl AS (SELECT *, (rv * cc - cv * rc) / (rr * cc - rc * rc) AS b, (cv * rr - rv * rc) / (rr * cc - rc * rc) AS c FROM s WHERE n >= 1000),
  dt AS (SELECT pair, row, col, phase - (mv + b * (row - mr) + c * (col - mc)) AS phase FROM ok JOIN pl USING (pair))"""
 
 
 def pixels(spark, sf):
-    li = table(spark, sf, "lineitem").filter("l_partkey % 13 <> 0")
+    li = table(spark, sf, "lineitem")
     r, c = F.col("l_partkey") % 80, F.col("l_orderkey") % 90
     v = F.when(F.col("l_linenumber") == 3, 0.0).otherwise(F.log("l_extendedprice") + 0.01 * r - 0.02 * c)
     return li.groupBy((F.col("l_suppkey") % 10).cast("int").alias("pair"), r.cast("int").alias("row"), c.cast("int").alias("col")).agg(F.avg(v).alias("phase"))

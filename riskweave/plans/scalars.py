@@ -126,10 +126,10 @@ def _(spark, sf):
     return rounded(ev(spark, sf).select("event_id", fuzzy.clip_scale("value", 10.0, 100.0).alias("x"), fuzzy.clip(F.col("value") / 80.0, 0.0, 1.0).alias("u")))
 
 
-@query("poisson_probability", f"""SELECT event_id, {sql_round('1 - exp(-value / 2000e0 * 30)')} AS p30, {sql_round('-ln(greatest(1 - (1 - exp(-value / 2000e0 * 30)), 1e-9)) / 30e0')} AS rate, {sql_round('30e0 / -ln(greatest(1 - (1 - exp(-value / 2000e0 * 30)), 1e-9))', 4)} AS wait_days FROM events WHERE value > 1""")
+@query("poisson_probability", f"""SELECT event_id, {sql_round('1 - exp(-value / 2000e0 * 30)')} AS p30, {sql_round('-ln(greatest(1 - (1 - exp(-value / 2000e0 * 30)), 1e-9)) / 30e0')} AS rate, {sql_round('CASE WHEN value > 0 THEN 30e0 / -ln(greatest(1 - (1 - exp(-value / 2000e0 * 30)), 1e-9)) END', 4)} AS wait_days FROM events""")
 def _(spark, sf):
     p = pr.poisson_probability(F.col("value") / 2000.0, 30)
-    e = ev(spark, sf).filter("value > 1").select("event_id", p.alias("p30"))
+    e = ev(spark, sf).select("event_id", p.alias("p30"))
     return rounded(e.select("event_id", "p30", pr.rate_from_probability("p30").alias("rate"), (F.round(pr.mean_wait_days("p30"), 4)).alias("wait_days")), keep=("wait_days",))
 
 

@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 def write_series(df: DataFrame, path: str, partition_by: Sequence[str] = ("segment",), mode: str = "overwrite") -> None:
     """Partitioned Parquet; rows are clustered by partition so that tasks do not open every folder.
 
-    The day of the year joins the clustering key: one busy entity is written by several tasks.
+    A rebalancing exchange clusters them: adaptive execution splits a busy partition by its measured
+    size, so it is written by as many tasks as it needs, and merges small ones.
     """
-    keys = [F.col(c) for c in partition_by]
-    spread = [F.pmod(F.xxhash64(*df.columns), F.lit(8))]
-    df.repartition(*keys, *spread).write.mode(mode).partitionBy(*partition_by).parquet(path)
+    df.hint("rebalance", *partition_by).write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
 def json_documents(df: DataFrame, chunk: str, fields: Sequence[str], header: dict[str, Column]) -> DataFrame:

@@ -35,13 +35,12 @@ def test_p_values_against_known_numbers():
     assert ev.signed_rank_p(8, 10, 0.0, False) == pytest.approx(0.048828125)
 
 
-@pytest.mark.parametrize("small", [10, 10**9])
-def test_exact_quantiles_both_ways(spark, small):
+def test_exact_quantiles(spark):
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(size=3000), np.full(1500, 0.25)])
     df = spark.createDataFrame([(float(v),) for v in x], "v double")
     shares = [0.0, 0.1, 0.5, 0.77, 0.95, 1.0]
-    np.testing.assert_allclose(quantiles(df, "v", shares, buckets=32, small_rows=small), np.quantile(x, shares), rtol=1e-12)
+    np.testing.assert_allclose(quantiles(df, "v", shares), np.quantile(x, shares), rtol=1e-12)
 
 
 def test_ordered_totals_with_a_hot_group(spark):
@@ -103,3 +102,17 @@ def test_bounded_logistic_respects_limits(spark):
     df = spark.createDataFrame([(float(a), float(b), int(c)) for (a, b), c in zip(x, y)], "a double, b double, y int")
     intercept, coef = ln.fit_bounded_logistic(df, ["a", "b"], "y")
     assert coef[0] > 0.2 and coef[1] == pytest.approx(0.0, abs=1e-6) and -8 <= intercept <= 2
+
+
+def test_quantiles_of_a_column_without_values(spark):
+    assert all(math.isnan(v) for v in quantiles(spark.createDataFrame([(None,)], "v double"), "v", [0.1, 0.5]))
+
+
+def test_bilinear_clips_to_the_rim_and_skips_missing_corners(spark):
+    from riskweave.operators.sensors import bilinear
+
+    grid = spark.createDataFrame([(DAY0, 0, 0.0, 0.0, 1.0), (DAY0, 0, 0.0, 2.0, 3.0), (DAY0, 0, 1.0, 0.0, 5.0), (DAY0, 0, 1.0, 2.0, None)],
+                                 "day date, map int, lat double, lon double, vtec double")
+    points = spark.createDataFrame([(0, 0.0, 1.0), (1, -9.0, 9.0), (2, 0.5, 0.0), (3, 0.5, 1.0)], "point int, latitude double, longitude double")
+    got = {r["point"]: r["vtec"] for r in bilinear(points, grid, 1.0, 2.0, 0.0, 0.0, 2, 2).collect()}
+    assert got == pytest.approx({0: 2.0, 1: 3.0, 2: 3.0, 3: 3.0})
