@@ -205,6 +205,43 @@ def test_line_fingerprints(spark, corpus):
     assert joined and all(r.fp % 2 ** 64 == simhash_of_words(r.norm) for r in joined if len(r.norm) < 5_000)
 
 
+def edit_distance(x, y):
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        last, row[0] = row[0], i
+        for j, b in enumerate(y, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (a != b))
+    return row[-1]
+
+
+def test_edit_similarity_of_pairs(spark):
+    rng = random.Random(8)
+    texts, pairs = [], []
+    for _ in range(120):
+        x = words(rng, rng.randrange(1, 12)).split(" ")
+        y = list(x)
+        for _ in range(rng.randrange(1, 4)):
+            at = rng.randrange(len(y) + 1)
+            y[at:at + rng.randrange(2)] = rng.choice([[], [rng.choice("abc") * rng.randrange(1, 9)], [words(rng, 1)]])
+        x, y = " ".join(x), " ".join(y)
+        if x != y and y:
+            pairs.append((2 * len(pairs), 2 * len(pairs) + 1))
+            texts += [(pairs[-1][0], x), (pairs[-1][1], y)]
+    norm = dict(texts)
+    want = {(a, b) for a, b in pairs if edit_distance(norm[a], norm[b]) <= 0.2 * max(len(norm[a]), len(norm[b])) + 1e-9}
+    got = linededup.verified(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(texts, "node long, norm string"))
+    assert {(r.a, r.b) for r in got.collect()} == want and 0 < len(want) < len(pairs)
+
+
+def test_fingerprints_of_long_lines_and_repeated_rows(spark):
+    rng = random.Random(4)
+    long = " ".join(f"w{rng.randrange(9000)}" for _ in range(15_000))
+    docs = spark.createDataFrame([(1, long + "\nshort  line"), (2, "short line")] + [(3, "same row here")] * 3, "doc_id long, text string")
+    rows = linededup.named_lines(docs).collect()
+    assert len(long) > linededup.LONG_LINE and len(rows) == 6
+    assert Counter(r.fp % 2 ** 64 for r in rows) == Counter(map(simhash_of_words, [long] + ["short line"] * 2 + ["same row here"] * 3))
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "u", "a\r\n\r\nWARC/1.1 b"), (2, "u", "a\r\n\r\nWARC/1.1 b"), (2, "u", "a\r\n\r\nWARC/1.1 b"), (None, None, None), (7, "é\nx", ""),
             (None, "q", "ü"), (3, "http://x", "\r\n\r\n"), (4, "http://x", "y" * 100_000)]
