@@ -233,6 +233,24 @@ def test_edit_similarity_of_pairs(spark):
     assert {(r.a, r.b) for r in got.collect()} == want and 0 < len(want) < len(pairs)
 
 
+def test_like_lines_reach_the_edit_check(spark):
+    rng = random.Random(11)
+    lines = []
+    for i in range(120):
+        x = words(rng, rng.randrange(3, 40))
+        y = list(x)
+        for _ in range(max(1, int(len(x) * rng.choice([0.01, 0.05, 0.1])))):
+            y[rng.randrange(len(y))] = rng.choice("abcdefgh")
+        lines += [x, "".join(y)]
+    near = [(i, j) for i in range(len(lines)) for j in range(i) if len(set(lines[i].split()) & set(lines[j].split())) * 3 > len(lines[i].split())]
+    near = set(near) | {(i, i - 1) for i in range(1, len(lines), 2)}
+    like = [(i, j) for i, j in near if edit_distance(lines[i], lines[j]) <= 0.2 * max(len(lines[i]), len(lines[j])) + 1e-9]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    root = {int(r._id): r.root for r in linededup.line_groups(docs).collect()}
+    assert len(like) >= 110 and sum(root[i] == root[j] for i, j in like) >= 0.85 * len(like)
+    assert len(set(root.values())) >= len(set(union_groups(len(lines), like)))
+
+
 def test_fingerprints_of_long_lines_and_repeated_rows(spark):
     rng = random.Random(4)
     long = " ".join(f"w{rng.randrange(9000)}" for _ in range(15_000))
