@@ -9,7 +9,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import BinaryType, BooleanType, LongType
 
 from riskweave.llm.common import components
 from riskweave.session import cut_lineage
@@ -24,6 +24,12 @@ LEAST_SHARED = BYTES - MOST_BITS
 POSTINGS = tuple(tuple(p for p in range(half, half + 4) if p != out) for half in (0, 4) for out in range(half, half + 4))
 #: Longer posting lists are split, and their parts meet in pairs.
 LIST_ROWS = 65_536
+#: Near copies of the pipeline: five-word shingles, exact Jaccard similarity of pairs that share a band of minima.
+#: At 0.8 a pair shares one of the 25 bands with probability 0.999998.
+COPY_SHINGLE, SIMILARITY, COPY_BANDS, COPY_ROWS = 5, 0.8, 25, 4
+ORDERS = np.random.default_rng(SEED).integers(0, 1 << 63, COPY_BANDS * COPY_ROWS, dtype=np.uint64)
+#: All members of lists up to this length meet; longer ones are first thinned by so many rounds of one drawn member.
+COPY_LIST, COPY_ROUNDS = 32, 4
 
 
 def fingerprint(text: str | None) -> int:
@@ -158,9 +164,98 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return groups(docs).select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def shingle_hashes(text: str | None) -> np.ndarray:
+    """Sorted hashes of the distinct five-word shingles of the lower-cased text; of all its words if they are fewer."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    n = max(1, len(words) - COPY_SHINGLE + 1)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(words[i:i + COPY_SHINGLE]), SEED) for i in range(n)], np.uint64))
+
+
+def minima_keys(hashes: np.ndarray) -> list[int]:
+    """One key for each band of minima of *hashes* in the orders that an exclusive or gives them."""
+    least = np.empty(len(ORDERS), np.uint64)
+    for at in range(0, len(ORDERS), COPY_ROWS):
+        least[at:at + COPY_ROWS] = (hashes[None, :] ^ ORDERS[at:at + COPY_ROWS, None]).min(axis=1)
+    bands = least.reshape(COPY_BANDS, COPY_ROWS)
+    return [xxhash.xxh64_intdigest(band.tobytes(), i) - (1 << 63) for i, band in enumerate(bands)]
+
+
+@F.pandas_udf(BinaryType())
+def _shingled(texts: pd.Series) -> pd.Series:
+    return pd.Series([shingle_hashes(t).tobytes() for t in texts], dtype="object")
+
+
+def _keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        hashes = [np.frombuffer(h, np.uint64) for h in frame["hashes"]]
+        yield pd.DataFrame({"node": frame["node"], "size": [len(h) for h in hashes], "keys": [minima_keys(h) for h in hashes]})
+
+
+@F.pandas_udf(BooleanType())
+def _similar(x: pd.Series, y: pd.Series) -> pd.Series:
+    out = []
+    for a, b in zip(x, y):
+        a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        out.append(both >= SIMILARITY * (len(a) + len(b) - both) - 1e-9)
+    return pd.Series(out, dtype="bool")
+
+
+def _copy_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The *pairs* (a, b) whose shingle sets have Jaccard SIMILARITY at least."""
+    sides = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    return cut_lineage(sides.filter(_similar("x", "y")).select("a", "b"))
+
+
+def copy_roots(sets: DataFrame) -> DataFrame:
+    """(node, root) of the nodes of *sets* (node, hashes) that Jaccard similarity links to another.
+
+    Nodes that share a key of minima are candidates. In a list of up to COPY_LIST all meet. In a longer one
+    all meet a member drawn anew in each round, and then those meet that are not in one group yet.
+    """
+    keyed = sets.mapInPandas(_keyed, "node long, size long, keys array<long>")
+    dealt = keyed.select("node", "size", F.explode("keys").alias("list"))
+    lists = cut_lineage(dealt.withColumn("n", F.count("*").over(Window.partitionBy("list"))).filter("n > 1"))
+
+    def fits(a, b):
+        return F.least(a, b) >= F.greatest(a, b) * SIMILARITY - 1e-9
+
+    def paired(x):
+        y = x.select("list", F.col("node").alias("m"), F.col("size").alias("msize"), F.col("root").alias("mroot"))
+        met = x.join(y, "list").filter("node < m AND root <> mroot").filter(fits(F.col("size"), F.col("msize")))
+        return met.select(F.col("node").alias("a"), F.col("m").alias("b")).distinct()
+
+    found = _copy_links(paired(lists.filter(F.col("n") <= COPY_LIST).withColumn("root", F.col("node"))), sets)
+    roots, long = components(found), lists.filter(F.col("n") > COPY_LIST)
+    for turn in range(COPY_ROUNDS + 1):
+        placed = long.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        split = placed.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(
+            F.struct("node", "size", "root"), F.xxhash64("node", F.lit(turn))).alias("d")).filter("lo <> hi")
+        open_lists = cut_lineage(placed.join(split.select("list", "d"), "list"))
+        if open_lists.isEmpty():
+            break
+        if turn < COPY_ROUNDS:
+            met = open_lists.filter("root <> d.root").filter(fits(F.col("size"), F.col("d.size"))).select(
+                F.least("node", "d.node").alias("a"), F.greatest("node", "d.node").alias("b")).distinct()
+        else:
+            met = paired(open_lists)
+        found = cut_lineage(found.union(_copy_links(met, sets)))
+        roots = components(found)
+    return roots
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """*docs* with one document of each group: that of the least doc_id, once if it is repeated."""
-    first = groups(docs).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("k"))
+    """*docs* with one document of each group of near copies: that of the least doc_id, once if it is repeated.
+
+    Near copies have five-word shingle sets of Jaccard SIMILARITY at least; groups are what such links
+    connect. Texts without words are one group. The contract of op1 has no part in this.
+    """
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), _shingled("text").alias("hashes"))
+    rows = cut_lineage(rows.withColumn("node", F.xxhash64("hashes")))
+    sets = cut_lineage(rows.groupBy("node").agg(F.first("hashes").alias("hashes")))
+    named = rows.select("doc_id", "text_key", "node").join(copy_roots(sets), "node", "left")
+    first = named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("k"))
     keep = first.select(F.coalesce(F.col("k.doc_id").cast("string"), F.lit("")).alias("_id"), F.col("k.text_key").alias("_key"))
     named = docs.select("*", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.xxhash64("text").alias("_key"))
     copies = Window.partitionBy("_id", "_key").orderBy("_key")

@@ -71,6 +71,23 @@ def test_simhash_groups(spark, corpus):
     assert kept.columns == corpus.columns and kept.count() == len(set(top))
 
 
+def test_near_copies_by_five_word_shingles(spark):
+    rng = random.Random(21)
+    texts = []
+    for i in range(40):
+        x = words(rng, rng.randrange(60, 150)).split()
+        y = list(x)
+        y[rng.choice([2, len(x) // 2])] = "changed"
+        z = [w if k % 9 else "other" for k, w in enumerate(x)]
+        texts += [" ".join(x), " ".join(y).upper(), " ".join(z)]
+    texts += ["", " \n", "two words", "Two  Words"] + [f"{texts[0]} {n}" for n in range(50)]
+    sets = [{tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    like = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = sorted(set(union_groups(len(texts), like)))
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], DOC).repartition(3)
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == want and 80 <= len(want) < 90
+
+
 def test_split_posting_lists(spark):
     rng = np.random.default_rng(1)
     base = int(rng.integers(0, 2 ** 62))
