@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskweave.llm import (decontamination, linededup, mixing, neighbours, quoting, scoring, sharding, simhash, toxicity,
-                           warc)
+from riskweave.llm import (decontamination, linededup, mixing, neighbours, quoting, scoring, sharding, simhash, tokencounts,
+                           toxicity, warc)
 from riskweave.session import table
 
 
@@ -59,6 +59,11 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact token counts of all documents."""
+    return tokencounts.count_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_line_dedup, op4_sharding, op5_warc, op6_neighbours,
-                                   op7_quoting, op8_toxicity, op9_mixing, op10_lm_scoring)}
+                                   op7_quoting, op8_toxicity, op9_mixing, op10_lm_scoring, op11_token_counts)}
 ORACLES = {"op4_sharding": sharding.oracle(), "op7_quoting": quoting.ORACLE, "op9_mixing": mixing.ORACLE}
