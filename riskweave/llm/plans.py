@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskweave.llm import (decontamination, linededup, mixing, neighbours, periodicity, quoting, scoring, sharding, simhash, tokencounts,
-                           toxicity, warc)
+from riskweave.llm import (decontamination, linededup, mixing, neighbours, periodicity, quoting, repair, scoring, sharding, simhash,
+                           tokencounts, toxicity, warc)
 from riskweave.session import table
 
 
@@ -64,6 +64,11 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.count_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repair of all damaged conversations."""
+    return repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words of all documents."""
     return periodicity.run_digests(table(spark, sf_dir, "documents"))
@@ -71,5 +76,5 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_line_dedup, op4_sharding, op5_warc, op6_neighbours,
                                    op7_quoting, op8_toxicity, op9_mixing, op10_lm_scoring, op11_token_counts,
-                                   op13_periodic_runs)}
+                                   op12_conversation_repair, op13_periodic_runs)}
 ORACLES = {"op4_sharding": sharding.oracle(), "op7_quoting": quoting.ORACLE, "op9_mixing": mixing.ORACLE}
