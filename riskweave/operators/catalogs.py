@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 from riskweave.functions.geo import haversine_km
 from riskweave.session import cut_lineage
 
+#: Limits within which two rows are one event.
+MATCH_SECONDS, MATCH_KM = 5.0, 15.0
+
 
 def normalize_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Columns of *schema* in order; missing ones are null, unparsable values become null."""
@@ -62,28 +65,41 @@ def incremental_merge(old: DataFrame, new: DataFrame, id_col: str = "id",
     return dedupe_by_id_then_space(both, order, id_col, space).drop("__src")
 
 
-def fuzzy_match(incoming: DataFrame, base: DataFrame, seconds: float = 5.0, km: float = 15.0, dmag: float = 0.5,
+def fuzzy_match(incoming: DataFrame, base: DataFrame, seconds: float = MATCH_SECONDS, km: float = MATCH_KM, dmag: float = 0.5,
                 row: str = "row") -> DataFrame:
     """Nearest base row of every incoming row within the time, distance and magnitude limits.
 
-    Exact copies in the base are merged first. Both sides meet on (time slot, latitude band); the base
-    is replicated to neighbouring slots and bands, and the best match is a ``min_by`` aggregation, so
-    no list of candidates is ever built. Adds ``match`` (the base *row*) and ``match_km``.
+    Exact copies in the base are merged first. Both sides meet on (time slot, latitude band, longitude cell). The
+    batch is replicated to neighbouring cells and the base stays as it is; the best match is a ``min_by``
+    aggregation, so no list of candidates is ever built. Adds ``match`` (the base *row*) and ``match_km``.
     """
-    band = km / 111.0 * 1.02
+    height = km / 111.0 * 1.02
+
     def slot(c):
         return F.floor(F.unix_micros(F.col(c).cast("timestamp")) / F.lit(seconds * 1e6))
+
+    def cells_of_band(band):
+        """Cells around the globe: in this band and the next ones no distance within *km* spans more than one."""
+        edge = F.least(F.greatest(F.abs(band - 1), F.abs(band + 2)) * height, F.lit(90.0))
+        reach = F.sin(F.lit(km / 6371.0 / 2)) / F.greatest(F.cos(F.radians(edge)), F.lit(1e-9))
+        return F.when(reach >= 1, 1).otherwise(F.greatest(F.floor(F.lit(360.0) / (F.degrees(F.asin(F.least(reach, F.lit(1.0)))) * 2 * 1.02)), F.lit(1))).cast("long")
+
+    def cell(lon, n):
+        return F.pmod(F.floor((lon + 180.0) / 360.0 * n), n)
+
     place = ["time", "latitude", "longitude", "mag"]
     b = base.groupBy(*place).agg(F.min(row).alias("__brow"))
     b = b.select(*[F.col(c).alias(f"__b_{c}") for c in place], "__brow")
-    b = b.withColumns({"__slot": slot("__b_time"), "__band": F.floor(F.col("__b_latitude") / F.lit(band))})
-    for c in ("__slot", "__band"):
-        b = b.withColumn("__s", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn(c, F.col(c) + F.col("__s"))
-    b = b.drop("__s")
-    inc = incoming.withColumns({"__slot": slot("time"), "__band": F.floor(F.col("latitude") / F.lit(band))})
+    b = b.withColumns({"__slot": slot("__b_time"), "__band": F.floor(F.col("__b_latitude") / F.lit(height))})
+    b = b.withColumn("__cell", cell(F.col("__b_longitude"), cells_of_band(F.col("__band"))))
+    around = F.sequence(F.lit(-1), F.lit(1))
+    inc = incoming.withColumn("__s", F.explode(around)).withColumn("__slot", slot("time") + F.col("__s"))
+    inc = inc.withColumn("__s", F.explode(around)).withColumn("__band", F.floor(F.col("latitude") / F.lit(height)) + F.col("__s"))
+    inc = inc.withColumn("__c", cells_of_band(F.col("__band")))
+    inc = inc.withColumn("__cell", F.explode(F.array_distinct(F.transform(around, lambda s: F.pmod(cell(F.col("longitude"), F.col("__c")) + s, F.col("__c"))))))
     d = haversine_km("__b_latitude", "__b_longitude", "latitude", "longitude")
     dt = F.abs(F.unix_micros(F.col("time").cast("timestamp")) - F.unix_micros(F.col("__b_time").cast("timestamp"))) / F.lit(1e6)
-    hit = inc.join(b, ["__slot", "__band"]).withColumn("__d", d)
+    hit = inc.join(b, ["__slot", "__band", "__cell"]).withColumn("__d", d)
     hit = hit.filter((dt <= seconds) & (F.col("__d") <= km) & (F.abs(F.col("mag") - F.col("__b_mag")) <= dmag))
     best = hit.groupBy(row).agg(F.min_by(F.struct(F.col("__brow").alias("m"), F.col("__d").alias("d")),
                                          F.struct("__d", "__brow")).alias("__m"))

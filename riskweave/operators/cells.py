@@ -90,6 +90,11 @@ def cell_state(events: DataFrame, cells: DataFrame, now: Column, origin: str) ->
         F.count(F.lit(1)).alias("n"), F.max("mag").alias("mag_max"), F.max("time").alias("t_max"),
         *[F.sum((lag <= w).cast("long")).alias(f"n{w}") for w in WINDOWS],
         F.sum(F.when(lag <= LOOKBACK, kernel(F.col("mag"), lag)).otherwise(0.0)).alias("omori"))
+    return features_of_own(own, cells, now, origin)
+
+
+def features_of_own(own: DataFrame, cells: DataFrame, now: Column, origin: str) -> DataFrame:
+    """Features of a grid from the sums and extrema of each own cell: halo first, then the grid's defaults."""
     h = halo(own).groupBy("la", "lo").agg(F.sum("n").alias("n"), F.max("mag_max").alias("mag_max"), F.max("t_max").alias("t_max"),
                                           *[F.sum(f"n{w}").alias(f"n{w}") for w in WINDOWS], F.sum("omori").alias("omori"))
     years = F.greatest(days(now, F.lit(origin).cast("timestamp_ntz")) / 365.25, F.lit(1.0))

@@ -38,8 +38,9 @@ def _(spark, sf):
 
 
 NOW = "2001-08-02 00:00:00"
-LIVE_SQL = CELLS_SQL + f""", {FAULTS_SQL}, sl AS (SELECT CAST(floor(lat) AS INTEGER) AS la, CAST(floor(lon) AS INTEGER) AS lo, max(coalesce({SLIP_SQL}, 0e0)) AS slip FROM fault_vertices WHERE pos % 3 = 0 GROUP BY 1, 2),
- grid AS (SELECT la, lo, coalesce(sl.slip, 0e0) AS slip FROM (SELECT la, lo FROM cells WHERE n >= 3) c FULL JOIN sl USING (la, lo)), {HALO_SQL},
+GRID_SQL = CELLS_SQL + f""", {FAULTS_SQL}, sl AS (SELECT CAST(floor(lat) AS INTEGER) AS la, CAST(floor(lon) AS INTEGER) AS lo, max(coalesce({SLIP_SQL}, 0e0)) AS slip FROM fault_vertices WHERE pos % 3 = 0 GROUP BY 1, 2),
+ grid AS (SELECT la, lo, coalesce(sl.slip, 0e0) AS slip FROM (SELECT la, lo FROM cells WHERE n >= 3) c FULL JOIN sl USING (la, lo)), {HALO_SQL}"""
+LIVE_SQL = GRID_SQL + f""",
  lf AS (SELECT la, lo, count(*) AS i, {FEATS} FROM (SELECT *, TIMESTAMP '{NOW}' AS s FROM h) WHERE time < s GROUP BY la, lo),
  live AS (SELECT la, lo, slip, coalesce(i, 0) / greatest({sql_days(f"TIMESTAMP '{NOW}'", f"TIMESTAMP '{ORIGIN}'")} / 365.25e0, 1e0) AS rate_bg, {', '.join(f'coalesce(n{w}, 0) AS n{w}' for w in ce.WINDOWS)}, coalesce({sql_days(f"TIMESTAMP '{NOW}'", 't_max')}, 99999e0) AS t_last,
    coalesce(mag_max, 0e0) AS mag_max, coalesce(omori, 0e0) AS omori FROM grid LEFT JOIN lf USING (la, lo))"""

@@ -7,10 +7,9 @@ stop) or on a timer. Checkpoints and outputs live in the shared folder.
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.operators.catalogs import latest_per_key
@@ -79,73 +78,6 @@ def rolling_counts(rows: DataFrame, keys: Sequence[str], time: str, size: str =
     return g.select(*keys, F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n")
 
 
-def live_features(rows: DataFrame, store: str, out: str, checkpoint: str, state: Callable[[DataFrame, Column], DataFrame], time: str = "time") -> None:
-    """On every trigger: add the new events to the event store and recompute all features at the batch time.
-
-    The store is written per batch, so replays do not duplicate events; the batch time is the latest
-    event of the batch.
-    """
-    def each(df: DataFrame, batch: int) -> None:
-        spark = df.sparkSession
-        df.write.mode("overwrite").parquet(os.path.join(store, f"batch={batch}"))
-        events = spark.read.parquet(store)
-        now = spark.read.parquet(os.path.join(store, f"batch={batch}")).agg(F.max(time)).first()[0]
-        if now is None:
-            return
-        at = F.lit(now).cast("timestamp_ntz")
-        state(events.withColumn(time, F.col(time).cast("timestamp_ntz")), at).withColumn("as_of", at).write.mode("overwrite").parquet(os.path.join(out, f"batch={batch}"))
-
-    drain(rows, out, checkpoint, each=each)
-
-
-def decayed_state(daily: DataFrame, key: str, day: str, drive: str, lam: float = 0.95) -> DataFrame:
-    """EWMA state per key over a stream of daily drives; silent days decay. The first day starts at 0."""
-    def step(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last, value = state.get if state.exists else (None, 0.0)
-        pdf = pd.concat(list(batches)).sort_values("d")
-        out = []
-        for d, x in zip(pdf["d"].tolist(), pdf["x"].fillna(0.0).tolist()):
-            if last is None:
-                last, value = d, 0.0
-            elif d > last:
-                value = value * lam ** (d - last) + (1 - lam) * x
-                last = d
-            else:
-                continue  # late or repeated day
-            out.append((k[0], d, value))
-        state.update((last, value))
-        if out:
-            yield pd.DataFrame(out, columns=["k", "d", "s"])
-
-    rows = daily.select(F.col(key).cast("long").alias("k"), F.unix_date(day).cast("long").alias("d"), F.col(drive).cast("double").alias("x"))
-    out = rows.groupBy("k").applyInPandasWithState(step, "k long, d long, s double", "last long, value double", "append", "NoTimeout")
-    return out.select(F.col("k").alias(key), F.date_from_unix_date(F.col("d").cast("int")).alias(day), F.col("s").alias("state"))
-
-
-def decluster(days: DataFrame, key: str, day: str, gap_days: int = 45) -> DataFrame:
-    """Online greedy declustering: keep a day more than *gap_days* after the last kept one.
-
-    Repeated (entity, day) rows are dropped in a state keyed by both before the ordered walk, so a busy
-    entity sends one row per day to it.
-    """
-    def step(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        kept = state.get[0] if state.exists else None
-        out = []
-        for d in sorted({d for pdf in batches for d in pdf["d"].tolist()}):
-            if kept is None or d - kept > gap_days:
-                kept = d
-                out.append((k[0], d))
-        if kept is not None:
-            state.update((kept,))
-        if out:
-            yield pd.DataFrame(out, columns=["k", "d"])
-
-    rows = days.select(F.col(key).cast("long").alias("k"), F.unix_date(day).cast("long").alias("d"))
-    rows = rows.dropDuplicates(["k", "d"])
-    out = rows.groupBy("k").applyInPandasWithState(step, "k long, d long", "kept long", "append", "NoTimeout")
-    return out.select(F.col("k").alias(key), F.date_from_unix_date(F.col("d").cast("int")).alias(day))
-
-
 def ledger_stream(records: DataFrame, path: str, checkpoint: str, minutes: int = 60) -> None:
     """One ledger record per slot; a replayed batch finds its slots taken."""
     def each(df: DataFrame, batch: int) -> None:
