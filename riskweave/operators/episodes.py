@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskweave.operators.asof import neighbours
+from riskweave.session import cut_lineage
 
 
 def _anchors(days: np.ndarray, gap: int) -> np.ndarray:
@@ -49,19 +50,46 @@ def decluster_first(events: DataFrame, keys: Sequence[str], day: str, order: Seq
     return kept.select(*keys, day, *[F.col(f"__first.{c}").alias(c) for c in rest])
 
 
-def decluster_largest(events: DataFrame, keys: Sequence[str], day: str, mag: str, order: Sequence[str],
+def window_openings(times: DataFrame, keys: Sequence[str], time: str, gap_days: int) -> DataFrame:
+    """(keys, time) of the events that open a window: the first one, then each first event whose elapsed time since
+    the last opening has more than *gap_days* whole days.
+
+    Every time points to the one that would open the next window. The chain from the first time is
+    followed by doubling: in each round all openings known so far jump at once, and pointers are composed with
+    themselves. A chain of n windows takes log2(n) joins, and no entity is ever walked in one task.
+    """
+    k = list(keys)
+    distinct = cut_lineage(times.select(*k, time).distinct())
+    due = distinct.withColumn("__due", F.timestamp_add("DAY", F.lit(gap_days + 1), F.col(time)))
+    ahead = neighbours(due, distinct, k, "__due", time, [], prev=False, equal="next")
+    hops = cut_lineage(ahead.filter(F.col("next").isNotNull()).select(*k, time, F.col("next.t").alias("__to")))
+    found = cut_lineage(distinct.groupBy(*k).agg(F.min(time).alias(time)))
+    count = found.count()
+    while True:
+        more = found.join(hops, [*k, time]).select(*k, F.col("__to").alias(time))
+        found = cut_lineage(found.unionByName(more).distinct())
+        fresh = found.count()
+        if fresh == count:
+            return found
+        count = fresh
+        onward = hops.select(*k, F.col(time).alias("__to"), F.col("__to").alias("__next"))
+        hops = cut_lineage(hops.join(onward, [*k, "__to"]).select(*k, time, F.col("__next").alias("__to")))
+
+
+def decluster_largest(events: DataFrame, keys: Sequence[str], time: str, mag: str, order: Sequence[str],
                       gap_days: int = 30) -> DataFrame:
-    """Largest event of every window; a window opens at its first event and lasts *gap_days*.
+    """Largest event of every window; a window opens at its first event and lasts *gap_days* whole days of elapsed time.
 
-    Gaps are whole days. Each day is first reduced to its largest event (the earliest of equals).
+    Of equal magnitudes the earliest wins, then the first by *order*. Each event finds the last opening
+    up to it, and the largest is a partial aggregation.
     """
-    rest = [c for c in events.columns if c not in (*keys, day)]
-    order_desc = F.struct(F.col(mag), *[(-F.unix_micros(F.col(o).cast("timestamp"))) for o in order])
-    best = events.groupBy(*keys, day).agg(F.max_by(F.struct(*rest), order_desc).alias("__best"))
-    windows = _with_anchor(best, keys, day, gap_days)
-    pick = windows.groupBy(*keys, "__anchor").agg(
-        F.max_by(F.struct(F.col(day), F.col("__best")), F.struct(F.col(f"__best.{mag}"), -F.unix_date(day))).alias("__w"))
-    return pick.select(*keys, F.col(f"__w.{day}").alias(day), *[F.col(f"__w.__best.{c}").alias(c) for c in rest])
+    k = list(keys)
+    openings = window_openings(events, k, time, gap_days)
+    placed = neighbours(events, openings, k, time, time, [], next=False)
+    rest = [c for c in events.columns if c not in k]
+    first = F.struct(-F.col(mag), F.col(time), *[F.col(o) for o in order])
+    best = placed.groupBy(*k, F.col("prev.t").alias("__open")).agg(F.min_by(F.struct(*rest), first).alias("__best"))
+    return best.select(*k, *[F.col(f"__best.{c}").alias(c) for c in rest]).select(*events.columns)
 
 
 def order_fraction_split(events: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "block") -> DataFrame:
@@ -72,15 +100,19 @@ def order_fraction_split(events: DataFrame, keys: Sequence[str], order: Sequence
 
 
 def event_count_epochs(daily_counts: DataFrame, keys: Sequence[str], day: str, n: str, size: int, origin) -> DataFrame:
-    """Epochs of *size* consecutive events from daily counts: epoch, start (inclusive), end (exclusive)."""
+    """Epochs of *size* consecutive events from daily counts: epoch, start (inclusive), end (exclusive).
+
+    *origin* is a date or a column of *daily_counts* with the date of each entity.
+    """
+    origin = origin if isinstance(origin, Column) else F.lit(origin).cast("date")
     w = Window.partitionBy(*keys).orderBy(day)
     before = F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = daily_counts.filter(F.col(day) >= F.lit(origin).cast("date")).withColumn("__c", before)
+    ranked = daily_counts.withColumn("__o", origin).filter(F.col(day) >= F.col("__o")).withColumn("__c", before)
     epochs = ranked.withColumn("epoch", F.explode(F.sequence(
         F.floor(F.col("__c") / size), F.floor((F.col("__c") + F.col(n) - 1) / size))))
-    ends = epochs.groupBy(*keys, "epoch").agg(F.date_add(F.max(day), 1).alias("end"))
-    start = F.coalesce(F.lag("end").over(Window.partitionBy(*keys).orderBy("epoch")), F.lit(origin).cast("date"))
-    return ends.withColumn("start", start)
+    ends = epochs.groupBy(*keys, "epoch").agg(F.date_add(F.max(day), 1).alias("end"), F.first("__o").alias("__o"))
+    start = F.coalesce(F.lag("end").over(Window.partitionBy(*keys).orderBy("epoch")), F.col("__o"))
+    return ends.withColumn("start", start).drop("__o")
 
 
 def lead_time_rows(events: DataFrame, features: DataFrame, keys: Sequence[str], day: str, leads: Sequence[int],

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskweave.operators.evaluation import t_two_sided
+from riskweave.operators.asof import neighbours
+from riskweave.operators.episodes import event_count_epochs
+from riskweave.operators.evaluation import paired_event_test
+from riskweave.operators.kernel_sums import days_since, kernel_sums
 from riskweave.operators.spatial import kernel_intensity, spatiotemporal_exclusion
-from riskweave.session import small
+from riskweave.session import cut_lineage
 
 
 def baseline_intensity(catalog: DataFrame, spine: DataFrame, keys: Sequence[str], last_day, target_mag: float, ref_mag: float, trigger_mag: float,
@@ -46,47 +47,65 @@ def fitted_intensity(catalog: DataFrame, spine: DataFrame, keys: Sequence[str],
     return spine.select(*keys, "day").join(unit, [*keys, "day"], "left").select(*keys, "day", (lam * 10.0 ** (-b * (target_mag - mc))).alias("lam"))
 
 
-def daily_weights(catalog: DataFrame, candidates: DataFrame, keys: Sequence[str], day: str, mc: float) -> DataFrame:
-    """Events and their summed trigger weight per (candidate, entity, day); candidates are a short table."""
-    ev = catalog.select(*keys, day, "mag").filter(F.col("mag") >= mc).crossJoin(small(candidates))
-    w = F.pow(F.lit(10.0), F.col("alpha") * (F.col("mag") - mc))
-    return ev.groupBy("cand", *keys, day).agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("w"),
-                                              *[F.first(c).alias(c) for c in ("mu", "K", "c", "p")])
+def _timed(catalog: DataFrame, keys: Sequence[str], mc: float) -> DataFrame:
+    """Events from *mc* on with t, the exact days since the first one of their entity, merged where equal."""
+    ev = catalog.filter((F.col("mag") >= mc) & F.col("time").isNotNull()).select(*keys, "time", "mag")
+    start = ev.groupBy(*keys).agg(F.min("time").alias("__t0"))
+    ev = ev.join(start, list(keys)).withColumn("t", days_since(F.col("time"), F.col("__t0")))
+    return ev.groupBy(*keys, "__t0", "t", "mag").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _rates(day: np.ndarray, w: np.ndarray, mu: float, k: float, c: float, p: float) -> np.ndarray:
-    """Intensity on every day of the calendar from the first one; an event acts from the next day on."""
-    span = int(day.max()) + 1
-    weights = np.zeros(span)
-    weights[day] = w
-    kernel = np.concatenate([[0.0], (np.arange(1, span) + c) ** -p])
-    return mu + k * np.convolve(weights, kernel)[:span]
+def _weights(timed: DataFrame, candidates: DataFrame, keys: Sequence[str], mc: float) -> DataFrame:
+    alphas = candidates.select("alpha").distinct()
+    return timed.crossJoin(F.broadcast(alphas)).select(*keys, "alpha", "t", (F.col("n") * F.pow(F.lit(10.0), F.col("alpha") * (F.col("mag") - mc))).alias("w"))
 
 
-def _integral(day: np.ndarray, w: np.ndarray, end: float, mu: float, k: float, c: float, p: float) -> float:
-    lag = end - day
-    mass = np.log(lag + c) - np.log(c) if abs(p - 1.0) < 1e-6 else ((lag + c) ** (1 - p) - c ** (1 - p)) / (1 - p)
-    return mu * end + k * float((w * mass).sum())
+def _bounds(timed: DataFrame, candidates: DataFrame) -> tuple[float, float]:
+    """Length of the longest entity and the smallest c."""
+    return (timed.agg(F.max("t")).first()[0] or 0.0), candidates.agg(F.min("c")).first()[0]
 
 
-def candidate_loglik(weights: DataFrame, keys: Sequence[str], day: str) -> DataFrame:
-    """Log-likelihood of every parameter candidate per entity on day-resolved events.
+def _mass(candidates: DataFrame) -> DataFrame:
+    """Kernels of the integrated rate: exponent p - 1; where p is 1 the integral is a logarithm."""
+    return candidates.withColumn("q", F.col("p") - 1)
 
-    Events of a day are merged before the exchange, so the convolution of a group works on the
-    calendar of one entity, however many events there are.
-    """
-    key_fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in weights.schema.fields if f.name in ("cand", *keys))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(day)
-        d = (pd.to_datetime(pdf[day]) - pd.to_datetime(pdf[day].iloc[0])).dt.days.to_numpy()
-        w, n = pdf["w"].to_numpy(), pdf["n"].to_numpy()
-        mu, k, c, p = (float(pdf[x].iloc[0]) for x in ("mu", "K", "c", "p"))
-        lam = _rates(d, w, mu, k, c, p)[d]
-        ll = float((n * np.log(lam)).sum()) - _integral(d, w, float(d[-1]) + 1.0, mu, k, c, p)
-        return pd.DataFrame({**{x: [pdf[x].iloc[0]] for x in ("cand", *keys)}, "n_events": [int(n.sum())], "loglik": [ll]})
+def _integrated(power: Column, log: Column, weight: Column) -> Column:
+    """Integral of the excitation: from the summed powers (or logarithms) of the lags and the summed weights."""
+    one = F.abs(F.col("p") - 1) < 1e-6
+    rest = F.when(one, 1.0).otherwise(1 - F.col("p"))
+    return F.when(one, log - F.log("c") * weight).otherwise((power - F.pow(F.col("c"), 1 - F.col("p")) * weight) / rest)
+
+
+def event_rates(timed: DataFrame, candidates: DataFrame, keys: Sequence[str], mc: float, span: float, c_min: float) -> DataFrame:
+    """(cand, keys, t, n, log_rate): logarithm of each candidate's intensity at every event time, strictly earlier events only."""
+    k = list(keys)
+    times = timed.groupBy(*k, "t").agg(F.sum("n").alias("n"))
+    kernels = candidates.select("cand", "alpha", "c", F.col("p").alias("q"))
+    sums = kernel_sums(_weights(timed, candidates, k, mc), times.withColumn("at", F.col("t")), kernels, k, span, c_min, out="__s")
+    every = times.crossJoin(F.broadcast(candidates.select("cand", "mu", "K")))
+    rate = F.col("mu") + F.col("K") * F.coalesce("__s", F.lit(0.0))
+    return every.join(sums, ["cand", *k, "t"], "left").select("cand", *k, "t", "n", F.log(rate).alias("log_rate"))
+
 
-    return weights.groupBy("cand", *keys).applyInPandas(one, key_fields + ", n_events bigint, loglik double")
+def candidate_loglik(catalog: DataFrame, candidates: DataFrame, keys: Sequence[str], mc: float) -> DataFrame:
+    """Log-likelihood of every parameter candidate (cand, mu, K, c, p, alpha) per entity on exact event times.
+
+    Sum of the log rates at the events minus the integral of the rate up to one day after the last
+    event. An event is triggered by all earlier ones, those of its own day included; events of equal times do not trigger one
+    another. *candidates* is a short table and is broadcast.
+    """
+    k = list(keys)
+    timed = cut_lineage(_timed(catalog, k, mc))
+    span, c_min = _bounds(timed, candidates)
+    at_events = event_rates(timed, candidates, k, mc, span, c_min).groupBy("cand", *k).agg(F.sum("n").alias("n_events"), F.sum(F.col("n") * F.col("log_rate")).alias("at"))
+    ends = timed.groupBy(*k).agg((F.max("t") + 1.0).alias("end"))
+    lag = F.col("end") - F.col("t") + F.col("c")
+    mass = (timed.join(ends, k).crossJoin(F.broadcast(candidates))
+            .withColumn("w", F.col("n") * F.pow(F.lit(10.0), F.col("alpha") * (F.col("mag") - mc))).withColumn(
+                "mass", F.col("w") * _integrated(F.pow(lag, 1 - F.col("p")), F.log(lag), F.lit(1.0)))
+            .groupBy("cand", *k).agg((F.first("mu") * F.first("end") + F.first("K") * F.sum("mass")).alias("integral")))
+    return at_events.join(mass, ["cand", *k]).select("cand", *k, "n_events", (F.col("at") - F.col("integral")).alias("loglik"))
 
 
 def best_candidate(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -95,69 +114,77 @@ def best_candidate(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
     return scored.groupBy(*keys).agg(F.max_by(F.struct("cand", "loglik"), F.struct(value, (-F.col("cand")))).alias("__b")).select(*keys, "__b.cand", "__b.loglik")
 
 
-def rolling_origin(weights: DataFrame, epochs: DataFrame, gains: DataFrame, keys: Sequence[str], day: str, min_events: int = 3) -> DataFrame:
-    """Per epoch: choose the candidate on strictly earlier days, score baseline and refined rates inside.
+def rolling_choice(timed: DataFrame, candidates: DataFrame, epochs: DataFrame, keys: Sequence[str], mc: float, span: float, c_min: float) -> DataFrame:
+    """Best candidate of each epoch on the events strictly before its start: (keys, epoch, cand, loglik).
 
-    Intensities are causal, so a candidate's daily rates are the same for all epochs and its training
-    likelihood is a running sum; everything is per entity and calendar-bounded. Adds the paired
-    statistics of the epoch: events, mean gain, t statistic and p-value.
+    Rates are causal, so the training likelihood of an epoch is a running total of the log rates, looked up at
+    its start, minus an integral that is one kernel sum at the end of the training data.
+    """
+    k = list(keys)
+    starts = epochs.join(timed.select(*k, "__t0").distinct(), k).select(*k, "epoch", days_since(F.col("start").cast("timestamp_ntz"), F.col("__t0")).alias("t"))
+    rates = event_rates(timed, candidates, k, mc, span, c_min)
+    marks = starts.crossJoin(F.broadcast(candidates.select("cand")))
+    both = rates.select("cand", *k, "t", F.lit(1).alias("kind"), "n", (F.col("n") * F.col("log_rate")).alias("at"), F.lit(None).cast("long").alias("epoch")).unionByName(
+        marks.select("cand", *k, "t", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("at"), F.col("epoch").cast("long").alias("epoch")))
+    before = Window.partitionBy("cand", *k).orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    past = both.withColumns({"n": F.sum("n").over(before), "at": F.sum("at").over(before), "last": F.max(F.when(F.col("kind") == 1, F.col("t"))).over(before)}).filter("kind = 0 AND n >= 2")
+    past = cut_lineage(past.select("cand", *k, "epoch", "t", "at", (F.col("last") + 1.0).alias("end")))
+    ends = past.select(*k, F.least("t", "end").alias("t"), F.col("end").alias("at")).distinct()
+    weights, mass = _weights(timed, candidates, k, mc), _mass(candidates)
+    power = kernel_sums(weights, ends, mass, k, span + 1, c_min, out="power")
+    logs = kernel_sums(weights, ends, mass.filter(F.abs(F.col("p") - 1) < 1e-6), k, span + 1, c_min, log=True, out="log")
+    plain = kernel_sums(weights, ends, mass.withColumn("q", F.lit(0.0)), k, span + 1, c_min, out="weight")
+    on = ["cand", *k, "t"]
+    scored = past.withColumn("t", F.least("t", "end")).join(power, on).join(plain, on).join(logs, on, "left").join(F.broadcast(candidates), "cand")
+    ll = F.col("at") - F.col("mu") * F.col("end") - F.col("K") * _integrated(F.col("power"), F.col("log"), F.col("weight"))
+    return scored.groupBy(*k, "epoch").agg(F.max_by(F.struct("cand", ll.alias("loglik")), F.struct(ll, -F.col("cand"))).alias("b")).select(*k, "epoch", "b.cand", "b.loglik")
+
+
+def first_origins(spine: DataFrame, keys: Sequence[str], day: str = "day", years: int = 5) -> DataFrame:
+    """(keys, origin): the first day that has *years* years of the daily frame before it."""
+    return spine.groupBy(*keys).agg(F.add_months(F.min(day), 12 * years).alias("origin"))
+
+
+def rolling_origin(catalog: DataFrame, candidates: DataFrame, gains: DataFrame, keys: Sequence[str], mc: float, size: int = 5, years: int = 5,
+                   min_events: int = 3, min_days: int = 60) -> DataFrame:
+    """Per epoch: choose the baseline on strictly earlier events, compare it with the refined rates inside.
+
+    *gains* is the daily frame (keys, day, G); epochs are *size* consecutive events after the first *years* years of
+    it, each up to the day after its last event. Rates of all candidates on all days come from one kernel sum.
+    Epochs with fewer than *min_events* events or *min_days* days of the frame have status ``skipped`` and no
+    statistics; the others have the gain, t and signed-rank tests, and the count tests of both forecasts.
     """
     k = list(keys)
-    ep = epochs.groupBy(*k).agg(F.sort_array(F.collect_list(F.struct("start", "end", "epoch"))).alias("eps"))
-    gn = gains.groupBy(*k).agg(F.sort_array(F.collect_list(F.struct(day, "G"))).alias("gs"))
-    cand = weights.groupBy(*k, "cand").agg(F.first("mu").alias("mu"), F.first("K").alias("K"), F.first("c").alias("c"), F.first("p").alias("p"),
-                                           F.sort_array(F.collect_list(F.struct(day, "n", "w"))).alias("ds"))
-    rows = cand.groupBy(*k).agg(F.sort_array(F.collect_list(F.struct("cand", "mu", "K", "c", "p", "ds"))).alias("cs")).join(ep, k).join(gn, k)
-    key_fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in weights.schema.fields if f.name in k)
-    out = key_fields + ", epoch bigint, cand int, n_events bigint, info_gain double, t_stat double, p_value double, favours boolean"
-
-    def days_of(values) -> np.ndarray:
-        return pd.to_datetime(pd.Series(list(values))).to_numpy().astype("datetime64[D]").astype(np.int64)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        row, found = pdf.iloc[0], []
-        gday = days_of([g[day] for g in row["gs"]])
-        gain = np.array([g["G"] for g in row["gs"]], dtype=float)
-        fits = []
-        for c in row["cs"]:
-            d = days_of([x[day] for x in c["ds"]])
-            n, w = (np.array([x[f] for x in c["ds"]], dtype=float) for f in ("n", "w"))
-            first = int(d[0])
-            span = max(int(gday.max()), int(d.max())) - first + 1
-            weights_by_day = np.zeros(span)
-            weights_by_day[d - first] = w
-            kernel = np.concatenate([[0.0], (np.arange(1, span) + c["c"]) ** -c["p"]])
-            lam = c["mu"] + c["K"] * np.convolve(weights_by_day, kernel)[:span]
-            fits.append((c, d, n, w, first, lam))
-        for e in row["eps"]:
-            start, end = days_of([e["start"]])[0], days_of([e["end"]])[0]
-            scored = []
-            for i, (c, d, n, w, first, lam) in enumerate(fits):
-                past = d < start
-                if past.sum() < 2:
-                    continue
-                horizon = float(d[past][-1] - first) + 1.0
-                ll = float((n[past] * np.log(lam[d[past] - first])).sum()) - _integral((d[past] - first).astype(float), w[past], horizon, c["mu"], c["K"], c["c"], c["p"])
-                scored.append((ll, -i))
-            inside = (gday >= start) & (gday < end)
-            if not scored or not inside.any():
-                continue
-            c, d, n, w, first, lam = fits[-max(scored)[1]]
-            base = lam[np.clip(gday[inside] - first, 0, len(lam) - 1)]
-            refined = base * gain[inside]
-            hit = (d >= start) & (d < end)
-            at = np.repeat(np.searchsorted(gday[inside], d[hit]).clip(0, inside.sum() - 1), n[hit].astype(int))
-            if len(at) < min_events:
-                continue
-            x = np.log(refined[at] / base[at]) - (refined.sum() - base.sum()) / len(at)
-            sd = x.std(ddof=1)
-            t = float(x.mean() / (sd / np.sqrt(len(x)))) if sd > 0 else float("nan")
-            found.append({**{f: row[f] for f in k}, "epoch": int(e["epoch"]), "cand": int(c["cand"]), "n_events": len(x), "info_gain": float(x.mean()),
-                          "t_stat": t, "p_value": t_two_sided(t, len(x) - 1), "favours": bool(x.mean() > 0)})
-        columns = [*k, "epoch", "cand", "n_events", "info_gain", "t_stat", "p_value", "favours"]
-        return pd.DataFrame(found, columns=columns)
-
-    return rows.groupBy(*k).applyInPandas(one, out)
+    gains = gains.select(*k, "day", "G")
+    timed = cut_lineage(_timed(catalog, k, mc))
+    span, c_min = _bounds(timed, candidates)
+    events = timed.withColumn("day", F.to_date(F.timestamp_micros((F.unix_micros(F.col("__t0").cast("timestamp")) + F.round(F.col("t") * 86400e6)).cast("long"))))
+    counts = events.groupBy(*k, "day").agg(F.sum("n").alias("n"))
+    origins = first_origins(gains, k, years=years)
+    late = counts.join(origins, k).filter(F.col("day") >= F.col("origin"))
+    epochs = cut_lineage(event_count_epochs(late, k, "day", "n", size, F.col("origin")).filter(F.col("start") < F.col("end")).select(*k, "epoch", "start", "end"))
+    chosen = rolling_choice(timed, candidates, epochs, k, mc, span, c_min)
+    first = timed.groupBy(*k).agg(F.first("__t0").alias("__t0"))
+    days = gains.join(first, k).withColumn("t", days_since(F.col("day").cast("timestamp_ntz"), F.col("__t0")))
+    targets = days.filter("t > 0").select(*k, "t", F.col("t").alias("at"))
+    longest = targets.agg(F.max("t")).first()[0] or 0.0
+    sums = kernel_sums(_weights(timed, candidates, k, mc), targets, candidates.select("cand", "alpha", "c", F.col("p").alias("q")), k, max(span, longest), c_min, out="__s")
+    # epochs of an entity do not overlap: the one that a day is in has the last start up to it
+    inside = neighbours(days, epochs, k, "day", "start", ["epoch", "end"], bucket="YEAR", next=False)
+    inside = inside.filter(F.col("day") < F.col("prev.end")).select(*days.columns, F.col("prev.epoch").alias("epoch"))
+    series = (inside.join(chosen, [*k, "epoch"]).join(sums, ["cand", *k, "t"], "left").join(F.broadcast(candidates.select("cand", "mu", "K")), "cand")
+              .withColumn("base", F.col("mu") + F.col("K") * F.coalesce("__s", F.lit(0.0))).withColumn("refined", F.col("base") * F.col("G")).join(counts, [*k, "day"], "left"))
+    series = cut_lineage(series.select(*k, "epoch", "cand", "day", "base", "refined", F.coalesce("n", F.lit(0)).alias("n")))
+    group = [*k, "epoch"]
+    every = series.groupBy(*group).agg(F.first("cand").alias("cand"), F.sum("refined").alias("exp_a"), F.sum("base").alias("exp_b"), F.count(F.lit(1)).alias("n_days"), F.sum("n").alias("n_events"))
+    used = (F.col("n_events") >= min_events) & (F.col("n_days") >= min_days)
+    every = cut_lineage(every.withColumn("status", F.when(used, "ok").otherwise("skipped")))
+    usable = every.filter("status = 'ok'")
+    ratios = series.filter("n > 0").join(usable.select(*group), group).withColumn("d", F.log(F.col("refined") / F.col("base")))
+    ratios = ratios.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    tests = paired_event_test(ratios.select(*group, "d"), usable.select(*group, "exp_a", "exp_b"), group)
+    tests = tests.select(*group, "info_gain", "t_stat", "t_p", "w_stat", "w_p", "n_p_a", "n_p_b", (F.col("info_gain") > 0).alias("favours"))
+    return every.join(tests, group, "left")
 
 
 def window_loglik(series: DataFrame, events: DataFrame, keys: Sequence[str], day: str, models: Sequence[str], cutoff) -> DataFrame:

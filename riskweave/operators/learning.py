@@ -137,26 +137,6 @@ def predict(df: DataFrame, features: Sequence[str], fitted, out: str = "p") -> D
     return df.withColumn(out, logistic_score(features, fitted[1], fitted[0], limit=25.0))
 
 
-def fit_isotonic(df: DataFrame, p: str, y: str) -> tuple[list[float], list[float]]:
-    """Isotonic calibration: thresholds and rates. Equal scores are merged first."""
-    from pyspark.ml.regression import IsotonicRegression
-
-    merged = df.groupBy(F.col(p).alias("f")).agg(F.avg(F.col(y).cast("double")).alias("l"), F.count(F.lit(1)).cast("double").alias("w"))
-    m = IsotonicRegression(featuresCol="f", labelCol="l", weightCol="w").fit(merged)
-    return [float(v) for v in m.boundaries], [float(v) for v in m.predictions]
-
-
-def apply_isotonic(c, thresholds: Sequence[float], rates: Sequence[float]) -> Column:
-    """Linear interpolation between the thresholds, constant outside."""
-    x = F.col(c) if isinstance(c, str) else c
-    out = F.lit(rates[-1])
-    for i in range(len(thresholds) - 1, 0, -1):
-        a, b, ra, rb = thresholds[i - 1], thresholds[i], rates[i - 1], rates[i]
-        line = F.lit(ra) + (x - a) * ((rb - ra) / (b - a)) if b > a else F.lit(rb)
-        out = F.when(x < b, line).otherwise(out)
-    return F.when(x <= thresholds[0], rates[0]).otherwise(out)
-
-
 def forest_importance(df: DataFrame, features: Sequence[str], y: str, trees: int = 300, depth: int = 6, weight: str | None = None, seed: int = 0) -> list[tuple[str, float]]:
     from pyspark.ml.classification import RandomForestClassifier
 

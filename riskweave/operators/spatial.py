@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from riskweave.functions import geo
 from riskweave.functions.geo import col
-from riskweave.session import small
+from riskweave.session import cut_lineage
 
 
 def bbox_filter(df: DataFrame, lat: str, lon: str, south: float, north: float, west: float, east: float,
@@ -73,16 +73,52 @@ def halo(df: DataFrame, la: str = "la", lo: str = "lo", radius: int = 1) -> Data
             .drop("__da", "__do"))
 
 
-def nearest_k(entities: DataFrame, trace: DataFrame, max_km: float, k: int, order_tie: str) -> DataFrame:
+def _cells_of(edges: DataFrame, km: float) -> DataFrame:
+    """Distinct (segment, __ca, __co): cells of about *km* that hold every point within *km* of an edge.
+
+    Cells are squares of *km* in the projection at the poleward side of the trace, so no distance spans more of them
+    than at the trace itself; longitude cells are counted around the globe.
+    """
+    high = km / geo.KM_PER_DEG_LAT
+    wide = F.lit(km) / (geo.KM_PER_DEG_LON_EQUATOR * F.greatest(F.cos(F.radians("ref_lat")), F.lit(1e-6))) * 1.001
+    lat = (F.least("lat1", "lat2"), F.greatest("lat1", "lat2"))
+    west, east = F.least("lon1", "lon2"), F.greatest("lon1", "lon2")
+    n = F.lit(max(1, int(360 / high)))
+    rows = F.sequence(F.floor((lat[0] - high * 1.001) / high), F.floor((lat[1] + high * 1.001) / high))
+    first, last = F.floor((west - wide + 180) / 360 * n), F.floor((east + wide + 180) / 360 * n)
+    columns = F.sequence(first, F.least(last, first + n - 1))
+    out = edges.select("segment", F.explode(rows).alias("__ca"), columns.alias("c")).select("segment", "__ca", F.explode("c").alias("c"))
+    return out.select("segment", "__ca", F.pmod("c", n).alias("__co")).distinct()
+
+
+def nearest_k(entities: DataFrame, trace: DataFrame, max_km: float, k: int, order_tie: str, rings: Sequence[float] = (0.1, 0.35, 1.0),
+              lat: str = "latitude", lon: str = "longitude") -> DataFrame:
     """The *k* entities nearest to every trace within *max_km*.
 
-    The traces are the bounded side; ``row_number() <= k`` lets Spark keep k rows per task before
-    the exchange.
+    Traces are searched in rings: cells within a share of *max_km* first, and a trace that has found *k*
+    entities within that distance is done, as nothing farther can come before them. Entities and traces meet on cells;
+    ``row_number() <= k`` lets Spark keep k rows per task before the exchange.
     """
-    paired = entities.crossJoin(small(trace.select("segment")))
-    d = polyline_distance(paired, trace, max_km=max_km)
-    w = Window.partitionBy("segment").orderBy(F.round("dist_km", 6), order_tie)
-    return d.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    lon1 = (F.col("e.x1") / (F.cos(F.radians("ref_lat")) * geo.KM_PER_DEG_LON_EQUATOR)) + F.col("ref_lon")
+    lon2 = (F.col("e.x2") / (F.cos(F.radians("ref_lat")) * geo.KM_PER_DEG_LON_EQUATOR)) + F.col("ref_lon")
+    edges = trace.select("segment", "ref_lat", "ref_lon", F.explode("edges").alias("e")).select(
+        "segment", "ref_lat", (F.col("e.y1") / geo.KM_PER_DEG_LAT + F.col("ref_lat")).alias("lat1"), (F.col("e.y2") / geo.KM_PER_DEG_LAT + F.col("ref_lat")).alias("lat2"),
+        lon1.alias("lon1"), lon2.alias("lon2"))
+    order = Window.partitionBy("segment").orderBy(F.round("dist_km", 6), order_tie)
+    done = None
+    for share in rings:
+        km = max_km * share
+        high = km / geo.KM_PER_DEG_LAT
+        n = max(1, int(360 / high))
+        here = entities.withColumns({"__ca": F.floor(F.col(lat) / high), "__co": F.pmod(F.floor((F.col(lon) + 180) / 360 * n), F.lit(n))})
+        open_ = edges if done is None else edges.join(done.select("segment").distinct(), "segment", "left_anti")
+        near = here.join(_cells_of(open_, km), ["__ca", "__co"]).drop("__ca", "__co")
+        found = polyline_distance(near, trace, max_km=km, lat=lat, lon=lon).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        if share < rings[-1]:
+            full = found.groupBy("segment").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= k).select("segment")
+            found = cut_lineage(found.join(full, "segment", "left_semi"))
+        done = found if done is None else done.unionByName(found)
+    return done
 
 
 def nearest_place(points: DataFrame, places: Sequence[tuple], lat: str = "latitude", lon: str = "longitude",

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskweave.operators import backtest as bt, episodes as ep, intensity as it, timeseries as ts
+from riskweave.operators import backtest as bt, intensity as it
 from riskweave.operators.evaluation import fisher_combine
 from riskweave.plans.evaluation import BIN
 from riskweave.plans.global_cells import PIT_SQL, cell_months
-from riskweave.plans.joining import BIG
-from riskweave.plans.segment_state import CANDS, CAND_COLS, series
+from riskweave.plans.segment_state import CANDS, CAND_COLS, MASS, SERIES_SQL, rates_sql, series
 from riskweave.plans.standins import SCORES_SQL, catalog, literal_table, rounded, score_rows, sql_round
 from riskweave.registry import query
 from riskweave.session import cut_lineage
@@ -64,22 +63,52 @@ def _(spark, sf):
     return rounded(bt.materiality(f, "day", "base", "cand"))
 
 
-@query("rolling_origin_evaluation")
-def _(spark, sf):
-    cands = literal_table(spark, CANDS, CAND_COLS)
-    w = it.daily_weights(catalog(spark, sf), cands, ["segment"], "day", 5.69)
-    counts = ts.daily_counts(catalog(spark, sf).filter(BIG), ["segment"])
-    ep_table = ep.event_count_epochs(counts, ["segment"], "day", "n", 8, "1997-01-01")
+def sql_t_p(t, df):
+    """Two-sided p-value of Student's t for whole degrees of freedom: the finite series in the angle."""
+    angle = f"atan(abs({t}) / sqrt({df}))"
+    even = f"list_sum(list_transform(range(0, CAST({df} AS BIGINT) // 2), lambda j: exp(lgamma(j + 0.5e0) - lgamma(0.5e0) - lgamma(j + 1e0)) * pow(cos({angle}), 2 * j)))"
+    odd = f"coalesce(list_sum(list_transform(range(0, (CAST({df} AS BIGINT) - 1) // 2), lambda j: exp(lgamma(j + 1e0) - lgamma(j + 1.5e0)) * sqrt(pi()) / 2 * pow(cos({angle}), 2 * j))), 0e0)"
+    return f"1 - CASE WHEN {df} % 2 = 0 THEN sin({angle}) * {even} ELSE 2 / pi() * ({angle} + sin({angle}) * cos({angle}) * {odd}) END"
+
+
+def sql_n_p(n, mean):
+    """Two-sided Poisson p-value with inclusive tails."""
+    tail = lambda k: f"coalesce(list_sum(list_transform(range(0, CAST({k} AS BIGINT)), lambda i: exp(-{mean} + i * ln({mean}) - lgamma(i + 1e0)))), 0e0)"
+    return f"least(1e0, 2 * least(least({tail(f'{n} + 1')}, 1e0), 1 - least({tail(n)}, 1e0)))"
+
+
+ROLL_SQL = SERIES_SQL + f""", {rates_sql(5.69)}, gn AS (SELECT segment, day, coalesce(G, 1e0) AS G FROM serx), fo AS (SELECT segment, CAST(min(day) + INTERVAL 60 MONTH AS DATE) AS origin FROM gn GROUP BY 1),
+ be AS (SELECT segment, day, origin, row_number() OVER (PARTITION BY segment ORDER BY time, k) - 1 AS i FROM catalog JOIN fo USING (segment) WHERE mag >= 5.69e0 AND day >= origin),
+ ee AS (SELECT segment, i // 5 AS epoch, any_value(origin) AS origin, CAST(max(day) + 1 AS DATE) AS e FROM be GROUP BY 1, 2), ew AS (SELECT segment, epoch, coalesce(lag(e) OVER (PARTITION BY segment ORDER BY epoch), origin) AS s, e FROM ee),
+ ep AS (SELECT segment, epoch, s, e, (epoch_us(CAST(s AS TIMESTAMP)) - t0) / 86400e6 AS st FROM ew JOIN t0 USING (segment) WHERE s < e),
+ tr AS (SELECT ep.segment, epoch, cand, any_value(st) AS st, sum(n * ln(lam)) AS lls, max(t) + 1 AS tend FROM ep JOIN la ON la.segment = ep.segment AND la.t < st GROUP BY ALL HAVING sum(n) >= 2),
+ sc AS (SELECT tr.segment, epoch, tr.cand, any_value(lls) - any_value(mu) * any_value(tend) - any_value(K) * sum({MASS}) AS ll FROM tr JOIN w ON w.segment = tr.segment AND w.cand = tr.cand AND w.t < st GROUP BY ALL),
+ ch AS (SELECT segment, epoch, arg_max(cand, (ll, -cand)) AS cand FROM sc GROUP BY 1, 2),
+ dd AS (SELECT gn.segment, day, ep.epoch, ch.cand, G, (epoch_us(CAST(day AS TIMESTAMP)) - t0) / 86400e6 AS dt FROM gn JOIN ep ON gn.segment = ep.segment AND day >= s AND day < e JOIN ch ON ch.segment = ep.segment AND ch.epoch = ep.epoch JOIN t0 ON t0.segment = gn.segment),
+ ds AS (SELECT dd.segment, dd.epoch, dd.day, dd.cand, dd.G, cd.mu + cd.K * coalesce(sum(w.w / pow(dt - t + cd.c, cd.p)), 0) AS base FROM dd JOIN cd USING (cand) LEFT JOIN w ON w.segment = dd.segment AND w.cand = dd.cand AND w.t < dt GROUP BY dd.segment, dd.epoch, dd.day, dd.cand, dd.G, cd.mu, cd.K),
+ nd AS (SELECT segment, day, count(*) AS n FROM catalog WHERE mag >= 5.69e0 GROUP BY 1, 2), sr AS (SELECT ds.*, base * G AS refined, coalesce(n, 0) AS n FROM ds LEFT JOIN nd USING (segment, day)),
+ ev AS (SELECT segment, epoch, any_value(cand) AS cand, CAST(sum(n) AS BIGINT) AS n_events, count(*) AS n_days, sum(refined) AS ea, sum(base) AS eb FROM sr GROUP BY 1, 2),
+ ok AS (SELECT *, (ea - eb) / n_events AS c FROM ev WHERE n_events >= 3 AND n_days >= 60), x AS (SELECT segment, epoch, ln(refined / base) AS d, ln(refined / base) - c AS z FROM sr JOIN ok USING (segment, epoch), range(sr.n)),
+ rk AS (SELECT *, rank() OVER (PARTITION BY segment, epoch ORDER BY abs(z)) + (count(*) OVER (PARTITION BY segment, epoch, abs(z)) - 1) / 2e0 AS q FROM x WHERE z <> 0),
+ wr AS (SELECT segment, epoch, least(coalesce(sum(q) FILTER (WHERE z > 0), 0), coalesce(sum(q) FILTER (WHERE z < 0), 0)) AS w_stat FROM rk GROUP BY 1, 2),
+ ts AS (SELECT segment, epoch, avg(z) AS gain, CASE WHEN stddev_samp(d) > 0 THEN avg(z) / (stddev_samp(d) / sqrt(count(*))) END AS t FROM x GROUP BY 1, 2),
+ res AS (SELECT ev.*, CASE WHEN ok.segment IS NULL THEN 'skipped' ELSE 'ok' END AS status, gain, t, w_stat, {sql_t_p('t', '(ev.n_events - 1)')} AS t_p, CASE WHEN ok.c IS NOT NULL THEN {sql_n_p('ok.n_events', 'ok.ea')} END AS n_p_a, CASE WHEN ok.c IS NOT NULL THEN {sql_n_p('ok.n_events', 'ok.eb')} END AS n_p_b
+   FROM ev LEFT JOIN ok USING (segment, epoch) LEFT JOIN ts USING (segment, epoch) LEFT JOIN wr USING (segment, epoch))"""
+
+
+def rolling(spark, sf):
+    """Epochs of five events after five years: the best candidate before each, the refined rates tested inside."""
     g = series(spark, sf).select("segment", "day", F.coalesce("G", F.lit(1.0)).alias("G"))
-    return rounded(it.rolling_origin(w, ep_table, g, ["segment"], "day"))
+    return it.rolling_origin(catalog(spark, sf), literal_table(spark, CANDS, CAND_COLS), cut_lineage(g), ["segment"], 5.69)
 
 
-@query("rolling_origin_combined")
+@query("rolling_origin_evaluation", f"""WITH {ROLL_SQL} SELECT segment, epoch, cand, status, n_events, n_days, {', '.join(f'{sql_round(a, 5)} AS {b}' for a, b in (('ea', 'exp_a'), ('eb', 'exp_b'), ('gain', 'info_gain'), ('t', 't_stat'), ('t_p', 't_p'), ('w_stat', 'w_stat'), ('n_p_a', 'n_p_a'), ('n_p_b', 'n_p_b')))}, gain > 0 AS favours FROM res""")
 def _(spark, sf):
-    cands = literal_table(spark, CANDS, CAND_COLS)
-    w = it.daily_weights(catalog(spark, sf), cands, ["segment"], "day", 5.69)
-    counts = ts.daily_counts(catalog(spark, sf).filter(BIG), ["segment"])
-    ep_table = ep.event_count_epochs(counts, ["segment"], "day", "n", 8, "1997-01-01")
-    g = series(spark, sf).select("segment", "day", F.coalesce("G", F.lit(1.0)).alias("G"))
-    r = it.rolling_origin(w, ep_table, g, ["segment"], "day").filter("p_value is not null AND NOT isnan(p_value)")
-    return rounded(fisher_combine(r, ["segment"], "p_value", "favours"))
+    r = rolling(spark, sf).select("segment", "epoch", "cand", "status", "n_events", "n_days", "exp_a", "exp_b", "info_gain", "t_stat", "t_p", "w_stat", "n_p_a", "n_p_b", "favours")
+    return rounded(r, 5)
+
+
+@query("rolling_origin_combined", f"""WITH {ROLL_SQL}, v AS (SELECT segment, greatest(t_p, 1e-10) AS p, gain > 0 AS f FROM res WHERE t_p IS NOT NULL), g AS (SELECT segment, -2 * sum(ln(p)) AS chi2, count(*) AS k, count(*) FILTER (WHERE f) AS n_favour, count(*) FILTER (WHERE f AND p < 0.05) AS n_favour_sig, count(*) FILTER (WHERE NOT f AND p < 0.05) AS n_against_sig FROM v GROUP BY 1)
+ SELECT segment, {sql_round('chi2', 4)} AS chi2, k, n_favour, n_favour_sig, n_against_sig, {sql_round('list_sum(list_transform(range(0, k), lambda i: exp(-chi2 / 2 + i * ln(chi2 / 2) - lgamma(i + 1e0))))', 4)} AS p_combined FROM g""")
+def _(spark, sf):
+    return rounded(fisher_combine(rolling(spark, sf).filter("t_p IS NOT NULL"), ["segment"], "t_p", "favours"), 4)

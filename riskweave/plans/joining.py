@@ -110,12 +110,13 @@ def _(spark, sf):
     return rounded(independent(spark, sf).select("segment", "day", "id", "mag"))
 
 
-@query("greedy_decluster_largest", f"""WITH RECURSIVE {CATALOG_SQL}, {FIRST_SQL.format(gap=30)}, r AS (SELECT c.*, fold.kept, row_number() OVER (PARTITION BY c.segment, fold.kept ORDER BY c.mag DESC, c.day, c.time) AS r
-   FROM catalog c JOIN fold ON fold.segment = c.segment AND fold.day = c.day WHERE c.{BIG})
- SELECT segment, day, id, {sql_round('mag')} AS mag FROM r WHERE r = 1""")
+@query("greedy_decluster_largest", f"""WITH RECURSIVE {CATALOG_SQL}, bt AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY time, k) AS rn FROM catalog WHERE {BIG}),
+ wf AS (SELECT segment, rn, time AS opened FROM bt WHERE rn = 1 UNION ALL SELECT bt.segment, bt.rn, CASE WHEN bt.time >= wf.opened + INTERVAL 31 DAY THEN bt.time ELSE wf.opened END FROM wf JOIN bt ON bt.segment = wf.segment AND bt.rn = wf.rn + 1),
+ r AS (SELECT bt.*, row_number() OVER (PARTITION BY segment, opened ORDER BY mag DESC, time, k) AS r FROM bt JOIN wf USING (segment, rn))
+ SELECT segment, time, id, {sql_round('mag')} AS mag FROM r WHERE r = 1""")
 def _(spark, sf):
-    ev = catalog(spark, sf).filter(BIG).select("segment", "day", "id", "k", "mag", "time")
-    return rounded(ep.decluster_largest(ev, ["segment"], "day", "mag", ["time"], 30).select("segment", "day", "id", "mag"))
+    ev = catalog(spark, sf).filter(BIG).select("segment", "time", "id", "k", "mag")
+    return rounded(ep.decluster_largest(ev, ["segment"], "time", "mag", ["k"], 30).select("segment", "time", "id", "mag"))
 
 
 @query("order_fraction_split", f"""WITH RECURSIVE {INDEP_SQL}, s AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY day) / CAST(count(*) OVER (PARTITION BY segment) AS DOUBLE) AS f FROM indep)

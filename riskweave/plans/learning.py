@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskweave.functions.fuzzy import ANOMALY_SETS, degree0
-from riskweave.operators import learning as ln
+from riskweave.operators import isotonic, learning as ln
 from riskweave.operators.profiles import pairwise_distance, summary_stats
 from riskweave.plans.rules import CASE_SQL, CH, cases
 from riskweave.plans.series import SENSOR_SQL, sensor
-from riskweave.plans.standins import rounded, score_rows, sql_degree0, sql_round
+from riskweave.plans.standins import SCORES_SQL, rounded, score_rows, sql_degree0, sql_round
 from riskweave.registry import query
 from riskweave.session import table
 
@@ -83,13 +83,17 @@ def _(spark, sf):
     return model_table(spark, CH, ln.fit_bounded_logistic(d, CH, "y", "w"))
 
 
-@query("isotonic_calibration")
+ISO_SQL = SCORES_SQL + """, m AS (SELECT p, sum(y) AS s, count(*) AS n, row_number() OVER (ORDER BY p) AS i FROM scores WHERE day < DATE '2024-01-20' GROUP BY p), cs AS (SELECT *, sum(s) OVER (ORDER BY i) AS cs, sum(n) OVER (ORDER BY i) AS cn FROM m),
+ pairs AS (SELECT a.i AS j, b.i AS i, (b.cs - a.cs + a.s) / CAST(b.cn - a.cn + a.n AS DOUBLE) AS r FROM cs a JOIN cs b ON b.i >= a.i), low AS (SELECT j, i, min(r) OVER (PARTITION BY j ORDER BY i DESC) AS r FROM pairs), iso AS (SELECT p AS x, max(r) AS v FROM low JOIN m USING (i) GROUP BY p),
+ h AS (SELECT id, y, p FROM scores WHERE day >= DATE '2024-01-20'), lo AS (SELECT h.*, iso.x AS x0, iso.v AS v0 FROM h ASOF LEFT JOIN iso ON h.p >= iso.x), hi AS (SELECT lo.*, iso.x AS x1, iso.v AS v1 FROM lo ASOF LEFT JOIN iso ON lo.p <= iso.x)"""
+
+
+@query("isotonic_calibration", f"WITH {ISO_SQL} SELECT id, y, {sql_round('CASE WHEN x0 IS NULL THEN v1 WHEN x1 IS NULL THEN v0 WHEN x1 > x0 THEN v0 + (p - x0) * (v1 - v0) / (x1 - x0) ELSE v0 END')} AS p_cal FROM hi")
 def _(spark, sf):
     s = score_rows(spark, sf)
     cut = F.lit("2024-01-20").cast("date")
-    t, r = ln.fit_isotonic(s.filter(F.col("day") < cut), "p", "y")
-    h = s.filter(F.col("day") >= cut)
-    return rounded(h.select("id", "y", ln.apply_isotonic("p", t, r).alias("p_cal")))
+    blocks = isotonic.fit_blocks(s.filter(F.col("day") < cut), "p", "y")
+    return rounded(isotonic.apply_blocks(s.filter(F.col("day") >= cut).select("id", "y", "p"), blocks, "p").select("id", "y", "p_cal"))
 
 
 @query("forest_importance")

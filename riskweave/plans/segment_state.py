@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from riskweave.functions.fuzzy import elevated
 from riskweave.operators import gain as gn, intensity as it, timeseries as ts
+from riskweave.operators.consequents import fit_consequents
 from riskweave.operators.timeseries import Ewma, Robust, Roll
 from riskweave.plans.joining import BIG
 from riskweave.plans.series import DAILY_SQL, daily, daily_stats
-from riskweave.plans.standins import catalog, literal_table, rounded, segments, sql_days, sql_round, values
+from riskweave.plans.standins import CATALOG_SQL, catalog, literal_table, rounded, segments, sql_days, sql_round, values
 from riskweave.registry import query
+from riskweave.session import cut_lineage
 
 LAST_DAY = "2001-08-02"
 BASE_SQL = DAILY_SQL + f""", kept AS (SELECT segment, count(*) AS kept FROM catalog e WHERE mag >= 5.3e0 AND NOT EXISTS (SELECT 1 FROM catalog g WHERE g.segment = e.segment AND g.mag >= 5.65e0 AND {sql_days('e.time', 'g.time')} > 0
@@ -77,18 +79,25 @@ def _(spark, sf):
 
 CANDS = [(0, 0.01, 0.02, 0.02, 1.1, 0.9), (1, 0.05, 0.01, 0.1, 1.2, 0.5), (2, 0.1, 0.002, 0.02, 1.1, 1.5), (3, 0.14, 0.001, 0.5, 1.0, 0.9)]
 CAND_COLS = "cand, mu, K, c, p, alpha"
-LL_SQL = DAILY_SQL + f""", cd AS (SELECT * FROM (VALUES {values(CANDS)}) AS t({CAND_COLS})), e AS (SELECT segment, day - min(day) OVER (PARTITION BY segment) AS t, mag FROM catalog WHERE mag >= 5.6e0),
- w AS (SELECT cand, mu, K, c, p, segment, t, count(*) AS n, sum(pow(10e0, alpha * (mag - 5.6e0))) AS w FROM e, cd GROUP BY ALL),
- la AS (SELECT a.cand, a.segment, a.t, a.n, a.mu + a.K * coalesce(sum(b.w / pow(a.t - b.t + a.c, a.p)), 0) AS lam FROM w a LEFT JOIN w b ON a.cand = b.cand AND a.segment = b.segment AND b.t < a.t GROUP BY a.cand, a.segment, a.t, a.n, a.mu, a.K),
+
+
+def rates_sql(mc):
+    """Events of the candidates: w (weight and count of each exact time), la (rate at each event)."""
+    return f"""cd AS (SELECT * FROM (VALUES {values(CANDS)}) AS t({CAND_COLS})), t0 AS (SELECT segment, min(epoch_us(time)) AS t0 FROM catalog WHERE mag >= {mc}e0 GROUP BY 1),
+ e AS (SELECT segment, (epoch_us(time) - t0) / 86400e6 AS t, mag FROM catalog JOIN t0 USING (segment) WHERE mag >= {mc}e0),
+ w AS (SELECT cand, mu, K, c, p, segment, t, count(*) AS n, sum(pow(10e0, alpha * (mag - {mc}e0))) AS w FROM e, cd GROUP BY ALL),
+ la AS (SELECT a.cand, a.segment, a.t, a.n, a.mu + a.K * coalesce(sum(b.w / pow(a.t - b.t + a.c, a.p)), 0) AS lam FROM w a LEFT JOIN w b ON a.cand = b.cand AND a.segment = b.segment AND b.t < a.t GROUP BY a.cand, a.segment, a.t, a.n, a.mu, a.K)"""
+
+
+MASS = "w * CASE WHEN abs(p - 1) < 1e-6 THEN ln(tend - t + c) - ln(c) ELSE (pow(tend - t + c, 1 - p) - pow(c, 1 - p)) / (CASE WHEN p = 1 THEN 1 ELSE 1 - p END) END"
+LL_SQL = CATALOG_SQL + f""", {rates_sql(5.6)},
  s1 AS (SELECT cand, segment, sum(n) AS n, sum(n * ln(lam)) AS s FROM la GROUP BY 1, 2), tm AS (SELECT segment, max(t) + 1e0 AS tend FROM e GROUP BY 1),
- s2 AS (SELECT cand, segment, any_value(mu) * any_value(tend) + any_value(K) * sum(w * CASE WHEN abs(p - 1) < 1e-6 THEN ln(tend - t + c) - ln(c) ELSE (pow(tend - t + c, 1 - p) - pow(c, 1 - p)) / (CASE WHEN p = 1 THEN 1 ELSE 1 - p END) END) AS i FROM w JOIN tm USING (segment) GROUP BY 1, 2),
+ s2 AS (SELECT cand, segment, any_value(mu) * any_value(tend) + any_value(K) * sum({MASS}) AS i FROM w JOIN tm USING (segment) GROUP BY 1, 2),
  ll AS (SELECT cand, segment, CAST(n AS BIGINT) AS n_events, s - i AS loglik FROM s1 JOIN s2 USING (cand, segment))"""
 
 
 def scored(spark, sf):
-    c = literal_table(spark, CANDS, CAND_COLS)
-    w = it.daily_weights(catalog(spark, sf), c, ["segment"], "day", 5.6)
-    return it.candidate_loglik(w, ["segment"], "day")
+    return it.candidate_loglik(catalog(spark, sf), literal_table(spark, CANDS, CAND_COLS), ["segment"], 5.6)
 
 
 @query("etas_log_likelihood", f"WITH {LL_SQL} SELECT cand, segment, n_events, {sql_round('loglik', 5)} AS loglik FROM ll")
@@ -102,9 +111,8 @@ def _(spark, sf):
     return rounded(it.best_candidate(s, ["segment"]), 5)
 
 
-@query("segment_daily_state")
-def _(spark, sf):
-    """Channels, states, strengths and gain of every segment-day in one chained frame."""
+def daily_state(spark, sf):
+    """Channels, states and strengths of every segment-day in one chained frame."""
     k, d = ["segment"], "day"
     frame = ts.date_spine(daily_stats(spark, sf), k, values=["n", "mag_sum", "dist_sum", "cells"])
     frame = ts.regional_features(frame, k, d, 4.7)
@@ -121,6 +129,23 @@ def _(spark, sf):
     seg = segments(spark).select("segment", "v_ref", "t_rec")
     frame = frame.join(F.broadcast(seg), "segment").withColumns({"__v": F.lit(None).cast("double"), "__s": F.lit(0.0)})
     frame = ts.load_accumulator(frame, k, d, "__v", "__s", "C_state", F.lit(0.4), "v_ref", "t_rec")
-    frame = gn.with_strengths(frame)
+    return gn.with_strengths(frame)
+
+
+@query("segment_daily_state")
+def _(spark, sf):
+    """Channels, states and gain of every segment-day."""
+    frame = daily_state(spark, sf)
     cols = ["a_seis", "a_swarm", "a_foreshock", "a_regional_rate", "a_regional_spread", "a_bvalue_drop", "a_fault_concentration", "a_mag_accel", "A_state", "C_state", "E_state"]
     return frame.select("segment", "day", "n", *cols, gn.gain(frame).alias("G"))
+
+
+@query("consequent_fit")
+def _(spark, sf):
+    """Consequents fitted to the refined rates of all segments under the sign order, beside their prior."""
+    n = catalog(spark, sf).filter(BIG).groupBy("segment", "day").agg(F.count(F.lit(1)).alias("n_target"))
+    state = daily_state(spark, sf)
+    frame = state.select("segment", "day", *[c for c in state.columns if c.startswith("w_")]).join(baseline(spark, sf), ["segment", "day"]).join(n, ["segment", "day"], "left")
+    fitted, info = fit_consequents(cut_lineage(frame), "lam", "n_target")
+    rows = [(c, float(prior), float(fitted[c]), info["trained"]) for c, prior in gn.CONSEQUENTS.items()]
+    return rounded(spark.createDataFrame(rows, "rule string, prior double, fitted double, trained boolean"), 4)

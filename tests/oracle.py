@@ -103,7 +103,12 @@ def main():
 
     if a.module:
         registry.PLAN_MODULES = tuple(a.module.split(","))
-    queries = registry.load_all()
+        queries = registry.load_all()
+    else:
+        import __spark_entry__ as entry
+
+        sql = entry.oracle_sql()
+        queries = {name: registry.Query(name, run, sql.get(name)) for name, run in entry.queries().items()}
     from riskweave.session import build_session
 
     spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",

@@ -142,5 +142,5 @@ def test_declustering_is_anchored_at_the_kept_event(spark):
     kept = [r["id"] for r in ep.decluster_first(ev, ["seg"], "day", ["id"], 45).orderBy("day").collect()]
     assert kept == [0, 2, 4, 5]
     big = ev.withColumn("t", F.col("day").cast("timestamp_ntz"))
-    largest = [r["id"] for r in ep.decluster_largest(big, ["seg"], "day", "mag", ["t"], 30).orderBy("day").collect()]
+    largest = [r["id"] for r in ep.decluster_largest(big, ["seg"], "t", "mag", ["id"], 30).orderBy("t").collect()]
     assert largest == [1, 2, 4, 5]

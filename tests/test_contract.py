@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry_module
+from riskweave.registry import Query
 from tests.oracle import compare, connect
 
 SF = os.environ.get("RISKWEAVE_TEST_SF", "/root/testdata/sf0.001")
@@ -26,7 +27,5 @@ def test_every_oracle_has_a_query():
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
 @pytest.mark.parametrize("name", list(entry_module.queries()) if os.environ.get("RISKWEAVE_ALL") else SAMPLE)
 def test_plan_equals_oracle(spark, name):
-    from riskweave.registry import load_all
-
-    status, n, _, _, detail = compare(spark, connect(SF), load_all()[name], SF)
+    status, n, _, _, detail = compare(spark, connect(SF), Query(name, entry_module.queries()[name], entry_module.oracle_sql().get(name)), SF)
     assert status in ("OK", "ROWS", "EMPTY"), detail

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskweave.operators import evaluation as ev, learning as ln
+from riskweave.operators import evaluation as ev, isotonic, learning as ln
 from riskweave.operators.quantiles import ordered_totals, quantiles
 
 DAY0 = dt.date(2020, 1, 1)
@@ -87,12 +87,47 @@ def test_term_fit_equals_iterating_over_rows(spark):
     np.testing.assert_allclose([got[k][1] for k in "abc"], centre, rtol=1e-9)
 
 
-def test_isotonic_is_monotone_and_clipped(spark):
-    df = spark.createDataFrame([(i / 100.0, int((i * 37) % 100 < i)) for i in range(100)], "p double, y int")
-    t, r = ln.fit_isotonic(df, "p", "y")
-    assert r == sorted(r)
-    out = spark.createDataFrame([(-1.0,), (2.0,)], "p double").select(ln.apply_isotonic("p", t, r).alias("q")).collect()
-    assert out[0]["q"] == pytest.approx(r[0]) and out[1]["q"] == pytest.approx(r[-1])
+def pooled(points):
+    """Blocks (lo, hi, sum, n) of sorted (x, sum, n) by pooling neighbours until the rates rise."""
+    out = []
+    for x, s, n in points:
+        out.append([x, x, s, n])
+        while len(out) > 1 and out[-2][2] / out[-2][3] >= out[-1][2] / out[-1][3]:
+            b = out.pop()
+            out[-1] = [out[-1][0], b[1], out[-1][2] + b[2], out[-1][3] + b[3]]
+    return out
+
+
+@pytest.mark.parametrize("rows,parts", [(1, 4), (300, 1), (3000, 40)])
+def test_isotonic_blocks_equal_pooling_in_turn(spark, rows, parts):
+    rng = np.random.default_rng(rows)
+    data = [(round(float(p), 4), int(rng.random() < p ** 2), float(rng.integers(1, 4))) for p in rng.random(rows)] + [(None, 1, 1.0), (0.5, None, 1.0)]
+    df = spark.createDataFrame(data, "p double, y int, w double").repartition(parts)
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        blocks = isotonic.fit_blocks(df, "p", "y", "w")
+        got = sorted(tuple(r) for r in blocks.collect())
+        ask = [-1.0, 0.0, 0.1234, 0.5, 0.77, 0.99999, 2.0, None] + [d[0] for d in data[:40]]
+        out = {r["i"]: r["p_cal"] for r in isotonic.apply_blocks(spark.createDataFrame(list(enumerate(ask)), "i int, p double"), blocks, "p").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    totals = {}
+    for p, y, w in data:
+        if p is not None and y is not None:
+            s, n = totals.get(p, (0.0, 0.0))
+            totals[p] = (s + y * w, n + w)
+    want = pooled([(x, *totals[x]) for x in sorted(totals)])
+    assert [(a, b) for a, b, _, _ in got] == [(a, b) for a, b, _, _ in want]
+    np.testing.assert_allclose([r for _, _, _, r in got], [s / n for _, _, s, n in want], rtol=1e-12)
+    ends = [v for a, b, s, n in want for v in ((a, s / n), (b, s / n))]
+    for i, x in enumerate(ask):
+        assert out[i] is None if x is None else out[i] == pytest.approx(np.interp(x, [e[0] for e in ends], [e[1] for e in ends]))
+
+
+def test_isotonic_without_labels(spark):
+    blocks = isotonic.fit_blocks(spark.createDataFrame([], "p double, y int"), "p", "y")
+    out = isotonic.apply_blocks(spark.createDataFrame([(0.3, 1)], "p double, k int"), blocks, "p").collect()
+    assert blocks.count() == 0 and out[0]["p_cal"] is None
 
 
 def test_bounded_logistic_respects_limits(spark):
