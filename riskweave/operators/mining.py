@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from riskweave.functions.fuzzy import centroid, clip, degree0, membership_sql, sets_for
 
+SINGLE, PAIR = ["channel", "term"], ["channel_a", "term_a", "channel_b", "term_b"]
 Sets = Mapping[str, Mapping[str, Sequence[float]]]
 
 
@@ -61,17 +62,21 @@ def support_lift(df: DataFrame, channels: Sequence[str], y: str, epoch: str, set
     One pass over the data per call; the exchange carries one row per task, epoch and term (or pair).
     """
     base = df.groupBy(epoch).agg(F.avg(y).alias("base"))
-    names = ["channel_a", "term_a", "channel_b", "term_b"] if pairs else ["channel", "term"]
+    names = PAIR if pairs else SINGLE
+    g = support_sums(df, channels, y, epoch, sets, pairs)
+    return g.join(F.broadcast(base), epoch).select(epoch, *names, "support", (F.col("hits") / F.col("support")).alias("rate"),
+                                                   (F.col("hits") / F.col("support") / (F.col("base") + 1e-12)).alias("lift"))
+
+
+def support_sums(df: DataFrame, channels: Sequence[str], y: str, epoch: str, sets: Sets | None = None, pairs: bool = False) -> DataFrame:
+    """Summed degrees, and those of the rows with the label, per epoch and term (or pair of terms)."""
     if pairs:
         terms = [(c, t) for c in channels for t in ((sets or {}).get(c) or sets_for(c))]
         degrees = {f"__mu_{i}": degree0(c, ((sets or {}).get(c) or sets_for(c))[t]) for i, (c, t) in enumerate(terms)}
-        g = _pair_sums(df.select(F.col(epoch), F.col(y).cast("double").alias("y"), *[v.alias(k) for k, v in degrees.items()]), terms, epoch)
-    else:
-        rows = df.select(F.col(epoch), F.col(y).cast("double").alias("y"), F.explode(active_terms(channels, sets)).alias("t"))
-        g = rows.groupBy(epoch, F.col("t.channel").alias("channel"), F.col("t.term").alias("term")).agg(
-            F.sum("t.mu").alias("support"), F.sum(F.col("t.mu") * F.col("y")).alias("hits"))
-    return g.join(F.broadcast(base), epoch).select(epoch, *names, "support", (F.col("hits") / F.col("support")).alias("rate"),
-                                                   (F.col("hits") / F.col("support") / (F.col("base") + 1e-12)).alias("lift"))
+        return _pair_sums(df.select(F.col(epoch), F.col(y).cast("double").alias("y"), *[v.alias(k) for k, v in degrees.items()]), terms, epoch)
+    rows = df.select(F.col(epoch), F.col(y).cast("double").alias("y"), F.explode(active_terms(channels, sets)).alias("t"))
+    return rows.groupBy(epoch, F.col("t.channel").alias("channel"), F.col("t.term").alias("term")).agg(
+        F.sum("t.mu").alias("support"), F.sum(F.col("t.mu") * F.col("y")).alias("hits"))
 
 
 def two_epochs(stats: DataFrame, names: Sequence[str], epoch: str, min_fit: float, min_val: float, retain: float = 0.5) -> DataFrame:
@@ -96,22 +101,27 @@ def mine_rules(df: DataFrame, channels: Sequence[str], y: str, epoch: str, min_f
                min_gain: float = 1.15, sets: Sets | None = None) -> tuple[DataFrame, DataFrame]:
     """(rules, single-term table). Single terms must hold in both epochs; a pair must also beat both of its
     parts by *min_gain* (protective pairs are compared with the smaller part)."""
-    singles = two_epochs(support_lift(df, channels, y, epoch, sets), ["channel", "term"], epoch, min_fit, min_val, retain)
-    pairs = two_epochs(support_lift(df, channels, y, epoch, sets, pairs=True), ["channel_a", "term_a", "channel_b", "term_b"], epoch, min_fit, min_val, retain)
-    pairs = with_gain(pairs, singles, "lift_fit")
+    singles = two_epochs(support_lift(df, channels, y, epoch, sets), SINGLE, epoch, min_fit, min_val, retain)
+    pairs = two_epochs(support_lift(df, channels, y, epoch, sets, pairs=True), PAIR, epoch, min_fit, min_val, retain)
+    return retained_rules(singles, pairs, min_gain), singles
+
+
+def retained_rules(singles: DataFrame, pairs: DataFrame, min_gain: float, keys: Sequence[str] = ()) -> DataFrame:
+    """Rules of two-epoch tables (of each group of *keys*)."""
+    pairs = with_gain(pairs, singles, "lift_fit", keys)
     up = F.col("lift_fit") > 1
     genuine = F.when(up, F.col("gain") >= min_gain).otherwise(F.col("gain") <= 1 / min_gain)
-    one = singles.filter("ok").select(F.lit(1).alias("arity"), F.col("channel").alias("channel_a"), F.col("term").alias("term_a"), F.lit(None).cast("string").alias("channel_b"),
+    one = singles.filter("ok").select(*keys, F.lit(1).alias("arity"), F.col("channel").alias("channel_a"), F.col("term").alias("term_a"), F.lit(None).cast("string").alias("channel_b"),
                                       F.lit(None).cast("string").alias("term_b"), "support", "lift_fit", "lift_val", "retention", F.lit(None).cast("double").alias("gain"))
-    two = pairs.filter(F.col("ok") & genuine).select(F.lit(2).alias("arity"), "channel_a", "term_a", "channel_b", "term_b", "support", "lift_fit", "lift_val", "retention", "gain")
-    return one.unionByName(two), singles
+    two = pairs.filter(F.col("ok") & genuine).select(*keys, F.lit(2).alias("arity"), "channel_a", "term_a", "channel_b", "term_b", "support", "lift_fit", "lift_val", "retention", "gain")
+    return one.unionByName(two)
 
 
-def with_gain(pairs: DataFrame, singles: DataFrame, lift: str) -> DataFrame:
+def with_gain(pairs: DataFrame, singles: DataFrame, lift: str, keys: Sequence[str] = ()) -> DataFrame:
     """Ratio of a pair's lift to the larger (smaller, if protective) lift of its parts."""
     for side in ("a", "b"):
-        part = singles.select(F.col("channel").alias(f"channel_{side}"), F.col("term").alias(f"term_{side}"), F.col(lift).alias(f"__l{side}"))
-        pairs = pairs.join(F.broadcast(part), [f"channel_{side}", f"term_{side}"], "left")
+        part = singles.select(*keys, F.col("channel").alias(f"channel_{side}"), F.col("term").alias(f"term_{side}"), F.col(lift).alias(f"__l{side}"))
+        pairs = pairs.join(F.broadcast(part), [*keys, f"channel_{side}", f"term_{side}"], "left")
     a, b = F.coalesce("__la", F.lit(1.0)), F.coalesce("__lb", F.lit(1.0))
     best = F.when(F.col(lift) > 1, F.greatest(a, b)).otherwise(F.least(a, b))
     return pairs.withColumn("gain", F.col(lift) / (best + 1e-12)).drop("__la", "__lb")

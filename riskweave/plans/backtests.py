@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskweave.operators import backtest as bt, intensity as it
+from riskweave.functions.fuzzy import ANOMALY_SETS
+from riskweave.operators import backtest as bt, cells as ce, intensity as it, walkforward as wf
 from riskweave.operators.evaluation import fisher_combine
 from riskweave.plans.evaluation import BIN
-from riskweave.plans.global_cells import PIT_SQL, cell_months
+from riskweave.plans.global_cells import CHAN_SQL, PIT_SQL, cell_months
 from riskweave.plans.segment_state import CANDS, CAND_COLS, MASS, SERIES_SQL, rates_sql, series
-from riskweave.plans.standins import SCORES_SQL, catalog, literal_table, rounded, score_rows, sql_round
+from riskweave.plans.standins import catalog, literal_table, rounded, sql_degree0, sql_round
 from riskweave.registry import query
 from riskweave.session import cut_lineage
 
@@ -37,7 +38,9 @@ def one_axis(name, src, n, need, edges):
  {name}t AS (SELECT b, max(coalesce(r, (SELECT avg(r) FROM {name}f), (SELECT avg(y) FROM tr))) OVER (ORDER BY b) AS p FROM {name}f)"""
 
 
-LADDER_SQL = PIT_SQL + f""", xx AS (SELECT s AS date, y, rate_bg, omori, ln(1 + omori) AS lo, ln(1 + rate_bg) AS lr, tanh(n30 / 10e0) + n7 / 100e0 + t_last / 1000e0 AS sc FROM cm), tr AS (SELECT * FROM xx WHERE date < DATE '2000-06-01'), te AS (SELECT row_number() OVER () AS rid, * FROM xx WHERE date >= DATE '2000-06-01'),
+def ladder_ctes(rows, cut):
+    """Tables of the ladder fitted before *cut* on *rows* (date, y, rate_bg, omori, lo, lr, sc), up to the scored long form ln_ and th."""
+    return f"""xx AS ({rows}), tr AS (SELECT * FROM xx WHERE date < DATE '{cut}'), te AS (SELECT row_number() OVER () AS rid, * FROM xx WHERE date >= DATE '{cut}'),
  ed AS (SELECT quantile_cont(rate_bg, [{q_list(10)}]) AS r1, quantile_cont(omori, [{q_list(10)}]) AS o1, quantile_cont(lo, [{q_pos(8)}]) FILTER (WHERE lo > 0) AS o2, quantile_cont(rate_bg, [{q_list(8)}]) AS r2, quantile_cont(lo, [{q_pos(7)}]) FILTER (WHERE lo > 0) AS o3, quantile_cont(lr, [{q_list(5)}]) AS r3, quantile_cont(sc, [{q_list(4)}]) AS s3 FROM tr),
  {one_axis('ra', 'rate_bg', 10, 300, 'r1')}, {one_axis('ac', 'omori', 10, 300, 'o1')},
  b2 AS (SELECT {BIN.format(edges='o2', x='lo')} AS i, {BIN.format(edges='r2', x='rate_bg')} AS j, y FROM tr, ed), g2 AS (SELECT i, j, count(*) AS n, avg(y) AS r FROM b2 GROUP BY 1, 2), f2 AS (SELECT CAST(a.range AS INTEGER) AS i, CAST(b.range AS INTEGER) AS j, CASE WHEN n >= 300 THEN r END AS r FROM range(7) a, range(8) b LEFT JOIN g2 ON i = a.range AND j = b.range),
@@ -50,17 +53,72 @@ LADDER_SQL = PIT_SQL + f""", xx AS (SELECT s AS date, y, rate_bg, omori, ln(1 +
  ln_ AS (SELECT y, replace(model, 'full_', 'full') AS model, least(greatest(p, 1e-5), 1 - 1e-5) AS p FROM sc UNPIVOT (p FOR model IN (constant, rate, activity, activity_rate, full_))), th AS (SELECT model, quantile_cont(p, 0.9) AS t FROM ln_ GROUP BY model)"""
 
 
-@query("benchmark_ladder", f"""WITH {LADDER_SQL} SELECT model, count(*) AS n, {sql_round('avg(pow(p - y, 2))')} AS brier, {sql_round('avg(y * ln(p / (SELECT avg(y) FROM tr)) + (1 - y) * ln((1 - p) / (1 - (SELECT avg(y) FROM tr))))')} AS info_gain, {sql_round('avg(CASE WHEN p >= t THEN y END) / avg(y)')} AS lift_top10 FROM ln_ JOIN th USING (model) GROUP BY model""")
+def metrics_sql():
+    return f"""SELECT model, count(*) AS n, {sql_round('avg(pow(p - y, 2))')} AS brier, {sql_round('avg(y * ln(p / (SELECT avg(y) FROM tr)) + (1 - y) * ln((1 - p) / (1 - (SELECT avg(y) FROM tr))))')} AS info_gain, {sql_round('avg(CASE WHEN p >= t THEN y END) / avg(y)')} AS lift_top10 FROM ln_ JOIN th USING (model) GROUP BY model"""
+
+
+LADDER_SQL = PIT_SQL + ", " + ladder_ctes("SELECT s AS date, y, rate_bg, omori, ln(1 + omori) AS lo, ln(1 + rate_bg) AS lr, tanh(n30 / 10e0) + n7 / 100e0 + t_last / 1000e0 AS sc FROM cm", "2000-06-01")
+
+
+@query("benchmark_ladder", f"WITH {LADDER_SQL} {metrics_sql()}")
 def _(spark, sf):
     c = cut_lineage(cell_months(spark, sf)).withColumn("sc", F.tanh(F.col("n30") / 10.0) + F.col("n7") / 100.0 + F.col("t_last") / 1000.0)
     cut = F.lit("2000-06-01").cast("date")
     return rounded(bt.ladder(c.filter(F.col("date") < cut), c.filter(F.col("date") >= cut), "y", "rate_bg", "omori", "sc"))
 
 
-@query("materiality_selection", f"""WITH {SCORES_SQL}, f AS (SELECT day, avg(pow(0.1e0 - y, 2)) AS base, avg(pow(p * 0.3e0 - y, 2)) AS cand FROM scores GROUP BY day) SELECT {sql_round('avg(base - cand)')} AS mean_delta, {sql_round('max_by(base - cand, day)')} AS last_delta, avg(base - cand) >= 1e-4 AND max_by(base - cand, day) >= 1e-4 AS selected FROM f""")
+#: Channels whose rules are mined in every fold.
+WALK = ["a_seis", "a_fore", "C_state"]
+WALK_ORIGINS = ["1999-06-01", "2000-06-01"]
+TERM_ORDER = "CASE channel " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(WALK)) + " END"
+
+
+def _two_sql(src, names):
+    cols = ", ".join(names)
+    return f"""SELECT *, (lf - 1) * (lv - 1) > 0 AND ret >= 0.5 AS ok FROM (SELECT *, CASE WHEN abs(lf - 1) > 1e-6 THEN (lv - 1) / (lf - 1) ELSE 0 END AS ret FROM (
+  SELECT fold, {cols}, max(support) FILTER (WHERE role = 'fit') AS sf, max(lift) FILTER (WHERE role = 'fit') AS lf, max(support) FILTER (WHERE role = 'val') AS sv, max(lift) FILTER (WHERE role = 'val') AS lv FROM {src} GROUP BY fold, {cols}) WHERE sf >= 100 AND sv >= 80)"""
+
+
+WALK_SQL = PIT_SQL + f""", cc AS (SELECT row_number() OVER () AS rid, *, {CHAN_SQL.split(', greatest(')[0]} FROM cm), fo AS (SELECT unnest(['{"', '".join(WALK_ORIGINS)}']) AS fold), mid AS (SELECT fold, quantile_cont(CAST(s - DATE '1970-01-01' AS BIGINT), 0.55) AS mid FROM cc, fo WHERE s < CAST(fold AS DATE) GROUP BY fold),
+ ro AS (SELECT rid, y, fold, CASE WHEN CAST(s - DATE '1970-01-01' AS BIGINT) < mid THEN 'fit' WHEN s < CAST(fold AS DATE) THEN 'val' WHEN CAST(s - CAST(fold AS DATE) AS BIGINT) < 365.25 THEN 'test' END AS role FROM cc, fo JOIN mid USING (fold)),
+ mu AS ({' UNION ALL '.join(f"SELECT rid, '{c}' AS channel, '{t}' AS term, {sql_degree0(c, p)} AS mu FROM cc" for c in WALK for t, p in ANOMALY_SETS.items())}),
+ pm AS (SELECT a.rid, a.channel AS channel_a, a.term AS term_a, b.channel AS channel_b, b.term AS term_b, least(a.mu, b.mu) AS mu FROM mu a JOIN mu b ON a.rid = b.rid AND a.mu > 0 AND b.mu > 0 AND {TERM_ORDER.replace('channel', 'a.channel', 1)} < {TERM_ORDER.replace('channel', 'b.channel', 1)}),
+ ba AS (SELECT fold, role, avg(y) AS base FROM ro WHERE role IN ('fit', 'val') GROUP BY 1, 2),
+ sl AS (SELECT fold, role, channel, term, sum(mu) AS support, sum(mu * y) / sum(mu) / (any_value(base) + 1e-12) AS lift FROM ro JOIN mu USING (rid) JOIN ba USING (fold, role) WHERE mu > 0 GROUP BY 1, 2, 3, 4),
+ pl AS (SELECT fold, role, channel_a, term_a, channel_b, term_b, sum(mu) AS support, sum(mu * y) / sum(mu) / (any_value(base) + 1e-12) AS lift FROM ro JOIN pm USING (rid) JOIN ba USING (fold, role) GROUP BY 1, 2, 3, 4, 5, 6),
+ s2 AS ({_two_sql('sl', ['channel', 'term'])}), p2 AS ({_two_sql('pl', ['channel_a', 'term_a', 'channel_b', 'term_b'])}),
+ pg AS (SELECT p2.*, p2.lf / (CASE WHEN p2.lf > 1 THEN greatest(coalesce(a.lf, 1), coalesce(b.lf, 1)) ELSE least(coalesce(a.lf, 1), coalesce(b.lf, 1)) END + 1e-12) AS gain FROM p2 LEFT JOIN s2 a ON a.fold = p2.fold AND a.channel = p2.channel_a AND a.term = p2.term_a LEFT JOIN s2 b ON b.fold = p2.fold AND b.channel = p2.channel_b AND b.term = p2.term_b),
+ ru AS (SELECT fold, CAST(1 AS INTEGER) AS arity, channel AS channel_a, term AS term_a, NULL::VARCHAR AS channel_b, NULL::VARCHAR AS term_b, sf, lf, lv FROM s2 WHERE ok
+   UNION ALL SELECT fold, 2, channel_a, term_a, channel_b, term_b, sf, lf, lv FROM pg WHERE ok AND CASE WHEN lf > 1 THEN gain >= 1.15 ELSE gain <= 1 / 1.15 END),
+ inf AS (SELECT fold, channel, least(1e0, greatest(0.2e0, avg(least(1e0, greatest(0e0, ret))))) AS m FROM s2 GROUP BY 1, 2),
+ pw AS (SELECT ru.*, abs(lf - 1) / max(abs(lf - 1)) OVER (PARTITION BY ru.fold) * least(coalesce(a.m, 0.3e0), CASE WHEN arity = 2 THEN coalesce(b.m, 0.3e0) ELSE 9e0 END) AS power FROM ru LEFT JOIN inf a ON a.fold = ru.fold AND a.channel = ru.channel_a LEFT JOIN inf b ON b.fold = ru.fold AND b.channel = ru.channel_b),
+ fi AS (SELECT rid, fold, coalesce(max(mu * power) FILTER (WHERE lf > 1), 0e0) - coalesce(max(mu * power) FILTER (WHERE lf < 1), 0e0) AS score FROM (
+   SELECT rid, fold, mu, power, lf FROM mu JOIN pw ON arity = 1 AND channel = channel_a AND term = term_a UNION ALL SELECT rid, fold, mu, power, lf FROM pm JOIN pw ON arity = 2 AND pm.channel_a = pw.channel_a AND pm.term_a = pw.term_a AND pm.channel_b = pw.channel_b AND pm.term_b = pw.term_b) GROUP BY 1, 2),
+ fs AS (SELECT ro.fold, cc.s AS date, cc.y, rate_bg, omori, ln(1 + omori) AS lo, ln(1 + rate_bg) AS lr, coalesce(score, 0e0) AS sc FROM ro JOIN cc USING (rid) LEFT JOIN fi USING (rid, fold) WHERE role IS NOT NULL)"""
+FOLD_METRICS_SQL = " UNION ALL ".join(f"SELECT '{o}' AS fold, * FROM (WITH {ladder_ctes(f'SELECT * EXCLUDE (fold) FROM fs WHERE fold = ' + chr(39) + o + chr(39), o)} {metrics_sql()})" for o in WALK_ORIGINS)
+
+
+def walk(spark, sf):
+    c = ce.derive_channels(cell_months(spark, sf))
+    return wf.run(c, "date", "y", "rate_bg", "omori", WALK, WALK_ORIGINS, 1.0, 100, 80, 1, {w: ANOMALY_SETS for w in WALK})
+
+
+@query("walk_forward_rules", f"""WITH {WALK_SQL} SELECT fold, arity, channel_a, term_a, channel_b, term_b, {sql_round('sf', 4)} AS support, {sql_round('lf', 5)} AS lift_fit, {sql_round('lv', 5)} AS lift_val FROM ru""")
+def _(spark, sf):
+    r = walk(spark, sf)[0].select("fold", "arity", "channel_a", "term_a", "channel_b", "term_b", "support", "lift_fit", "lift_val")
+    return r.withColumns({"support": F.round("support", 4), "lift_fit": F.round("lift_fit", 5), "lift_val": F.round("lift_val", 5)})
+
+
+@query("walk_forward_metrics", f"""WITH {WALK_SQL} {FOLD_METRICS_SQL}""")
+def _(spark, sf):
+    return rounded(walk(spark, sf)[1].select("fold", "model", "n", "brier", "info_gain", "lift_top10"))
+
+
+@query("materiality_selection", f"""WITH {WALK_SQL}, mt AS ({FOLD_METRICS_SQL.replace(sql_round('avg(pow(p - y, 2))'), 'avg(pow(p - y, 2))')}), d AS (SELECT fold, max(brier) FILTER (WHERE model = 'activity_rate') - max(brier) FILTER (WHERE model = 'full') AS delta FROM mt GROUP BY fold)
+ SELECT {sql_round('avg(delta)')} AS mean_delta, {sql_round('max_by(delta, fold)')} AS last_delta, avg(delta) >= 1e-4 AND max_by(delta, fold) >= 1e-4 AS selected FROM d""")
 def _(spark, sf):
-    f = score_rows(spark, sf).groupBy("day").agg(F.avg(F.pow(0.1 - F.col("y"), 2)).alias("base"), F.avg(F.pow(F.col("p") * 0.3 - F.col("y"), 2)).alias("cand"))
-    return rounded(bt.materiality(f, "day", "base", "cand"))
+    """Whether the mined score earns its place: the full model against activity and rate, over the folds."""
+    return rounded(wf.fold_materiality(walk(spark, sf)[1]))
 
 
 def sql_t_p(t, df):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from riskweave.functions.fuzzy import value_bucket
 from riskweave.operators import ranking
 from riskweave.plans.spatial import CELLS_SQL, own_cells
-from riskweave.plans.standins import CATALOG_SQL, READINGS_SQL, SCORES_SQL, catalog, readings, rounded, score_rows, sql_round
+from riskweave.plans.standins import AFTER_LAST_SQL, after_last, CATALOG_SQL, READINGS_SQL, SCORES_SQL, catalog, readings, rounded, score_rows, sql_round
 from riskweave.registry import query
 from riskweave.session import table
 
@@ -56,10 +56,10 @@ def _(spark, sf):
     return rounded(ranking.topk_per_key(f, ["grp"], [F.desc("weighted"), F.asc("rule")], 5))
 
 
-@query("recent_events", f"""WITH {CATALOG_SQL} SELECT id, {sql_round('latitude', 2)} AS latitude, {sql_round('longitude', 2)} AS longitude, {sql_round('mag', 1)} AS mag, {sql_round("(epoch(TIMESTAMP '2001-08-02 00:00:00') - epoch(time)) / 3600e0", 5)} AS age_hours
- FROM catalog WHERE time >= TIMESTAMP '2001-07-26 00:00:00'""")
+@query("recent_events", f"""WITH {CATALOG_SQL} SELECT id, {sql_round('latitude', 2)} AS latitude, {sql_round('longitude', 2)} AS longitude, {sql_round('mag', 1)} AS mag, {sql_round(f"(epoch({AFTER_LAST_SQL}) - epoch(time)) / 3600e0", 5)} AS age_hours
+ FROM catalog WHERE time >= {AFTER_LAST_SQL} - INTERVAL 7 DAY""")
 def _(spark, sf):
-    as_of = F.lit("2001-08-02 00:00:00").cast("timestamp_ntz")
+    as_of = F.lit(after_last(spark, sf)).cast("timestamp_ntz")
     c = ranking.recent_events(catalog(spark, sf), as_of, days=7)
     return c.select("id", (F.round("latitude", 2) + 0.0).alias("latitude"), (F.round("longitude", 2) + 0.0).alias("longitude"), F.round("mag", 1).alias("mag"), F.round("age_hours", 5).alias("age_hours"))
 
@@ -78,8 +78,8 @@ def _(spark, sf):
     return a.intersect(b).withColumn("side", F.lit("both")).unionByName(a.subtract(b).withColumn("side", F.lit("left")))
 
 
-@query("staleness_flag", """SELECT event_id, epoch(TIMESTAMP '2024-01-15 00:00:00' - ts) > 1200 AS stale FROM events WHERE ts <= TIMESTAMP '2024-01-15 00:00:00'""")
+@query("staleness_flag", """SELECT event_id, epoch((SELECT max(ts) FROM events) - ts) > 1200 AS stale FROM events""")
 def _(spark, sf):
-    as_of = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
-    e = table(spark, sf, "events").filter(F.col("ts") <= as_of)
+    e = table(spark, sf, "events")
+    as_of = F.lit(e.agg(F.max("ts")).first()[0]).cast("timestamp_ntz")
     return e.select("event_id", ranking.stale("ts", as_of, minutes=20).alias("stale"))

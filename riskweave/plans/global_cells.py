@@ -9,7 +9,7 @@ from riskweave.operators import cells as ce
 from riskweave.operators.scoring import Rule
 from riskweave.operators.spatial import halo
 from riskweave.plans.spatial import CELLS_SQL, SLIP_SQL, fault_cells, own_cells
-from riskweave.plans.standins import CATALOG_SQL, FAULTS_SQL, catalog, rounded, sql_days, sql_degree0, sql_round
+from riskweave.plans.standins import AFTER_LAST_SQL, CATALOG_SQL, after_last, FAULTS_SQL, catalog, rounded, sql_days, sql_degree0, sql_round
 from riskweave.registry import query
 
 FIRST, LAST, ORIGIN, TARGET = "1996-01-01", "2001-08-01", "1995-01-01", 5.6
@@ -37,19 +37,18 @@ def _(spark, sf):
     return rounded(c, keep=("t_last", "days_next")).withColumns({"t_last": F.round("t_last", 8), "days_next": F.round("days_next", 8)})
 
 
-NOW = "2001-08-02 00:00:00"
 GRID_SQL = CELLS_SQL + f""", {FAULTS_SQL}, sl AS (SELECT CAST(floor(lat) AS INTEGER) AS la, CAST(floor(lon) AS INTEGER) AS lo, max(coalesce({SLIP_SQL}, 0e0)) AS slip FROM fault_vertices WHERE pos % 3 = 0 GROUP BY 1, 2),
  grid AS (SELECT la, lo, coalesce(sl.slip, 0e0) AS slip FROM (SELECT la, lo FROM cells WHERE n >= 3) c FULL JOIN sl USING (la, lo)), {HALO_SQL}"""
 LIVE_SQL = GRID_SQL + f""",
- lf AS (SELECT la, lo, count(*) AS i, {FEATS} FROM (SELECT *, TIMESTAMP '{NOW}' AS s FROM h) WHERE time < s GROUP BY la, lo),
- live AS (SELECT la, lo, slip, coalesce(i, 0) / greatest({sql_days(f"TIMESTAMP '{NOW}'", f"TIMESTAMP '{ORIGIN}'")} / 365.25e0, 1e0) AS rate_bg, {', '.join(f'coalesce(n{w}, 0) AS n{w}' for w in ce.WINDOWS)}, coalesce({sql_days(f"TIMESTAMP '{NOW}'", 't_max')}, 99999e0) AS t_last,
+ lf AS (SELECT la, lo, count(*) AS i, {FEATS} FROM (SELECT *, {AFTER_LAST_SQL} AS s FROM h) WHERE time < s GROUP BY la, lo),
+ live AS (SELECT la, lo, slip, coalesce(i, 0) / greatest({sql_days(AFTER_LAST_SQL, f"TIMESTAMP '{ORIGIN}'")} / 365.25e0, 1e0) AS rate_bg, {', '.join(f'coalesce(n{w}, 0) AS n{w}' for w in ce.WINDOWS)}, coalesce({sql_days(AFTER_LAST_SQL, 't_max')}, 99999e0) AS t_last,
    coalesce(mag_max, 0e0) AS mag_max, coalesce(omori, 0e0) AS omori FROM grid LEFT JOIN lf USING (la, lo))"""
 
 
 def live(spark, sf):
     own = own_cells(spark, sf).filter("n >= 3").select("la", "lo", "n")
     grid = own.join(fault_cells(spark, sf), ["la", "lo"], "full").select("la", "lo", F.coalesce("slip", F.lit(0.0)).alias("slip"))
-    return ce.cell_state(catalog(spark, sf), grid, F.lit(NOW).cast("timestamp_ntz"), ORIGIN)
+    return ce.cell_state(catalog(spark, sf), grid, F.lit(after_last(spark, sf)).cast("timestamp_ntz"), ORIGIN)
 
 
 @query("live_cell_state", f"WITH {LIVE_SQL} SELECT la, lo, slip, {sql_round('rate_bg')} AS rate_bg, n7, n30, n90, n365, {sql_round('t_last', 8)} AS t_last, {sql_round('mag_max')} AS mag_max, {sql_round('omori')} AS omori FROM live")

@@ -141,22 +141,38 @@ def _(spark, sf):
     return rounded(out.select("segment", "id", "lead_days", "anchor", "feature_day", "value"))
 
 
-CONTROL_SQL = INDEP_SQL + f""", {FEAT_SQL}, ix AS (SELECT segment, day, row_number() OVER (PARTITION BY segment ORDER BY day) AS i, count(*) OVER (PARTITION BY segment) AS n FROM feat),
- rare AS (SELECT * FROM indep WHERE mag >= 5.698e0), cd AS (SELECT segment, day FROM ix x WHERE i > 180 AND i <= n - 1 AND NOT EXISTS (SELECT 1 FROM rare WHERE rare.segment = x.segment AND abs(x.day - rare.day) <= 180)),
- cl AS (SELECT cd.segment, cd.day, r.day AS event_day, r.id, row_number() OVER (PARTITION BY cd.segment, cd.day ORDER BY r.day, r.id) AS q FROM cd JOIN rare r ON r.segment = cd.segment AND abs(cd.day - r.day) <= 1095
+#: Sites are the customers of the events: so many that days far from every event of a site are left at any scale.
+SITE_SQL = f"""sites AS (SELECT o_custkey AS site, CAST(o_orderkey AS VARCHAR) AS id, o_orderkey AS k, CAST(o_orderdate AS DATE) AS day, o_orderdate + to_seconds((o_orderkey * 7919) % 86400) AS time, log10(o_totalprice) AS mag FROM orders),
+ sb AS (SELECT site, day, row_number() OVER (PARTITION BY site ORDER BY day) AS rn FROM (SELECT DISTINCT site, day FROM sites WHERE {BIG})),
+ sfold AS (SELECT site, day, rn, day AS kept FROM sb WHERE rn = 1 UNION ALL SELECT sb.site, sb.day, sb.rn, CASE WHEN sb.day - sfold.kept > 45 THEN sb.day ELSE sfold.kept END FROM sfold JOIN sb ON sb.site = sfold.site AND sb.rn = sfold.rn + 1),
+ sind AS (SELECT c.site, c.day, c.id FROM (SELECT *, row_number() OVER (PARTITION BY site, day ORDER BY time, k) AS r FROM sites WHERE {BIG}) c JOIN sfold f ON f.site = c.site AND f.day = c.day AND f.kept = f.day WHERE c.r = 1),
+ sdays AS (SELECT site, CAST(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST((SELECT max(day) FROM sites) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM (SELECT site, min(day) AS lo FROM sites GROUP BY 1))"""
+CONTROL_SQL = SITE_SQL + """, ix AS (SELECT site, day, row_number() OVER (PARTITION BY site ORDER BY day) AS i, count(*) OVER (PARTITION BY site) AS n FROM sdays),
+ cd AS (SELECT site, day FROM ix x WHERE i > 180 AND i <= n - 1 AND NOT EXISTS (SELECT 1 FROM sind WHERE sind.site = x.site AND abs(x.day - sind.day) <= 180)),
+ cl AS (SELECT cd.site, cd.day, r.day AS event_day, r.id, row_number() OVER (PARTITION BY cd.site, cd.day ORDER BY r.day, r.id) AS q FROM cd JOIN sind r ON r.site = cd.site AND abs(cd.day - r.day) <= 1095
    AND least(abs(month(cd.day) - month(r.day)), 12 - abs(month(cd.day) - month(r.day))) <= 1),
- pk AS (SELECT *, row_number() OVER (PARTITION BY segment, id ORDER BY CAST(day - DATE '1970-01-01' AS BIGINT) * 7919 % 10007, day) AS rank FROM cl WHERE q = 1)"""
+ pk AS (SELECT *, row_number() OVER (PARTITION BY site, id ORDER BY CAST(day - DATE '1970-01-01' AS BIGINT) * 7919 % 10007, day) AS rank FROM cl WHERE q = 1)"""
+
+
+def site_events(spark, sf):
+    """The catalog by site: the events of each customer."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("site"))
+    return catalog(spark, sf).select("k", "id", "day", "time", "mag").join(o, "k")
 
 
 def controls(spark, sf):
-    rare = independent(spark, sf).filter("mag >= 5.698e0").select("segment", "day", "id")
+    """Control days of every independent event of a site, kept away from all independent events of the site."""
+    events = site_events(spark, sf)
+    big = ep.decluster_first(events.filter(BIG).select("site", "day", "id", "k", "time"), ["site"], "day", ["time", "k"], 45).select("site", "day", "id")
+    as_of = events.agg(F.max("day")).first()[0]
+    days = ts.date_spine(ts.daily_counts(events, ["site"]), ["site"], end=as_of).select("site", "day")
     shuffle = F.unix_date("day").cast("bigint") * 7919 % 10007
-    return ep.control_days(features(spark, sf), rare, ["segment"], "day", "id", shuffle)
+    return ep.control_days(days, big, ["site"], "day", "id", shuffle)
 
 
-@query("case_control_match", f"WITH RECURSIVE {CONTROL_SQL} SELECT segment, day, event_day, id, CAST(rank AS INTEGER) AS rank FROM pk WHERE rank <= 3")
+@query("case_control_match", f"WITH RECURSIVE {CONTROL_SQL} SELECT site, day, event_day, id, CAST(rank AS INTEGER) AS rank FROM pk WHERE rank <= 3")
 def _(spark, sf):
-    return controls(spark, sf).select("segment", "day", "event_day", "id", "rank")
+    return controls(spark, sf).select("site", "day", "event_day", "id", "rank")
 
 
 @query("episode_weights", f"""WITH RECURSIVE {INDEP_SQL}, {FEAT_SQL}, l AS (SELECT i.segment, i.id, l.v AS lead_days, i.day - l.v AS anchor FROM indep i, (VALUES (7), (14), (30)) l(v)),

@@ -10,11 +10,10 @@ from riskweave.operators.consequents import fit_consequents
 from riskweave.operators.timeseries import Ewma, Robust, Roll
 from riskweave.plans.joining import BIG
 from riskweave.plans.series import DAILY_SQL, daily, daily_stats
-from riskweave.plans.standins import CATALOG_SQL, catalog, literal_table, rounded, segments, sql_days, sql_round, values
+from riskweave.plans.standins import CATALOG_SQL, after_last, catalog, literal_table, rounded, segments, sql_days, sql_round, values
 from riskweave.registry import query
 from riskweave.session import cut_lineage
 
-LAST_DAY = "2001-08-02"
 BASE_SQL = DAILY_SQL + f""", kept AS (SELECT segment, count(*) AS kept FROM catalog e WHERE mag >= 5.3e0 AND NOT EXISTS (SELECT 1 FROM catalog g WHERE g.segment = e.segment AND g.mag >= 5.65e0 AND {sql_days('e.time', 'g.time')} > 0
    AND {sql_days('e.time', 'g.time')} < 30 AND sqrt(pow((e.latitude - g.latitude) * 110.6e0, 2) + pow((e.longitude - g.longitude) * 92.6e0, 2)) < 30) GROUP BY segment),
  sp AS (SELECT segment, floor({sql_days('max(time)', 'min(time)')}) AS span, count(*) FILTER (WHERE mag >= 5.69e0) AS n_obs FROM catalog GROUP BY segment),
@@ -25,7 +24,7 @@ BASE_SQL = DAILY_SQL + f""", kept AS (SELECT segment, count(*) AS kept FROM cata
 
 
 def baseline(spark, sf):
-    return it.baseline_intensity(catalog(spark, sf), daily(spark, sf), ["segment"], LAST_DAY, 5.69, 5.3, 5.5, big_mag=5.65)
+    return it.baseline_intensity(catalog(spark, sf), daily(spark, sf), ["segment"], after_last(spark, sf), 5.69, 5.3, 5.5, big_mag=5.65)
 
 
 @query("intensity_baseline", f"WITH {BASE_SQL} SELECT segment, day, {sql_round('lam')} AS lam FROM lamb")
@@ -38,7 +37,7 @@ FIT = {"Mc": 5.5, "mu": 0.05, "K": 0.02, "c": 0.02, "p": 1.1, "alpha": 0.9}
 
 @query("intensity_fitted", f"""WITH {BASE_SQL} SELECT segment, day, {sql_round('(0.05e0 + 0.02e0 * u) * pow(10e0, -(5.69e0 - 5.5e0))')} AS lam FROM un""")
 def _(spark, sf):
-    return rounded(it.fitted_intensity(catalog(spark, sf), daily(spark, sf), ["segment"], LAST_DAY, FIT, 5.69))
+    return rounded(it.fitted_intensity(catalog(spark, sf), daily(spark, sf), ["segment"], after_last(spark, sf), FIT, 5.69))
 
 
 SERIES_SQL = BASE_SQL + """, ser AS (SELECT segment, day, lam AS lam_base, CASE WHEN count(n) OVER w > 0 THEN pow(10e0, least(1.7e0, greatest(-1e0, (sum(n) OVER w - 7.5e0) / 20e0))) END AS G FROM lamb JOIN daily USING (segment, day) WINDOW w AS (PARTITION BY segment ORDER BY day ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)),

@@ -9,6 +9,7 @@ from riskweave.functions import geo
 from riskweave.functions.parsing import parse_slip_rate
 from riskweave.operators import spatial as sp
 from riskweave.plans.standins import (
+    AFTER_LAST_SQL, after_last,
     CATALOG_SQL, EDGES_SQL, FAULTS_SQL, SEGMENTS_SQL, VERTEX_COLS, VERTEX_ROWS, catalog, fault_vertices, literal_table, rounded,
     segments, sql_days, sql_haversine, sql_round, trace_vertices, values)
 from riskweave.registry import query
@@ -167,11 +168,11 @@ def _(spark, sf):
 
 
 @query("kernel_range_join", f"""WITH {CATALOG_SQL}, e AS (SELECT segment, time, pow(10e0, 0.9e0 * (mag - 5e0)) AS w FROM catalog WHERE mag >= 5.3e0),
- d AS (SELECT CAST(unnest(generate_series(TIMESTAMP '1995-01-02', TIMESTAMP '2001-08-02', INTERVAL 1 DAY)) AS DATE) AS day)
+ d AS (SELECT CAST(unnest(generate_series((SELECT CAST(min(day) + 1 AS TIMESTAMP) FROM catalog), {AFTER_LAST_SQL}, INTERVAL 1 DAY)) AS DATE) AS day)
  SELECT segment, day, {sql_round(f"sum(w / pow({sql_days('day', 'time')} + 0.02e0, 1.1e0))", 5)} AS excitation FROM e JOIN d ON CAST(d.day AS TIMESTAMP) > e.time GROUP BY segment, day""")
 def _(spark, sf):
     e = catalog(spark, sf).filter("mag >= 5.3").withColumn("w", F.pow(F.lit(10.0), 0.9 * (F.col("mag") - 5.0)))
-    return rounded(sp.kernel_intensity(e, ["segment"], "time", "w", 0.02, 1.1, "2001-08-02"), 5)
+    return rounded(sp.kernel_intensity(e, ["segment"], "time", "w", 0.02, 1.1, after_last(spark, sf)), 5)
 
 
 ZONES = [("north", -16.0, -10.0, 172.0, 180.0), ("west", -25.0, -10.0, 172.0, 176.0), ("far east", -25.0, -10.0, -180.0, -172.0), ("south", -25.0, -21.0, 172.0, 180.0)]

@@ -99,6 +99,15 @@ CATALOG_SQL = """catalog AS (
   FROM orders)"""
 
 
+def after_last(spark: SparkSession, sf: str):
+    """The day after the last event of the catalog: the instant of all live views."""
+    return catalog(spark, sf).agg(F.date_add(F.max("day"), 1)).first()[0]
+
+
+#: The same instant in SQL.
+AFTER_LAST_SQL = "(SELECT CAST(max(day) + 1 AS TIMESTAMP) FROM catalog)"
+
+
 def readings(spark: SparkSession, sf: str) -> DataFrame:
     """Sensor readings: station, segment, ts, day, value, volume, flag, side."""
     li = table(spark, sf, "lineitem")
