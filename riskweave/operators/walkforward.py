@@ -88,8 +88,10 @@ def run(df: DataFrame, date: str, y: str, rate: str, activity: str, channels: Se
     for f in folds:
         own = [Rule(((r["channel_a"], r["term_a"]),) + (((r["channel_b"], r["term_b"]),) if r["arity"] == 2 else ()), lift=r["lift_fit"]) for r in found if r["fold"] == f.origin]
         score = bipolar(own, {c: influence.get((f.origin, c), 0.3) for c in channels}, sets)["score"]
-        scored = df.filter(d < f.end).withColumn("score", score)
-        scores = bt.ladder(scored.filter(d < f.start), scored.filter(d >= f.start), y, rate, activity, "score", **ladder)
+        # names of the caller do not meet those of the models
+        scored = df.filter(d < f.end).select(F.col(date).alias("__date"), F.col(y).alias("__y"), F.col(rate).alias("__rate"), F.col(activity).alias("__activity"), score.alias("__score"))
+        before = F.unix_date("__date") < f.start
+        scores = bt.ladder(scored.filter(before), scored.filter(~before), "__y", "__rate", "__activity", "__score", **ladder)
         tables.append(cut_lineage(scores.withColumn("fold", F.lit(f.origin)).withColumn("n_rules", F.lit(len(own)))))
     return rules, reduce(DataFrame.unionByName, tables)
 
