@@ -33,22 +33,23 @@ def own_text(lines: Column) -> Column:
 def links(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, reply_to, quoted_lines): the message that each quoting message answers.
 
-    Every quoted line of level one is looked up by its conversation and the hash of its normalised
-    words: the message it comes from is the last one before the quoting turn with such a line of its own.
-    Most quoted lines win, then the later turn. A line that many messages share is walked once in order
+    Every quoted line is looked up by its conversation and the hash of its normalised words: the message
+    it comes from is the last one before the quoting turn with such a line of its own. Lines of level one
+    decide; deeper ones serve where those above them find nothing. Within a level most quoted lines win, then the
+    later turn. A line that many messages share is walked once in order
     of turn, never paired; its owners are merged to one row for each turn before.
     """
     lines = parse(messages).select("conv_id", "turn", F.explode("lines").alias("l")).select(
-        "conv_id", "turn", F.col("l.level").alias("level"), normalised(F.col("l.words")).alias("words")).filter("words <> '' AND level < 2")
+        "conv_id", "turn", F.col("l.level").alias("level"), normalised(F.col("l.words")).alias("words")).filter("words <> ''")
     seen = lines.groupBy("conv_id", F.md5("words").alias("h"), "turn").agg(
-        F.max((F.col("level") == 0).cast("int")).alias("own"), F.max(F.col("level")).alias("quotes"))
+        F.max((F.col("level") == 0).cast("int")).alias("own"), F.min(F.when(F.col("level") > 0, F.col("level"))).alias("quotes"))
     quoted = cut_lineage(seen)
-    needed = quoted.filter("quotes = 1").select("conv_id", "h").distinct()
+    needed = quoted.filter("quotes IS NOT NULL").select("conv_id", "h").distinct()
     line = Window.partitionBy("conv_id", "h").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     found = (quoted.join(needed, ["conv_id", "h"], "left_semi").withColumn("origin", F.last(F.when(F.col("own") == 1, F.col("turn")), True).over(line))
-             .filter("quotes = 1 AND origin IS NOT NULL"))
-    votes = found.groupBy("conv_id", "turn", "origin").agg(F.count("*").alias("n"))
-    best = votes.groupBy("conv_id", "turn").agg(F.max(F.struct("n", "origin")).alias("b"))
+             .filter("quotes IS NOT NULL AND origin IS NOT NULL"))
+    votes = found.groupBy("conv_id", "turn", "quotes", "origin").agg(F.count("*").alias("n"))
+    best = votes.groupBy("conv_id", "turn").agg(F.max(F.struct(-F.col("quotes"), "n", "origin")).alias("b"))
     return best.select("conv_id", "turn", F.col("b.origin").alias("reply_to"), F.col("b.n").alias("quoted_lines"))
 
 
@@ -107,13 +108,13 @@ own AS (
   FROM l GROUP BY ALL),
 n AS (
   SELECT conv_id, turn, level, trim(regexp_replace(lower(words), '\s+', ' ', 'g')) AS w FROM l
-  WHERE level < 2 AND conv_id IS NOT NULL AND turn IS NOT NULL),
+  WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 v AS (
-  SELECT q.conv_id, q.turn, q.w, max(o.turn) AS origin FROM (SELECT DISTINCT conv_id, turn, w FROM n WHERE level = 1 AND w <> '') q
+  SELECT q.conv_id, q.turn, q.level, q.w, max(o.turn) AS origin FROM (SELECT conv_id, turn, w, min(level) AS level FROM n WHERE level > 0 AND w <> '' GROUP BY conv_id, turn, w) q
   JOIN (SELECT DISTINCT conv_id, turn, w FROM n WHERE level = 0) o ON o.conv_id = q.conv_id AND o.w = q.w AND o.turn < q.turn
   GROUP BY ALL),
-votes AS (SELECT conv_id, turn, origin, count(*) AS k FROM v GROUP BY ALL),
-reply AS (SELECT conv_id, turn, arg_max(origin, (k, origin)) AS reply_to FROM votes GROUP BY ALL),
+votes AS (SELECT conv_id, turn, level, origin, count(*) AS k FROM v GROUP BY ALL),
+reply AS (SELECT conv_id, turn, arg_max(origin, (-level, k, origin)) AS reply_to FROM votes GROUP BY ALL),
 chain AS (
   SELECT conv_id, turn, reply_to AS root, 1 AS depth FROM reply
   UNION ALL SELECT c.conv_id, c.turn, r.reply_to, c.depth + 1 FROM chain c JOIN reply r ON r.conv_id = c.conv_id AND r.turn = c.root),
