@@ -33,7 +33,9 @@ SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine i
 #: Characters that stand in for letters.
 LOOKALIKES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 TOKEN = re.compile(r"[^\W_]+")
-MASKED = re.compile(r"\S*[^\W\d_][0-9@$!*._\-]+[^\W\d_]\S*|\b(?:[^\W\d_][ .\-_*]){3,}[^\W\d_]\b")
+HIDING = re.compile(r"[^\W\d_][0-9@$!*._\-]+[^\W\d_]")
+SPACED = re.compile(r"\b(?:[^\W\d_][ .\-_*]){3,}[^\W\d_]\b")
+UNBROKEN = re.compile(r"\S*")
 RUN = re.compile(r"(.)\1{2,}")
 
 
@@ -60,6 +62,27 @@ def lexicon(labelled: DataFrame, max_terms: int = MAX_TERMS) -> dict[str, float]
     return {r["term"]: float(r["odds"]) for r in rows}
 
 
+def masked_words(text: str) -> Iterator[str]:
+    """Words with digits or marks between letters, and single letters set apart.
+
+    One pass whatever the length of a word: a mark is sought first, and its word is taken from the white space before
+    to the white space behind, each character once.
+    """
+    at = 0
+    hit = HIDING.search(text)
+    while hit:
+        before = text[at:hit.start()]
+        inside = len(before.rsplit(None, 1)[-1]) if before and not before[-1].isspace() else 0
+        start, end = hit.start() - inside, UNBROKEN.match(text, hit.end()).end()
+        for m in SPACED.finditer(text, at, start):
+            yield m[0]
+        yield text[start:end]
+        at = end
+        hit = HIDING.search(text, end)
+    for m in SPACED.finditer(text, at):
+        yield m[0]
+
+
 class Scorer:
     """Dense features of a text under a lexicon."""
 
@@ -85,8 +108,8 @@ class Scorer:
         total = sum(w for _, w in found)
         near = sum(1 for i, _ in found if not SECOND_PERSON.isdisjoint(words[max(0, i - NEAR):i + NEAR + 1]))
         hidden = 0.0
-        for m in MASKED.finditer(text):
-            plain = re.sub(r"[^a-z]", "", RUN.sub(r"\1", m[0].lower().translate(LOOKALIKES)))
+        for word in masked_words(text):
+            plain = re.sub(r"[^a-z]", "", RUN.sub(r"\1", word.lower().translate(LOOKALIKES)))
             hidden += weight(plain) > 0 if plain else 0
         bytes_ = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
         size = max(int(bytes_.sum()), 1)
@@ -186,6 +209,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """*docs* without the documents that the classifier rejects."""
+    """*docs* without the documents that the classifier rejects; columns of any name stay as they are."""
     model = fit(docs, labels)
-    return model.score(docs).filter("_score < 0.5").select(*docs.columns)
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    return model.score(held).filter("_score < 0.5").select("row.*")
