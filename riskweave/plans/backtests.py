@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from riskweave.functions.fuzzy import ANOMALY_SETS
 from riskweave.operators import backtest as bt, cells as ce, intensity as it, walkforward as wf
 from riskweave.operators.evaluation import fisher_combine
-from riskweave.plans.evaluation import BIN
+from riskweave.plans.evaluation import BIN, sql_n_p, sql_t_p
 from riskweave.plans.global_cells import CHAN_SQL, PIT_SQL, cell_months
 from riskweave.plans.segment_state import CANDS, CAND_COLS, MASS, SERIES_SQL, rates_sql, series
 from riskweave.plans.standins import catalog, literal_table, rounded, sql_degree0, sql_round
@@ -121,20 +121,6 @@ def _(spark, sf):
     return rounded(wf.fold_materiality(walk(spark, sf)[1]))
 
 
-def sql_t_p(t, df):
-    """Two-sided p-value of Student's t for whole degrees of freedom: the finite series in the angle."""
-    angle = f"atan(abs({t}) / sqrt({df}))"
-    even = f"list_sum(list_transform(range(0, CAST({df} AS BIGINT) // 2), lambda j: exp(lgamma(j + 0.5e0) - lgamma(0.5e0) - lgamma(j + 1e0)) * pow(cos({angle}), 2 * j)))"
-    odd = f"coalesce(list_sum(list_transform(range(0, (CAST({df} AS BIGINT) - 1) // 2), lambda j: exp(lgamma(j + 1e0) - lgamma(j + 1.5e0)) * sqrt(pi()) / 2 * pow(cos({angle}), 2 * j))), 0e0)"
-    return f"1 - CASE WHEN {df} % 2 = 0 THEN sin({angle}) * {even} ELSE 2 / pi() * ({angle} + sin({angle}) * cos({angle}) * {odd}) END"
-
-
-def sql_n_p(n, mean):
-    """Two-sided Poisson p-value with inclusive tails."""
-    tail = lambda k: f"coalesce(list_sum(list_transform(range(0, CAST({k} AS BIGINT)), lambda i: exp(-{mean} + i * ln({mean}) - lgamma(i + 1e0)))), 0e0)"
-    return f"least(1e0, 2 * least(least({tail(f'{n} + 1')}, 1e0), 1 - least({tail(n)}, 1e0)))"
-
-
 ROLL_SQL = SERIES_SQL + f""", {rates_sql(5.69)}, gn AS (SELECT segment, day, coalesce(G, 1e0) AS G FROM serx), fo AS (SELECT segment, CAST(min(day) + INTERVAL 60 MONTH AS DATE) AS origin FROM gn GROUP BY 1),
  be AS (SELECT segment, day, origin, row_number() OVER (PARTITION BY segment ORDER BY time, k) - 1 AS i FROM catalog JOIN fo USING (segment) WHERE mag >= 5.69e0 AND day >= origin),
  ee AS (SELECT segment, i // 5 AS epoch, any_value(origin) AS origin, CAST(max(day) + 1 AS DATE) AS e FROM be GROUP BY 1, 2), ew AS (SELECT segment, epoch, coalesce(lag(e) OVER (PARTITION BY segment ORDER BY epoch), origin) AS s, e FROM ee),

@@ -182,9 +182,30 @@ def _(spark, sf):
     return rounded(p.select("segment", "n_events", "mean_log_ratio", "count_correction", "info_gain", F.round("t_stat", 5).alias("t_stat"), F.round("w_stat", 2).alias("w_stat"), "low_power"))
 
 
-@query("paired_event_p_values")
+def sql_t_p(t, df):
+    """Two-sided p-value of Student's t for whole degrees of freedom: the finite series in the angle."""
+    angle = f"atan(abs({t}) / sqrt({df}))"
+    even = f"list_sum(list_transform(range(0, CAST({df} AS BIGINT) // 2), lambda j: exp(lgamma(j + 0.5e0) - lgamma(0.5e0) - lgamma(j + 1e0)) * pow(cos({angle}), 2 * j)))"
+    odd = f"coalesce(list_sum(list_transform(range(0, (CAST({df} AS BIGINT) - 1) // 2), lambda j: exp(lgamma(j + 1e0) - lgamma(j + 1.5e0)) * sqrt(pi()) / 2 * pow(cos({angle}), 2 * j))), 0e0)"
+    return f"1 - CASE WHEN {df} % 2 = 0 THEN sin({angle}) * {even} ELSE 2 / pi() * ({angle} + sin({angle}) * cos({angle}) * {odd}) END"
+
+
+def sql_n_p(n, mean):
+    """Two-sided Poisson p-value with inclusive tails."""
+    def tail(k):
+        return f"coalesce(list_sum(list_transform(range(0, CAST({k} AS BIGINT)), lambda i: exp(-{mean} + i * ln({mean}) - lgamma(i + 1e0)))), 0e0)"
+    return f"least(1e0, 2 * least(least({tail(f'{n} + 1')}, 1e0), 1 - least({tail(n)}, 1e0)))"
+
+
+@query("paired_event_p_values", f"""WITH {PAIRED_SQL}, q AS (SELECT segment, n, (m - c) / (sd / sqrt(n)) AS t, ea, eb FROM cc) SELECT segment, {sql_round(sql_t_p('t', '(n - 1)'))} AS t_p, {sql_round(sql_n_p('n', 'ea'))} AS n_p_a, {sql_round(sql_n_p('n', 'eb'))} AS n_p_b FROM q""")
+def _(spark, sf):
+    return rounded(paired(spark, sf).select("segment", "t_p", "n_p_a", "n_p_b"))
+
+
+@query("paired_event_rank_p")
 def _(spark, sf):
-    return rounded(paired(spark, sf).select("segment", "t_p", "w_p", "n_p_a", "n_p_b"))
+    """P-value of the signed ranks: exact up to 50 untied differences, else normal."""
+    return rounded(paired(spark, sf).select("segment", "w_stat", "w_p"))
 
 
 N_SQL = """ne AS (SELECT user_id, count(*) AS k, sum(value) / 50e0 AS m FROM events GROUP BY user_id), lw AS (SELECT user_id, any_value(k) AS k, any_value(m) AS m, sum(exp(-m + i * ln(m) - lgamma(i + 1))) AS lower, sum(CASE WHEN i < k THEN exp(-m + i * ln(m) - lgamma(i + 1)) END) AS below
