@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +28,7 @@ ENDING = 3
 DICTIONARY = 50_000  # most frequent tokens that every task holds; the rest meet their counts in a join
 DIM, NOISE, STEPS, BATCH, RATE = 24, 24, 1_500, 4_096, 0.08
 FLOOR = 0.02  # share of the count model in every token's probability
+SLICE_BYTES = 2_000_000  # text that a task encodes in one go
 FLUSH = 400_000  # distinct words that a task holds before it passes their counts on
 
 
@@ -64,40 +67,56 @@ class Vocabulary:
         self.entry = {w: (i if i < OWN_UNITS else ending_code(w), c) for i, (w, c) in enumerate(rows)}
         self.entry.setdefault(END.encode(), (ending_code(END.encode()), 0))
 
-    def encode(self, text: str | None) -> tuple[bytes, int, int, float, list[dict]]:
+    def encode(self, text: str | None) -> tuple[bytes, int, int, float, Counter]:
         """Codes of the tokens, their number, those known and their log10 counts in the dictionary, and the other words."""
         words = _words(text)
         words.append(END.encode())
         get = self.entry.get
-        found = [get(w) for w in words]
         rare: Counter = Counter()
         codes, counts = np.empty(len(words), np.uint16), np.zeros(len(words), np.int64)
-        for i, (w, e) in enumerate(zip(words, found)):
+        for i, w in enumerate(words):
+            e = get(w)
             if e is None:
                 codes[i] = ending_code(w)
                 rare[w] += 1
             else:
                 codes[i], counts[i] = e
-        return codes.tobytes(), len(words), int((counts > 0).sum()), float(np.log10(counts + 1.0).sum()), [{"token": w, "tf": n} for w, n in rare.items()]
+        return codes.tobytes(), len(words), int((counts > 0).sum()), float(np.log10(counts + 1.0).sum()), rare
 
 
-ENCODED = T.StructType([T.StructField("codes", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()),
-                        T.StructField("logs", T.DoubleType()), T.StructField("rare", T.ArrayType(T.StructType([
-                            T.StructField("token", T.BinaryType()), T.StructField("tf", T.LongType())])))])
+RARE = pa.struct([("token", pa.binary()), ("tf", pa.int64())])
+ENCODED = "held_out boolean, codes binary, n_tokens long, known long, logs double, rare array<struct<token: binary, tf: long>>"
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Encoded rows of *docs*, written. A task holds SLICE_BYTES of text, or one longer text, and the words of
+    that slice that are not in the dictionary as flat arrays."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    @F.pandas_udf(ENCODED)
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for texts in batches:
-            yield pd.DataFrame([own.encode(t) for t in texts], columns=ENCODED.names)
+        for batch in batches:
+            texts = batch.column("text")
+            ends = np.cumsum(np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(float)))
+            at = 0
+            while at < batch.num_rows:
+                base = ends[at - 1] if at else 0.0
+                stop = max(at + 1, int(np.searchsorted(ends, base + SLICE_BYTES, side="right")))
+                rows = [own.encode(texts[i].as_py()) for i in range(at, stop)]
+                offsets = np.concatenate(([0], np.cumsum([len(r[4]) for r in rows]))).astype(np.int32)
+                flat = pa.StructArray.from_arrays([pa.array([w for r in rows for w in r[4]], pa.binary()), pa.array([n for r in rows for n in r[4].values()], pa.int64())],
+                                                  fields=list(RARE))
+                yield pa.record_batch({
+                    "doc_id": batch.column("doc_id").slice(at, stop - at), "held_out": batch.column("held_out").slice(at, stop - at),
+                    "codes": pa.array([r[0] for r in rows], pa.binary()), "n_tokens": pa.array([r[1] for r in rows], pa.int64()),
+                    "known": pa.array([r[2] for r in rows], pa.int64()), "logs": pa.array([r[3] for r in rows], pa.float64()),
+                    "rare": pa.ListArray.from_arrays(pa.array(offsets), flat)})
+                at = stop
 
     held_out = fold(F.col("doc_id"), FOLDS) == HELD_OUT
-    rows = docs.select("doc_id", held_out.alias("held_out"), encoded("text").alias("e"))
-    return cut_lineage(rows.select("doc_id", "held_out", "e.*").withColumn("row", F.monotonically_increasing_id()))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(encoded, f"doc_id {kind}, {ENCODED}")
+    return cut_lineage(rows.withColumn("row", F.monotonically_increasing_id()))
 
 
 def _summed(encoded: DataFrame, cells_of, size: int) -> DataFrame:
