@@ -9,7 +9,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, BooleanType, LongType
+from pyspark.sql import types as T
 
 from riskweave.llm.common import components
 from riskweave.session import cut_lineage
@@ -28,8 +28,8 @@ LIST_ROWS = 65_536
 #: At 0.8 a pair shares one of the 25 bands with probability 0.999998.
 COPY_SHINGLE, SIMILARITY, COPY_BANDS, COPY_ROWS = 5, 0.8, 25, 4
 ORDERS = np.random.default_rng(SEED).integers(0, 1 << 63, COPY_BANDS * COPY_ROWS, dtype=np.uint64)
-#: All members of lists up to this length meet; longer ones are first thinned by so many rounds of one drawn member.
-COPY_LIST, COPY_ROUNDS = 32, 4
+#: Rounds in which the members of a list meet one drawn member, before those of different groups meet.
+COPY_ROUNDS = 3
 
 
 def fingerprint(text: str | None) -> int:
@@ -53,7 +53,7 @@ def fingerprint(text: str | None) -> int:
     return int(bits.view(np.int64)[0])
 
 
-@F.pandas_udf(LongType())
+@F.pandas_udf(T.LongType())
 def fingerprints(texts: pd.Series) -> pd.Series:
     return pd.Series([fingerprint(t) for t in texts], dtype="int64")
 
@@ -181,83 +181,94 @@ def minima_keys(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(band.tobytes(), i) - (1 << 63) for i, band in enumerate(bands)]
 
 
-@F.pandas_udf(BinaryType())
-def _shingled(texts: pd.Series) -> pd.Series:
-    return pd.Series([shingle_hashes(t).tobytes() for t in texts], dtype="object")
+SKETCH = T.StructType([T.StructField("node", T.LongType()), T.StructField("size", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
 
-def _keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        hashes = [np.frombuffer(h, np.uint64) for h in frame["hashes"]]
-        yield pd.DataFrame({"node": frame["node"], "size": [len(h) for h in hashes], "keys": [minima_keys(h) for h in hashes]})
+@F.pandas_udf(SKETCH)
+def _sketch(texts: pd.Series) -> pd.DataFrame:
+    """Node (hash of the shingle set), number of shingles and keys of minima of each text."""
+    out = []
+    for t in texts:
+        hashes = shingle_hashes(t)
+        out.append((xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63), len(hashes), minima_keys(hashes)))
+    return pd.DataFrame(out, columns=["node", "size", "keys"])
 
 
-@F.pandas_udf(BooleanType())
+@F.pandas_udf(T.BooleanType())
 def _similar(x: pd.Series, y: pd.Series) -> pd.Series:
     out = []
-    for a, b in zip(x, y):
-        a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    for s, t in zip(x, y):
+        a, b = shingle_hashes(s), shingle_hashes(t)
         both = len(np.intersect1d(a, b, assume_unique=True))
         out.append(both >= SIMILARITY * (len(a) + len(b) - both) - 1e-9)
     return pd.Series(out, dtype="bool")
 
 
-def _copy_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The *pairs* (a, b) whose shingle sets have Jaccard SIMILARITY at least."""
-    sides = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+def _copy_links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The *pairs* (a, b) whose shingle sets have Jaccard SIMILARITY at least; texts are smaller than their shingles' hashes."""
+    sides = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
     return cut_lineage(sides.filter(_similar("x", "y")).select("a", "b"))
 
 
-def copy_roots(sets: DataFrame) -> DataFrame:
-    """(node, root) of the nodes of *sets* (node, hashes) that Jaccard similarity links to another.
+def copy_roots(lists: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, root) of the nodes that Jaccard similarity links to another.
 
-    Nodes that share a key of minima are candidates. In a list of up to COPY_LIST all meet. In a longer one
-    all meet a member drawn anew in each round, and then those meet that are not in one group yet.
+    *lists* (list, node, size, degree) has the nodes that share a key of minima, and how many neighbours each has in all
+    its lists; *texts* (node, text) has a text of each. All members of a list meet one of them in each round: first
+    the one of most neighbours, as an original stands nearer to its variants than they to one another, then
+    others by a hash. So a list of copies is joined by as many pairs as it has members. What is then in more than one group is paired between its groups, without the
+    pairs that were tried.
     """
-    keyed = sets.mapInPandas(_keyed, "node long, size long, keys array<long>")
-    dealt = keyed.select("node", "size", F.explode("keys").alias("list"))
-    lists = cut_lineage(dealt.withColumn("n", F.count("*").over(Window.partitionBy("list"))).filter("n > 1"))
-
     def fits(a, b):
         return F.least(a, b) >= F.greatest(a, b) * SIMILARITY - 1e-9
 
-    def paired(x):
-        y = x.select("list", F.col("node").alias("m"), F.col("size").alias("msize"), F.col("root").alias("mroot"))
-        met = x.join(y, "list").filter("node < m AND root <> mroot").filter(fits(F.col("size"), F.col("msize")))
-        return met.select(F.col("node").alias("a"), F.col("m").alias("b")).distinct()
-
-    found = _copy_links(paired(lists.filter(F.col("n") <= COPY_LIST).withColumn("root", F.col("node"))), sets)
-    roots, long = components(found), lists.filter(F.col("n") > COPY_LIST)
+    found = tried = roots = None
     for turn in range(COPY_ROUNDS + 1):
-        placed = long.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        placed = lists.withColumn("root", F.col("node")) if roots is None else lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         split = placed.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(
-            F.struct("node", "size", "root"), F.xxhash64("node", F.lit(turn))).alias("d")).filter("lo <> hi")
-        open_lists = cut_lineage(placed.join(split.select("list", "d"), "list"))
-        if open_lists.isEmpty():
-            break
+            F.struct("node", "size", "root"), F.struct(-F.col("degree"), "node") if turn == 0 else F.xxhash64("node", F.lit(turn))).alias("d")).filter("lo <> hi")
+        open_lists = placed.join(split.select("list", "d"), "list")
         if turn < COPY_ROUNDS:
             met = open_lists.filter("root <> d.root").filter(fits(F.col("size"), F.col("d.size"))).select(
-                F.least("node", "d.node").alias("a"), F.greatest("node", "d.node").alias("b")).distinct()
+                F.least("node", "d.node").alias("a"), F.greatest("node", "d.node").alias("b"))
         else:
-            met = paired(open_lists)
-        found = cut_lineage(found.union(_copy_links(met, sets)))
+            y = open_lists.select("list", F.col("node").alias("m"), F.col("size").alias("msize"), F.col("root").alias("mroot"))
+            met = open_lists.join(y, "list").filter("node < m AND root <> mroot").filter(fits(F.col("size"), F.col("msize"))).select(
+                F.col("node").alias("a"), F.col("m").alias("b"))
+        met = met.distinct() if tried is None else met.distinct().join(tried, ["a", "b"], "left_anti")
+        met = cut_lineage(met)
+        if met.isEmpty():
+            continue
+        links_ = _copy_links(met, texts)
+        found = links_ if found is None else cut_lineage(found.union(links_))
+        tried = met if tried is None else cut_lineage(tried.union(met))
         roots = components(found)
-    return roots
+    return roots if roots is not None else lists.select("node", F.col("node").alias("root")).limit(0)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """*docs* with one document of each group of near copies: that of the least doc_id, once if it is repeated.
 
     Near copies have five-word shingle sets of Jaccard SIMILARITY at least; groups are what such links
-    connect. Texts without words are one group. The contract of op1 has no part in this.
+    connect. Texts without words are one group. The contract of op1 has no part in this. Columns of any name
+    stay as they are. Only keys are written for every document; the texts of nodes that share a key are written once, and
+    their shingles are made again where a pair is verified.
     """
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), _shingled("text").alias("hashes"))
-    rows = cut_lineage(rows.withColumn("node", F.xxhash64("hashes")))
-    sets = cut_lineage(rows.groupBy("node").agg(F.first("hashes").alias("hashes")))
-    named = rows.select("doc_id", "text_key", "node").join(copy_roots(sets), "node", "left")
-    first = named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("k"))
-    keep = first.select(F.coalesce(F.col("k.doc_id").cast("string"), F.lit("")).alias("_id"), F.col("k.text_key").alias("_key"))
-    named = docs.select("*", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.xxhash64("text").alias("_key"))
-    copies = Window.partitionBy("_id", "_key").orderBy("_key")
-    kept = named.join(keep.distinct(), ["_id", "_key"], "left_semi").withColumn("_n", F.row_number().over(copies))
-    return kept.filter("_n = 1").select(*docs.columns)
+    key = F.xxhash64("text")
+    rows = cut_lineage(docs.select("doc_id", key.alias("text_key"), _sketch("text").alias("s")).select("doc_id", "text_key", "s.*"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
+    nodes = rows.groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys"), F.min(order).alias("k"))
+    dealt = nodes.select("node", "size", F.explode("keys").alias("list"))
+    shared = cut_lineage(dealt.join(dealt.groupBy("list").agg(F.count("*").alias("n")).filter("n > 1"), "list"))
+    lists = cut_lineage(shared.join(shared.groupBy("node").agg(F.sum(F.col("n") - 1).alias("degree")), "node").select("list", "node", "size", "degree"))
+    wanted = nodes.join(lists.select("node").distinct(), "node", "left_semi").select("node", F.col("k.text_key").alias("text_key"))
+    same = docs.select(key.alias("text_key"), F.coalesce("text", F.lit("")).alias("text")).join(wanted, "text_key")
+    texts = cut_lineage(same.groupBy("node").agg(F.max("text").alias("text")))
+    named = rows.select("doc_id", "text_key", "node").join(copy_roots(lists, texts), "node", "left")
+    first = named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(order).alias("k"))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    keep = first.select(F.coalesce(F.col("k.doc_id").cast("string"), F.lit("")).alias("id"), F.col("k.text_key").alias("key")).distinct()
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), name.alias("id"), key.alias("key"))
+    copies = Window.partitionBy("id", "key").orderBy("key")
+    kept = held.join(keep, ["id", "key"], "left_semi").withColumn("n", F.row_number().over(copies))
+    return kept.filter("n = 1").select("row.*")
