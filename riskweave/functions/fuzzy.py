@@ -94,17 +94,6 @@ def membership(x, params: Sequence[float]) -> Column:
     return F.when(v.isNotNull(), F.greatest(degree, F.lit(0.0)))
 
 
-def membership_from_array(x, knots) -> Column:
-    """Membership with the knots in an array column of length 3 or 4."""
-    v, k = col(x), col(knots)
-    n = F.size(k)
-    a, b = F.element_at(k, 1), F.element_at(k, 2)
-    c, d = F.element_at(k, n - 1), F.element_at(k, n)
-    left = F.when(b > a, (v - a) / (b - a + EPS)).otherwise(1.0)
-    right = F.when(d > c, (d - v) / (d - c + EPS)).otherwise(1.0)
-    return F.when(v.isNotNull(), F.greatest(F.least(left, F.lit(1.0), right), F.lit(0.0)))
-
-
 def degree0(x, params) -> Column:
     """Membership with missing input counted as 0."""
     if isinstance(x, str) and "." not in x:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,11 +98,3 @@ def principal_axis_deg(var_x, var_y, cov_xy) -> Column:
     dx, dy = F.cos(theta), F.sin(theta)
     flip = F.when(dy < 0, -1.0).otherwise(1.0)
     return F.pmod(F.degrees(F.atan2(dx * flip, dy * flip)), F.lit(360.0))
-
-
-def degrees_padding(max_km: float) -> float:
-    """Generous padding of a bounding box for points within *max_km* of it."""
-    return max_km / 111.0 * 1.5
-
-
-TWO_PI = 2 * math.pi

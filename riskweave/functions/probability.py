@@ -75,10 +75,6 @@ def delta_stress(mag, ev_lat, ev_lon, src_strike, src_regime, rcv_lat, rcv_lon,
     return STRESS_CALIBRATION * seismic_moment(mag) / F.pow(r_m, 3) * lobe * style
 
 
-def omori_kernel(weight, lag_days, c: float, p: float) -> Column:
-    return col(weight) / F.pow(col(lag_days) + c, F.lit(p))
-
-
 def phase_to_mm(phase) -> Column:
     """Interferometric phase to line-of-sight millimetres."""
     return col(phase) * (RADAR_WAVELENGTH_M * 1000.0 / (4 * math.pi))

@@ -81,12 +81,6 @@ def rolling(frame: DataFrame, keys: Sequence[str], day: str, rolls: Sequence[Rol
     return out.withColumns(results).drop(*cums)
 
 
-def rolling_exact(source: str, keys, day: str, width: int, kind: str = "mean", shift: int = 1):
-    """Column with a plain sliding frame, for narrow windows of doubles."""
-    w = Window.partitionBy(*keys).orderBy(day).rowsBetween(-(width - 1 + shift), -shift)
-    return {"mean": F.avg, "sum": F.sum, "count": F.count}[kind](col(source)).over(w)
-
-
 @dataclass(frozen=True)
 class Robust:
     """Robust anomaly of *source*; tau None returns z, otherwise tanh(z / tau)."""

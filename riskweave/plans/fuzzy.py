@@ -113,6 +113,16 @@ def _(spark, sf):
     return rounded(out.select("station", "day", *[f"{n}_{c}" for n in ("magnitude", "where") for c in ("value", "confidence", "activation")]))
 
 
+WHEN = [Rule((("a_foreshock", "very_high"),), "when", "imminent", 0.7), Rule((("a_foreshock", "high"), ("a_seis", "high")), "when", "imminent", 0.6), Rule((("a_seis", "high"),), "when", "near", 0.5),
+        Rule((("a_seis", "normal"),), "when", "far", 0.4), Rule((("a_seis", "low"),), "when", "far", 0.6)]
+
+
+@query("mamdani_timing", f"""WITH {FRAME_SQL}, {sql_mamdani('t', WHEN, WHEN_OUTPUT)} SELECT station, day, {', '.join(sql_round(f't.{c}') + f' AS when_{c}' for c in ('value', 'confidence', 'activation'))} FROM t""")
+def _(spark, sf):
+    out = sc.mamdani(frame(spark, sf), "when", WHEN, WHEN_OUTPUT, INFLUENCE)
+    return rounded(out.select("station", "day", *[f"when_{c}" for c in ("value", "confidence", "activation")]))
+
+
 TERM_RULES = [Rule((("a_seis", "low"),), out_term="t1"), Rule((("a_seis", "normal"),), out_term="t2"), Rule((("a_seis", "high"), ("a_gnss", "high")), out_term="t4"),
               Rule((("a_gnss", "very_high"),), out_term="t5"), Rule((("a_water", "high"),), out_term="t4"), Rule((("C_state", "very_high"),), out_term="t5")]
 TERM_SETS = {"t1": [0.0, 0.1, 0.2], "t2": [0.2, 0.3, 0.4], "t4": [0.6, 0.7, 0.8], "t5": [0.8, 0.9, 1.0, 1.0]}

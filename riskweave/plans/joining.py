@@ -9,8 +9,7 @@ from riskweave.functions.geo import month_distance
 from riskweave.operators import asof, episodes as ep, graph, timeseries as ts
 from riskweave.plans.series import DAILY_SQL, SENSOR_SQL, daily, sensor
 from riskweave.plans.standins import (
-    CATALOG_SQL, READINGS_SQL, SCORES_SQL, SEGMENTS_SQL, catalog, literal_table, readings, rounded, score_rows, segments,
-    sql_days, sql_round, values)
+    CATALOG_SQL, READINGS_SQL, catalog, literal_table, readings, rounded, sql_days, sql_round, values)
 from riskweave.registry import query
 from riskweave.session import table
 

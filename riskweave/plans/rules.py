@@ -100,3 +100,22 @@ def _(spark, sf):
 
     r = directional_rules(cases(spark, sf).filter("y = 1"), CH, "value", "centre", "edge", 30.0, 1.03, SETS)
     return rounded(r.select("channel", "term", "mean_target", "out_term", "lift", "weight"), 5)
+
+
+@query("magnitude_rules", f"WITH {TT_SQL} SELECT channel, term, {sql_round('support', 5)} AS support, {sql_round('m', 5)} AS mean_target, {NEAR} AS out_term FROM tt WHERE channel = 'A_state' AND support >= 20")
+def _(spark, sf):
+    from riskweave.operators.mining_outputs import magnitude_rules
+
+    return rounded(magnitude_rules(cases(spark, sf).filter("y = 1"), "A_state", "value", OUT_SETS, 20.0, SETS), 5)
+
+
+SOON_SQL = MU_SQL + ", sn AS (SELECT *, (value - 60) / 3e0 <= 10 AS soon FROM mu WHERE y = 1), sb AS (SELECT avg(soon::INTEGER) AS base FROM sn), st AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS channel, '{t}' AS term, sum({c}__{t}) AS support, sum({c}__{t} * soon::INTEGER) / sum({c}__{t}) AS rate FROM sn" for c, t in TERMS if t in ("high", "very_high")) + "), so AS (SELECT *, rate / (base + 1e-12) AS lift FROM st, sb WHERE support >= 20)"
+
+
+@query("timing_rules", f"WITH {SOON_SQL} SELECT channel, term, {sql_round('support', 5)} AS support, {sql_round('rate', 5)} AS rate, {sql_round('lift', 5)} AS lift, 'imminent' AS out_term, {sql_round('least(1e0, greatest(0e0, (rate - base) / (1 - base)))', 5)} AS weight FROM so WHERE lift >= 1.01")
+def _(spark, sf):
+    from riskweave.operators.mining_outputs import timing_rules
+
+    d = cases(spark, sf).filter("y = 1").withColumn("delta_days", (F.col("value") - 60) / 3.0)
+    return rounded(timing_rules(d, CH, "delta_days", 10.0, 20.0, 1.01, SETS), 5)

@@ -6,7 +6,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from riskweave.operators import episodes as ep, intensity as it, spatial as sp
 from riskweave.operators.consequents import SignOrder, fit_consequents
