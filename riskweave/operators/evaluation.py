@@ -41,14 +41,20 @@ def grouped_quantile(df: DataFrame, keys: Sequence[str], column: str, share: flo
 
 
 def forecast_metrics(df: DataFrame, keys: Sequence[str], p: str, y: str, p0: str | float) -> DataFrame:
-    """Brier score, mean information gain over the reference rate and lift of the top decile, per group."""
+    """Brier score, mean information gain over the reference rate and lift of the top decile, per group.
+
+    A reference of 0 or 1 leaves no room for a gain: the ratio to it is infinite, and where that meets an outcome the
+    reference is sure of, the mean gain is not a number, as in SQL.
+    """
     q = df.withColumn("__p", clip(p, EPS_P, 1 - EPS_P))
     top = q.join(grouped_quantile(q, keys, "__p", 0.9, "__t"), list(keys)) if keys else None
     if top is None:
         q = q.withColumn("__k", F.lit(0))
         return forecast_metrics(q.drop("__p"), ["__k"], p, y, p0).drop("__k")
     yy, pp, r = F.col(y), F.col("__p"), col(p0)
-    gain = yy * F.log(pp / r) + (1 - yy) * F.log((1 - pp) / (1 - r))
+    def ratio(a, b):
+        return F.when(b == 0, float("inf")).otherwise(F.try_divide(a, b))
+    gain = yy * F.log(ratio(pp, r)) + (1 - yy) * F.log(ratio(1 - pp, 1 - r))
     hit = F.avg(F.when(pp >= F.col("__t"), yy)) / F.nullif(F.avg(yy), F.lit(0.0))
     return top.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(F.pow(pp - yy, 2)).alias("brier"),
                                   F.avg(gain).alias("info_gain"), hit.alias("lift_top10"))

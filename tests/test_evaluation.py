@@ -151,3 +151,13 @@ def test_bilinear_clips_to_the_rim_and_skips_missing_corners(spark):
     points = spark.createDataFrame([(0, 0.0, 1.0), (1, -9.0, 9.0), (2, 0.5, 0.0), (3, 0.5, 1.0)], "point int, latitude double, longitude double")
     got = {r["point"]: r["vtec"] for r in bilinear(points, grid, 1.0, 2.0, 0.0, 0.0, 2, 2).collect()}
     assert got == pytest.approx({0: 2.0, 1: 3.0, 2: 3.0, 3: 3.0})
+
+
+def test_information_gain_over_a_sure_reference_does_not_fail(spark):
+    """A reference rate of 1 (or 0) divides by zero; the mean gain is then not a number, as in DuckDB."""
+    df = spark.createDataFrame([("m", 0.9, 1.0), ("m", 0.9, 0.0), ("m", 0.8, 1.0)], "model string, p double, y double")
+    for sure in (1.0, 0.0):
+        r = ev.forecast_metrics(df, ["model"], "p", "y", sure).first()
+        assert r["n"] == 3 and math.isnan(r["info_gain"]) and r["brier"] == pytest.approx(0.86 / 3)
+    r = ev.forecast_metrics(df, ["model"], "p", "y", 0.5).first()
+    assert r["info_gain"] == pytest.approx((math.log(1.8) + math.log(0.2) + math.log(1.6)) / 3)
