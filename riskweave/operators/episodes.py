@@ -4,50 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from riskweave.operators.asof import neighbours
 from riskweave.session import cut_lineage
 
-
-def _anchors(days: np.ndarray, gap: int) -> np.ndarray:
-    """Index of the opening day of each day's window: a window opens more than *gap* days after the last opening."""
-    out = np.empty(len(days), dtype=np.int64)
-    i = 0
-    while i < len(days):
-        end = np.searchsorted(days, days[i] + gap, side="right")
-        out[i:end] = i
-        i = end
-    return out
-
-
-def _with_anchor(daily: DataFrame, keys: Sequence[str], day: str, gap_days: int) -> DataFrame:
-    schema = T.StructType([*daily.schema.fields, T.StructField("__anchor", T.DateType())])
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(day, ignore_index=True)
-        number = pd.to_datetime(pdf[day]).to_numpy().astype("datetime64[D]").astype(np.int64)
-        pdf["__anchor"] = pdf[day].to_numpy()[_anchors(number, gap_days)]
-        return pdf
-
-    return daily.groupBy(*keys).applyInPandas(one, schema)
+#: Events that share a task where their wanted days are laid out.
+EVENTS_PER_TASK = 2000
 
 
 def decluster_first(events: DataFrame, keys: Sequence[str], day: str, order: Sequence[str], gap_days: int = 45) -> DataFrame:
     """Keep an event when it is more than *gap_days* after the last kept one.
 
-    Only the first event of an (entity, day) can be kept, so the ordered walk sees at most one row
+    Only the first event of an (entity, day) can be kept, so the ordered fold sees at most one row
     per calendar day of an entity.
     """
     rest = [c for c in events.columns if c not in (*keys, day)]
-    firsts = events.groupBy(*keys, day).agg(
+    firsts = events.filter(F.col(day).isNotNull()).groupBy(*keys, day).agg(
         F.min_by(F.struct(*rest), F.struct(*order)).alias("__first"))
-    kept = _with_anchor(firsts, keys, day, gap_days).filter(F.col("__anchor") == F.col(day))
-    return kept.select(*keys, day, *[F.col(f"__first.{c}").alias(c) for c in rest])
+    def step(kept, e):
+        return F.when(F.datediff(e["day"], F.element_at(kept, -1)["day"]) > gap_days, F.concat(kept, F.array(e))).otherwise(kept)
+    entity = firsts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(day).alias("day"), "__first")), lambda x, y: F.datediff(x["day"], y["day"])).alias("__all"))
+    kept = entity.select(*keys, F.explode(F.aggregate(F.slice("__all", 2, F.size("__all")), F.slice("__all", 1, 1), step)).alias("__e"))
+    return kept.select(*keys, F.col("__e.day").alias(day), *[F.col(f"__e.__first.{c}").alias(c) for c in rest])
 
 
 def window_openings(times: DataFrame, keys: Sequence[str], time: str, gap_days: int) -> DataFrame:
@@ -145,15 +125,47 @@ def control_days(features: DataFrame, events: DataFrame, keys: Sequence[str], da
     span = 365 * years
     wanted = (events.select(*keys, event_id, F.col(day).alias("event_day"))
               .withColumn(day, F.explode(F.sequence(F.date_sub("event_day", span), F.date_add("event_day", span)))))
+    wanted = wanted.filter(_same_season(day)).join(free, [*keys, day])
+    return _claimed(wanted, keys, day, event_id, shuffle, per_event)
+
+
+def _same_season(day: str) -> Column:
     gap = F.abs(F.month(day) - F.month("event_day"))
-    wanted = wanted.filter(F.least(gap, 12 - gap) <= 1)
-    claimed = (wanted.join(free, [*keys, day]).groupBy(*keys, day)
+    return F.least(gap, 12 - gap) <= 1
+
+
+def _claimed(wanted: DataFrame, keys: Sequence[str], day: str, event_id: str, shuffle: Column, per_event: int) -> DataFrame:
+    """Every day goes to the earliest event that wants it; events take their first days in *shuffle* order."""
+    claimed = (wanted.groupBy(*keys, day)
                .agg(F.min(F.struct("event_day", event_id)).alias("__e"))
                .select(*keys, day, "__e.event_day", f"__e.{event_id}"))
     pick = Window.partitionBy(*keys, event_id).orderBy(shuffle, day)
     return claimed.withColumn("rank", F.row_number().over(pick)).filter(F.col("rank") <= per_event)
 
 
+def control_days_of_spans(spans: DataFrame, events: DataFrame, keys: Sequence[str], day: str, event_id: str,
+                          shuffle: Column, per_event: int = 3, years: int = 3, exclusion_days: int = 180, edge_rows: int = 180) -> DataFrame:
+    """:func:`control_days` of dense daily series, given by their ends: *spans* has keys, first and last.
+
+    No day of a series is laid out. What the events leave free are the stretches between them; an event meets those of its
+    entity within *years*, and only days in both become rows. Stretches are longer than the exclusion, so they are few.
+    An event wants some hundred days, so a task gets EVENTS_PER_TASK events, however small their rows are.
+    """
+    order = Window.partitionBy(*keys).orderBy(day)
+    dates = events.filter(F.col(day).isNotNull()).select(*keys, day).distinct()
+    after = F.struct(F.date_add(day, exclusion_days + 1).alias("lo"), F.date_sub(F.lead(day).over(order), exclusion_days + 1).alias("hi"))
+    before = F.when(F.lag(day).over(order).isNull(), F.struct(F.lit(None).cast("date").alias("lo"), F.date_sub(day, exclusion_days + 1).alias("hi")))
+    gaps = dates.withColumn("__gaps", F.array(after, before)).select(*keys, F.explode("__gaps").alias("g")).filter("g IS NOT NULL")
+    free = gaps.join(spans, list(keys)).select(
+        *keys, F.greatest("g.lo", F.date_add("first", edge_rows)).alias("__lo"), F.least("g.hi", F.date_sub("last", 1)).alias("__hi")).filter("__lo <= __hi")
+    span = 365 * years
+    wanted = events.select(*keys, event_id, F.col(day).alias("event_day")).join(free, list(keys)).withColumns({
+        "__lo": F.greatest("__lo", F.date_sub("event_day", span)), "__hi": F.least("__hi", F.date_add("event_day", span))}).filter("__lo <= __hi")
+    wanted = wanted.repartition(1 + events.count() // EVENTS_PER_TASK, *keys)
+    wanted = wanted.withColumn(day, F.explode(F.sequence("__lo", "__hi"))).filter(_same_season(day))
+    return _claimed(wanted, keys, day, event_id, shuffle, per_event)
+
+
 def block_id(frame: DataFrame, keys: Sequence[str], day: str, days: int = 90, out: str = "block") -> DataFrame:
     """Entity plus the number of the *days*-long block since its first day."""
     first = F.min(day).over(Window.partitionBy(*keys))

@@ -11,7 +11,7 @@ from riskweave.plans.series import DAILY_SQL, SENSOR_SQL, daily, sensor
 from riskweave.plans.standins import (
     CATALOG_SQL, READINGS_SQL, catalog, literal_table, readings, rounded, sql_days, sql_round, values)
 from riskweave.registry import query
-from riskweave.session import table
+from riskweave.session import cut_lineage, table
 
 FEAT_SQL = READINGS_SQL + ", feat AS (SELECT segment, day, avg(value) AS value FROM readings GROUP BY 1, 2)"
 
@@ -163,10 +163,10 @@ def controls(spark, sf):
     """Control days of every independent event of a site, kept away from all independent events of the site."""
     events = site_events(spark, sf)
     big = ep.decluster_first(events.filter(BIG).select("site", "day", "id", "k", "time"), ["site"], "day", ["time", "k"], 45).select("site", "day", "id")
-    as_of = events.agg(F.max("day")).first()[0]
-    days = ts.date_spine(ts.daily_counts(events, ["site"]), ["site"], end=as_of).select("site", "day")
+    as_of = catalog(spark, sf).agg(F.max("day")).first()[0]
+    spans = events.groupBy("site").agg(F.min("day").alias("first"), F.lit(as_of).cast("date").alias("last"))
     shuffle = F.unix_date("day").cast("bigint") * 7919 % 10007
-    return ep.control_days(days, big, ["site"], "day", "id", shuffle)
+    return ep.control_days_of_spans(spans, cut_lineage(big), ["site"], "day", "id", shuffle)
 
 
 @query("case_control_match", f"WITH RECURSIVE {CONTROL_SQL} SELECT site, day, event_day, id, CAST(rank AS INTEGER) AS rank FROM pk WHERE rank <= 3")

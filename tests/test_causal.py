@@ -144,3 +144,23 @@ def test_declustering_is_anchored_at_the_kept_event(spark):
     big = ev.withColumn("t", F.col("day").cast("timestamp_ntz"))
     largest = [r["id"] for r in ep.decluster_largest(big, ["seg"], "t", "mag", ["id"], 30).orderBy("t").collect()]
     assert largest == [1, 2, 4, 5]
+
+
+def test_control_days_of_spans_equal_those_of_the_laid_out_days(spark):
+    """The stretches between events give the control days without a row for each day of each entity."""
+    import random
+
+    from riskweave.operators import timeseries as ts
+
+    rng = random.Random(5)
+    rows = sorted({(s, DAY0 + dt.timedelta(days=rng.randrange(2400))) for s in range(12) for _ in range(rng.choice([1, 2, 5]))})
+    ev = spark.createDataFrame([(s, d, f"{i:03d}") for i, (s, d) in enumerate(rows)], "seg int, day date, id string")
+    quiet = spark.createDataFrame([(s, DAY0 + dt.timedelta(days=s * 11)) for s in range(14)], "seg int, day date")
+    end = DAY0 + dt.timedelta(days=2600)
+    spans = quiet.select("seg", F.col("day").alias("first"), F.lit(end).alias("last"))
+    days = ts.date_spine(quiet.withColumn("n", F.lit(1)), ["seg"], end=end).select("seg", "day")
+    shuffle = F.unix_date("day").cast("bigint") * 7919 % 10007
+    cols = ["seg", "day", "event_day", "id", "rank"]
+    want = sorted(map(tuple, ep.control_days(days, ev, ["seg"], "day", "id", shuffle).select(*cols).collect()))
+    got = ep.control_days_of_spans(spans, ev, ["seg"], "day", "id", shuffle).select(*cols)
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 20
