@@ -46,7 +46,8 @@ def cell_months(events: DataFrame, first: str, last: str, origin: str, target_ma
     An event touches at most 26 snapshots: it is counted in those up to 365 days after it and labels
     those up to 365 days before it. Contributions are summed per own cell, then the (much fewer) cell
     rows are replicated to the halo and summed again; running totals over the snapshots of a cell give
-    the all-time features. No sorted event list per cell is ever built.
+    the all-time features. No sorted event list per cell is ever built. Of next events at one time that of the least
+    magnitude counts.
     """
     k0, k1 = (int(d[:4]) * 12 + int(d[5:7]) - 1 for d in (first, last))
     e = own_cells(events).select("la", "lo", "time", "mag", _month(F.col("time")).alias("m"))

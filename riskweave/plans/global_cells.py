@@ -30,7 +30,11 @@ def cell_months(spark, sf):
     return ce.cell_months(catalog(spark, sf), FIRST, LAST, ORIGIN, TARGET)
 
 
-@query("point_in_time_features", f"""WITH {PIT_SQL} SELECT la, lo, s AS date, {sql_round('rate_bg')} AS rate_bg, n7, n30, n90, n365, {sql_round('t_last', 8)} AS t_last, {sql_round('mag_max')} AS mag_max, {sql_round('omori')} AS omori, y,
+#: Of next events at one time that of the least magnitude counts.
+NEXT_SQL = PIT_SQL.replace("min_by(mag, time)", "min_by(mag, (time, mag))")
+
+
+@query("point_in_time_features", f"""WITH {NEXT_SQL} SELECT la, lo, s AS date, {sql_round('rate_bg')} AS rate_bg, n7, n30, n90, n365, {sql_round('t_last', 8)} AS t_last, {sql_round('mag_max')} AS mag_max, {sql_round('omori')} AS omori, y,
  {sql_round('mag_next')} AS mag_next, {sql_round('days_next', 8)} AS days_next FROM cm""")
 def _(spark, sf):
     c = cell_months(spark, sf)

@@ -164,3 +164,23 @@ def test_control_days_of_spans_equal_those_of_the_laid_out_days(spark):
     want = sorted(map(tuple, ep.control_days(days, ev, ["seg"], "day", "id", shuffle).select(*cols).collect()))
     got = ep.control_days_of_spans(spans, ev, ["seg"], "day", "id", shuffle).select(*cols)
     assert sorted(map(tuple, got.collect())) == want and len(want) > 20
+
+
+def test_next_event_of_a_cell_month_is_settled_where_times_are_equal(spark, tmp_path):
+    """Events of one time and place: query and SQL both take the least magnitude, whatever the order of the rows."""
+    from riskweave.registry import load_all
+    from tests.oracle import compare, connect
+
+    apart = 86400 * 1499 * 1493  # keys this far apart have the same second, latitude and longitude
+    day = dt.datetime(1998, 3, 9)
+    rows = [(k + i * apart, 1, 430000.0 + 1000.0 * ((4 + i) * 7 % 5), day) for i in range(5) for k in range(1, 400)]
+    for name in ("region nation customer supplier part lineitem events documents embeddings pages benchmark labels conversations").split():
+        spark.range(1).coalesce(1).write.parquet(f"{tmp_path}/src/{name}")
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp_ntz")
+    orders.coalesce(1).write.parquet(f"{tmp_path}/src/orders")
+    for folder in (tmp_path / "src").iterdir():
+        next(folder.glob("*.parquet")).rename(tmp_path / f"{folder.name}.parquet")
+    q = load_all()["point_in_time_features"]
+    assert "min_by(mag, time)" not in q.sql  # leaves the tie to the order in which DuckDB meets the rows
+    status, n, _, _, detail = compare(spark, connect(str(tmp_path)), q, str(tmp_path))
+    assert status == "OK" and n > 100, detail
