@@ -12,6 +12,7 @@ from riskweave.functions.fuzzy import centroid
 from riskweave.functions.probability import logistic_score
 from riskweave.operators.calibration import bin_of, edge_sets
 from riskweave.operators.evaluation import rank_scores
+from riskweave.session import cut_lineage
 
 
 def mutual_information(df: DataFrame, features: Sequence[str], label: str, bins: int = 8) -> DataFrame:
@@ -178,7 +179,8 @@ def leave_group_out(df: DataFrame, group: str, features: Sequence[str], y: str,
         fitted = fit_bounded_logistic(df.filter(F.col(group) != g), features, y, weight)
         part = predict(df.filter(F.col(group) == g), features, fitted)
         scored = part if scored is None else scored.unionByName(part)
-    return rank_scores(scored, [group], "p", y, weight)
+    # scored once: the ranks read the scores several times
+    return rank_scores(cut_lineage(scored.select(group, y, "p", *([weight] if weight else []))), [group], "p", y, weight)
 
 
 def profile_clusters(df: DataFrame, vector: str, k: int, seed: int = 0) -> DataFrame:

@@ -118,8 +118,7 @@ def _(spark, sf):
 
 @query("leave_group_out")
 def _(spark, sf):
-    e = table(spark, sf, "events").select("event_id", F.col("event_type").alias("region"))
-    d = cases(spark, sf).join(e, "event_id")
+    d = cases(spark, sf, F.col("event_type").alias("region"))
     return rounded(ln.leave_group_out(d, "region", CH, "y"))
 
 
@@ -127,8 +126,7 @@ def _(spark, sf):
 def _(spark, sf):
     from riskweave.operators import asof
 
-    e = table(spark, sf, "events").select("event_id", F.col("event_type").alias("segment"), "ts")
-    d = cases(spark, sf).join(e, "event_id")
+    d = cases(spark, sf, F.col("event_type").alias("segment"), F.col("ts"))
     fitted = ln.fit_bounded_logistic(d.filter("epoch = 'fit'"), CH, "y")
     d = ln.predict(d, CH, fitted)
     pos = d.filter("epoch = 'val' AND y = 1").select("event_id", "segment", "p", F.timestamp_add("DAY", F.lit(-7), F.col("ts")).alias("target"))

@@ -18,14 +18,15 @@ CASE_SQL = """cs AS (SELECT event_id, CASE WHEN ts < TIMESTAMP '2024-01-17' THEN
   tanh((event_id * 11 % 83 - 41) / 40e0 - (value - 50) / 120e0) AS A_state FROM events)"""
 
 
-def cases(spark, sf):
+def cases(spark, sf, *columns):
+    """The cases; *columns* are further ones of the events, taken along in the same scan."""
     e = table(spark, sf, "events")
     k, v = F.col("event_id"), F.col("value")
     def wave(mult, mod, mid, scale):
         return (k * mult % mod - mid) / F.lit(scale)
     return e.select("event_id", F.when(F.col("ts") < F.lit("2024-01-17").cast("timestamp_ntz"), "fit").otherwise("val").alias("epoch"), (v >= 60).cast("int").alias("y"), "value",
                     F.tanh(wave(37, 101, 50, 40.0) + (v - 50) / 80.0).alias("a_seis"), F.tanh(wave(53, 97, 48, 45.0) + (v - 50) / 160.0).alias("a_swarm"),
-                    F.tanh(wave(71, 89, 44, 40.0)).alias("a_fore"), F.tanh(wave(11, 83, 41, 40.0) - (v - 50) / 120.0).alias("A_state"))
+                    F.tanh(wave(71, 89, 44, 40.0)).alias("a_fore"), F.tanh(wave(11, 83, 41, 40.0) - (v - 50) / 120.0).alias("A_state"), *columns)
 
 
 SETS = {c: ANOMALY_SETS for c in CH}

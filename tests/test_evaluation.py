@@ -161,3 +161,15 @@ def test_information_gain_over_a_sure_reference_does_not_fail(spark):
         assert r["n"] == 3 and math.isnan(r["info_gain"]) and r["brier"] == pytest.approx(0.86 / 3)
     r = ev.forecast_metrics(df, ["model"], "p", "y", 0.5).first()
     assert r["info_gain"] == pytest.approx((math.log(1.8) + math.log(0.2) + math.log(1.6)) / 3)
+
+
+def test_leave_group_out_reads_the_events_without_a_join(spark, monkeypatch):
+    """The groups come with the features from one scan: a join would be made again for every pass of every fit."""
+    from riskweave.plans import learning as plans
+    from riskweave.registry import load_all
+
+    seen = []
+    monkeypatch.setattr(plans.ln, "leave_group_out", lambda d, *_: seen.append(d) or d)
+    load_all()["leave_group_out"].run(spark, "/root/testdata/sf0.001")
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan and "region" in seen[0].columns
