@@ -45,6 +45,11 @@ def fingerprint(text: str | None) -> int:
         starts = np.concatenate(([0], ends[:-1] + 1))
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[s:e], SEED) for s, e in zip(starts[: 1 - SHINGLE].tolist(), ends[SHINGLE - 1:].tolist())]
+    return majority(hashes)
+
+
+def majority(hashes: list[int] | np.ndarray) -> int:
+    """The 64 bits that are set in over half of the hashes, as a signed number."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65_536):
         part = np.array(hashes[at:at + 65_536], np.uint64)
@@ -181,17 +186,17 @@ def minima_keys(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(band.tobytes(), i) - (1 << 63) for i, band in enumerate(bands)]
 
 
-SKETCH = T.StructType([T.StructField("node", T.LongType()), T.StructField("size", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+SKETCH = T.StructType([T.StructField("node", T.LongType()), T.StructField("size", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
 
 @F.pandas_udf(SKETCH)
 def _sketch(texts: pd.Series) -> pd.DataFrame:
-    """Node (hash of the shingle set), number of shingles and keys of minima of each text."""
+    """Node (hash of the shingle set), number of shingles, SimHash and keys of minima of each text."""
     out = []
     for t in texts:
         hashes = shingle_hashes(t)
-        out.append((xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63), len(hashes), minima_keys(hashes)))
-    return pd.DataFrame(out, columns=["node", "size", "keys"])
+        out.append((xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63), len(hashes), majority(hashes), minima_keys(hashes)))
+    return pd.DataFrame(out, columns=["node", "size", "fp", "keys"])
 
 
 @F.pandas_udf(T.BooleanType())
@@ -210,9 +215,20 @@ def _copy_links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return cut_lineage(sides.filter(_similar("x", "y")).select("a", "b"))
 
 
-def copy_roots(lists: DataFrame, texts: DataFrame) -> DataFrame:
+def fingerprint_pairs(marks: DataFrame) -> DataFrame:
+    """(a, b): pairs of nodes that connect all nodes of *marks* (node, fp) whose fingerprints differ in three bits or fewer."""
+    marks = marks.select("node", "fp")
+    least = cut_lineage(marks.groupBy("fp").agg(F.min("node").alias("m")))
+    same = marks.join(least, "fp").filter("node <> m").select("node", "m")
+    close = (links(least.select("fp")).join(least.toDF("a", "node"), "a").join(least.toDF("b", "m"), "b").select("node", "m"))
+    return same.union(close).select(F.least("node", "m").alias("a"), F.greatest("node", "m").alias("b")).distinct()
+
+
+def copy_roots(lists: DataFrame, texts: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """(node, root) of the nodes that Jaccard similarity links to another.
 
+    *pairs* (a, b) are tried before any list: what they join no longer meets in lists.
+
     *lists* (list, node, size, degree) has the nodes that share a key of minima, and how many neighbours each has in all
     its lists; *texts* (node, text) has a text of each. All members of a list meet one of them in each round: first
     the one of most neighbours, as an original stands nearer to its variants than they to one another, then
@@ -223,6 +239,9 @@ def copy_roots(lists: DataFrame, texts: DataFrame) -> DataFrame:
         return F.least(a, b) >= F.greatest(a, b) * SIMILARITY - 1e-9
 
     found = tried = roots = None
+    if pairs is not None and not pairs.isEmpty():
+        found, tried = _copy_links(pairs, texts), pairs
+        roots = components(found)
     for turn in range(COPY_ROUNDS + 1):
         placed = lists.withColumn("root", F.col("node")) if roots is None else lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         split = placed.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(
@@ -250,7 +269,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """*docs* with one document of each group of near copies: that of the least doc_id, once if it is repeated.
 
     Near copies have five-word shingle sets of Jaccard SIMILARITY at least; groups are what such links
-    connect. Texts without words are one group. The contract of op1 has no part in this. Columns of any name
+    connect. SimHashes of these sets within three bits give the first pairs; as similarity 0.8 can differ in more
+    bits, sets that share a band of minima meet after them. Each pair is verified by its exact similarity. Texts without words are one group. The contract of op1 has no part in this. Columns of any name
     stay as they are. Only keys are written for every document; the texts of nodes that share a key are written once, and
     their shingles are made again where a pair is verified.
     """
@@ -261,10 +281,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     dealt = nodes.select("node", "size", F.explode("keys").alias("list"))
     shared = cut_lineage(dealt.join(dealt.groupBy("list").agg(F.count("*").alias("n")).filter("n > 1"), "list"))
     lists = cut_lineage(shared.join(shared.groupBy("node").agg(F.sum(F.col("n") - 1).alias("degree")), "node").select("list", "node", "size", "degree"))
-    wanted = nodes.join(lists.select("node").distinct(), "node", "left_semi").select("node", F.col("k.text_key").alias("text_key"))
+    pairs = cut_lineage(fingerprint_pairs(cut_lineage(rows.select("node", "fp").distinct())))
+    met = lists.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    wanted = nodes.join(met, "node", "left_semi").select("node", F.col("k.text_key").alias("text_key"))
     same = docs.select(key.alias("text_key"), F.coalesce("text", F.lit("")).alias("text")).join(wanted, "text_key")
     texts = cut_lineage(same.groupBy("node").agg(F.max("text").alias("text")))
-    named = rows.select("doc_id", "text_key", "node").join(copy_roots(lists, texts), "node", "left")
+    named = rows.select("doc_id", "text_key", "node").join(copy_roots(lists, texts, pairs), "node", "left")
     first = named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(order).alias("k"))
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     keep = first.select(F.coalesce(F.col("k.doc_id").cast("string"), F.lit("")).alias("id"), F.col("k.text_key").alias("key")).distinct()

@@ -356,3 +356,15 @@ def test_scoring(spark, corpus, empty, monkeypatch):
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got) == want
     assert all(r.score <= 1e-6 for r in got)
     assert scoring.score_documents(empty).count() == 0
+
+
+def test_near_copies_of_the_pipeline_start_from_simhashes(spark, monkeypatch):
+    """Fingerprints within three bits, equal ones among them, give the first pairs that keep_one verifies."""
+    marks = spark.createDataFrame([(1, 0), (2, 0), (3, 0b111), (4, 0b1111 << 20), (5, -1), (6, -2)], "node long, fp long")
+    roots = {r.node: r.root for r in common.components(simhash.fingerprint_pairs(marks)).collect()}
+    assert roots == {1: 1, 2: 1, 3: 1, 5: 5, 6: 5}
+    seen, roots_of = [], simhash.copy_roots
+    monkeypatch.setattr(simhash, "copy_roots", lambda lists, texts, pairs: seen.append(pairs.count()) or roots_of(lists, texts, pairs))
+    words = " ".join(f"w{i}" for i in range(400))
+    docs = spark.createDataFrame([(1, words), (2, words + " end"), (3, "other words stand here " * 9)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [1, 3] and seen == [1]
