@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from riskweave.session import cut_lineage
 
-BLOCK = 8_192  # vectors that are indexed together
-QUERY_BLOCK = 2_048
+BLOCK = 16_384  # vectors that are indexed together
+QUERY_BLOCK = 4_096
 LEAST_PROJECTIONS = 64
 COLLISIONS = 0.75  # share of the projections in whose window a vector must lie
-START, GROWTH = 0.65, 1.08  # half width of the first windows in units of the mean spread, and its growth
+START, LEADERS = 0.3, 32  # half width of the first windows in units of the mean spread; so many times k that collide most in them are verified
 #: Windows stop when their half width is so many spreads of a vector as far as the k-th best found. A projection of
 #: such a vector then lies in its window with probability 0.79, above the share of COLLISIONS, and one that is nearer more often.
 SURE = 1.25
@@ -44,39 +44,46 @@ class CollisionIndex:
     def nearest(self, query: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and inner products of the *k* nearest of the verified vectors, ties to the smaller id.
 
-        Windows around the query's projections grow step by step, and only what is new in a window is counted; no
-        vector is hashed again. A vector that collides often enough is verified once. A vector at distance D
-        differs by D / sqrt(d + 1) in a projection on average, so the k-th best distance found says how
-        far the windows must reach before no nearer one is likely to be outside; they stop there, or with all vectors.
+        No vector is hashed again. The vectors that collide most in narrow windows around the query's projections are
+        verified first. A vector at distance D differs by D / sqrt(d + 1) in a projection on average, so the
+        k-th best distance found says how far the windows must reach before no nearer one is likely to be
+        outside; they grow to there at once, and what collides often enough is verified once. Counts follow from
+        what is new in a window or from what is outside it, whichever is less.
         """
-        m, n = len(self.gap), len(self.vectors)
+        m, n, order = len(self.gap), len(self.vectors), self.order
+        k = min(k, n)
         length = float(np.linalg.norm(query))
         centre = query @ self.basis * (self.longest / length) + self.gap
-        counts, score = np.zeros(n, np.int64), np.full(n, -np.inf)
-        low = high = np.clip(self.sorted.searchsorted(centre), self.ends[:-1], self.ends[1:])
+        first, end = self.ends[:-1], self.ends[1:]
+        counts, verified = np.zeros(n, np.int64), np.zeros(n, bool)
+        at, score = np.empty(0, np.int64), np.empty(0)
+        low = high = np.clip(self.sorted.searchsorted(centre), first, end)
         half, need = START * self.unit, COLLISIONS * m
         while True:
             reach = min(half, 4 * self.longest)
-            lower = np.maximum(self.sorted.searchsorted(centre - reach), self.ends[:-1])
-            upper = np.minimum(self.sorted.searchsorted(centre + reach, "right"), self.ends[1:])
-            order = self.order
-            fresh = [order[a:b] for a, b in zip(lower.tolist(), low.tolist())] + [order[a:b] for a, b in zip(high.tolist(), upper.tolist())]
-            counts += np.bincount(np.concatenate(fresh), minlength=n)
+            lower = np.maximum(self.sorted.searchsorted(centre - reach), first)
+            upper = np.minimum(self.sorted.searchsorted(centre + reach, "right"), end)
+            added = int((upper - lower).sum() - (high - low).sum())
+            within = added <= int((end - first - upper + lower).sum())
+            parts = ((lower, low), (high, upper)) if within else ((first, lower), (upper, end))
+            seen = np.bincount(np.concatenate([order[a:b] for x, y in parts for a, b in zip(x.tolist(), y.tolist())]), minlength=n)
+            counts = counts + seen if within else m - seen
             found = counts >= need
-            new = np.flatnonzero(found & np.isneginf(score))
-            score[new] = self.vectors[new] @ query
-            enough = int(found.sum()) >= min(k, n)
-            if enough:
-                last = np.partition(score, n - min(k, n))[n - min(k, n)]
-                distance = math.sqrt(max(0.0, 2 * self.longest ** 2 - 2 * self.longest / length * float(last)))
-                enough = reach >= SURE * distance / self.longest * self.unit
-            if enough or reach < half:
+            if np.count_nonzero(found) < k:
+                # the least count that enough leaders have
+                most_first = np.bincount(counts, minlength=m + 1)[::-1].cumsum()
+                found = counts >= m - most_first.searchsorted(min(LEADERS * k, n))
+            new = np.flatnonzero(found & ~verified)
+            verified[new] = True
+            at, score = np.append(at, new), np.append(score, self.vectors[new] @ query)
+            last = float(np.partition(score, len(at) - k)[len(at) - k])
+            distance = math.sqrt(max(0.0, 2 * self.longest ** 2 - 2 * self.longest / length * last))
+            wanted = SURE * distance / self.longest * self.unit
+            if reach >= wanted or reach < half:
                 break
-            low, high, half = lower, upper, half * GROWTH
-        at = np.flatnonzero(found) if enough else np.arange(n)
-        values = self.vectors[at] @ query
-        best = np.lexsort((ids[at], -values))[:k]
-        return ids[at][best], values[best]
+            low, high, half = lower, upper, wanted
+        best = np.lexsort((ids[at], -score))[:k]
+        return ids[at][best], score[best]
 
 
 def valid(vectors: DataFrame) -> DataFrame:

@@ -126,6 +126,21 @@ def test_neighbour_recall_at_every_size(n, d, copies):
     assert np.mean(found) >= 0.9
 
 
+def test_neighbour_search_counts_less_than_its_windows_hold(monkeypatch):
+    """Windows grow once to what the first leaders ask for; no step counts more than half of the projections' entries."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((4000, 64))
+    index, counted = neighbours.CollisionIndex(x, float(np.sqrt((x ** 2).sum(1)).max())), []
+    whole = np.bincount
+    monkeypatch.setattr(neighbours.np, "bincount", lambda a, **k: counted.append(len(a)) or whole(a, **k))
+    found = []
+    for q in range(0, 4000, 100):
+        score = x @ x[q]
+        found.append((index.nearest(x[q], np.arange(len(x)), 21)[1] >= np.sort(score)[::-1][20] - 1e-9).mean())
+    assert np.mean(found) >= 0.9
+    assert len(counted) <= 3 * 40 and sum(counted) < 0.62 * 40 * index.order.size
+
+
 def test_deeper_quotes_serve_where_the_first_level_is_silent(spark, tmp_path):
     rows = [(1, 0, "user", "First thing\nother line"), (1, 1, "assistant", "reply one"), (1, 2, "user", "> > first thing here\n> > first   THING"),
             (1, 3, "assistant", "> unknown\n>> reply one\n> > > First thing"), (1, 4, "user", ">>> First thing\n> reply one"), (1, 5, "user", "> > > nobody said this")]
