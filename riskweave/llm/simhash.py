@@ -28,8 +28,8 @@ LIST_ROWS = 65_536
 #: At 0.8 a pair shares one of the 25 bands with probability 0.999998.
 COPY_SHINGLE, SIMILARITY, COPY_BANDS, COPY_ROWS = 5, 0.8, 25, 4
 ORDERS = np.random.default_rng(SEED).integers(0, 1 << 63, COPY_BANDS * COPY_ROWS, dtype=np.uint64)
-#: Rounds in which the members of a list meet one drawn member, before those of different groups meet.
-COPY_ROUNDS = 3
+#: Members of a list that are compared in one place; of a longer list each two parts meet in a cell of about so many.
+COPY_CELL = 512
 
 
 def fingerprint(text: str | None) -> int:
@@ -224,45 +224,102 @@ def fingerprint_pairs(marks: DataFrame) -> DataFrame:
     return same.union(close).select(F.least("node", "m").alias("a"), F.greatest("node", "m").alias("b")).distinct()
 
 
+def linked_members(nodes: np.ndarray, roots: np.ndarray, parts: np.ndarray, texts: list[str]) -> tuple[list[int], list[int]]:
+    """Links of Jaccard SIMILARITY that join the groups *roots* of one cell wherever two of its members have it.
+
+    Members of one group, also of one that a link has just made, are not compared. In a cell of two *parts* members meet
+    those of the other part only.
+    """
+    sets = [shingle_hashes(t) for t in texts]
+    sizes = np.array([len(s) for s in sets])
+    order = np.lexsort((nodes, sizes, parts))
+    nodes, sizes, parts, sets = nodes[order], sizes[order], parts[order], [sets[i] for i in order]
+    group = np.unique(roots[order], return_inverse=True)[1]
+    known, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    codes = np.split(codes, np.cumsum(sizes)[:-1])
+    second = int(np.searchsorted(parts, parts[0], "right"))  # where the other part begins
+    marked, left, right = np.zeros(len(known), np.int32), [], []
+    for i in range(second):
+        at = second if second < len(nodes) else i + 1
+        low = at + int(np.searchsorted(sizes[at:], sizes[i] * SIMILARITY - 1e-6))
+        high = at + int(np.searchsorted(sizes[at:], sizes[i] / SIMILARITY + 1e-6, "right"))
+        met = low + np.flatnonzero(group[low:high] != group[i])
+        if not len(met):
+            continue
+        marked[codes[i]] = 1
+        starts = np.cumsum(sizes[met]) - sizes[met]
+        both = np.add.reduceat(marked[np.concatenate([codes[j] for j in met])], starts)
+        marked[codes[i]] = 0
+        close = met[both >= SIMILARITY * (sizes[i] + sizes[met] - both) - 1e-9]
+        if len(close):
+            left.extend([int(nodes[i])] * len(close))
+            right.extend(nodes[close].tolist())
+            group[np.isin(group, group[close])] = group[i]
+    return left, right
+
+
+def _links_of_cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Walk cells that arrive in order of (list, cell); a cell may run over several frames."""
+    def links_of(frame, cuts):
+        a, b = [], []
+        columns = [frame[c].to_numpy() for c in ("node", "root", "part", "text")]
+        for low, high in zip([0, *cuts], [*cuts, len(frame)]):
+            if high - low > 1:
+                x, y = linked_members(*[c[low:high] for c in columns])
+                a += x
+                b += y
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    held = None
+    for frame in frames:
+        frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+        name, cell = frame["list"].to_numpy(), frame["cell"].to_numpy()
+        cuts = (np.flatnonzero((name[1:] != name[:-1]) | (cell[1:] != cell[:-1])) + 1).tolist()
+        last = cuts[-1] if cuts else 0
+        yield links_of(frame.iloc[:last], cuts[:-1])
+        held = frame.iloc[last:]
+    if held is not None:
+        yield links_of(held, [])
+
+
 def copy_roots(lists: DataFrame, texts: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """(node, root) of the nodes that Jaccard similarity links to another.
 
     *pairs* (a, b) are tried before any list: what they join no longer meets in lists.
 
     *lists* (list, node, size, degree) has the nodes that share a key of minima, and how many neighbours each has in all
-    its lists; *texts* (node, text) has a text of each. All members of a list meet one of them in each round: first
-    the one of most neighbours, as an original stands nearer to its variants than they to one another, then
-    others by a hash. So a list of copies is joined by as many pairs as it has members. What is then in more than one group is paired between its groups, without the
-    pairs that were tried.
+    its lists; *texts* (node, text) has a text of each. All members of a list first meet the one of most neighbours,
+    as an original stands nearer to its variants than they to one another; so a list of copies is joined by as
+    many pairs as it has members. Lists that are then in more than one group are sent on with their texts, and
+    members of different groups are compared where they arrive, so that no pair is a row of its own. A list of
+    more than COPY_CELL members is cut into parts, and each two parts meet in a cell.
     """
     def fits(a, b):
         return F.least(a, b) >= F.greatest(a, b) * SIMILARITY - 1e-9
 
-    found = tried = roots = None
+    def placed(roots):
+        rooted = lists.withColumn("root", F.col("node")) if roots is None else lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        split = rooted.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.min_by(
+            F.struct("node", "size", "root"), F.struct(-F.col("degree"), "node")).alias("d")).filter("lo <> hi")
+        return rooted.join(split.select("list", "n", "d"), "list")
+
+    found = roots = None
     if pairs is not None and not pairs.isEmpty():
-        found, tried = _copy_links(pairs, texts), pairs
-        roots = components(found)
-    for turn in range(COPY_ROUNDS + 1):
-        placed = lists.withColumn("root", F.col("node")) if roots is None else lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        split = placed.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(
-            F.struct("node", "size", "root"), F.struct(-F.col("degree"), "node") if turn == 0 else F.xxhash64("node", F.lit(turn))).alias("d")).filter("lo <> hi")
-        open_lists = placed.join(split.select("list", "d"), "list")
-        if turn < COPY_ROUNDS:
-            met = open_lists.filter("root <> d.root").filter(fits(F.col("size"), F.col("d.size"))).select(
-                F.least("node", "d.node").alias("a"), F.greatest("node", "d.node").alias("b"))
-        else:
-            y = open_lists.select("list", F.col("node").alias("m"), F.col("size").alias("msize"), F.col("root").alias("mroot"))
-            met = open_lists.join(y, "list").filter("node < m AND root <> mroot").filter(fits(F.col("size"), F.col("msize"))).select(
-                F.col("node").alias("a"), F.col("m").alias("b"))
-        met = met.distinct() if tried is None else met.distinct().join(tried, ["a", "b"], "left_anti")
-        met = cut_lineage(met)
-        if met.isEmpty():
-            continue
-        links_ = _copy_links(met, texts)
-        found = links_ if found is None else cut_lineage(found.union(links_))
-        tried = met if tried is None else cut_lineage(tried.union(met))
+        found = _copy_links(pairs, texts)
         roots = components(found)
-    return roots if roots is not None else lists.select("node", F.col("node").alias("root")).limit(0)
+    met = placed(roots).filter("root <> d.root").filter(fits(F.col("size"), F.col("d.size"))).select(
+        F.least("node", "d.node").alias("a"), F.greatest("node", "d.node").alias("b")).distinct()
+    stars = _copy_links(met if pairs is None else met.join(pairs, ["a", "b"], "left_anti"), texts)
+    found = stars if found is None else cut_lineage(found.union(stars))
+    roots = components(found)
+
+    parts = F.when(F.col("n") > COPY_CELL, F.ceil(F.col("n") * 2 / COPY_CELL)).otherwise(1).cast("int")
+    dealt = placed(roots).select("list", "node", "root", parts.alias("parts")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cell = F.least("part", "other") * F.col("parts") + F.greatest("part", "other")
+    cells = dealt.select("list", cell.alias("cell"), "part", "node", "root").join(texts, "node").repartition("list", "cell").sortWithinPartitions("list", "cell")
+    rest = cut_lineage(cells.mapInPandas(_links_of_cells, "a long, b long"))
+    return roots if rest.isEmpty() else components(found.union(rest))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

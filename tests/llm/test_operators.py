@@ -368,3 +368,36 @@ def test_near_copies_of_the_pipeline_start_from_simhashes(spark, monkeypatch):
     words = " ".join(f"w{i}" for i in range(400))
     docs = spark.createDataFrame([(1, words), (2, words + " end"), (3, "other words stand here " * 9)], "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [1, 3] and seen == [1]
+
+
+def test_half_alike_texts_are_compared_without_a_row_for_each_pair(spark, monkeypatch):
+    """Groups of half-alike texts: the same groups as by brute force, and only the pairs with one member of each list are rows."""
+    rng = random.Random(3)
+    base, texts = [f"w{i}" for i in range(100)], []
+    for _ in range(90):
+        words = list(rng.choice(texts)) if texts and rng.random() < 0.5 else list(base)
+        for _ in range(rng.randint(2, 5)):
+            words[rng.randrange(100)] = f"x{rng.random()}"
+        texts.append(words)
+    sets = [set(simhash.shingle_hashes(" ".join(t)).tolist()) for t in texts]
+    near = [(i, j) for i in range(90) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = list(range(90))
+    for _ in range(90):
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+    monkeypatch.setattr(simhash, "COPY_CELL", 16)
+    tried, check = [], simhash._copy_links
+    monkeypatch.setattr(simhash, "_copy_links", lambda pairs, t: tried.append(pairs.count()) or check(pairs, t))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(set(root)) and 5 < len(set(root)) < 85
+    assert sum(tried) < 6 * 90
+
+
+def test_members_of_a_cell_by_parts():
+    """In a cell of two parts only pairs between them count; what is one group already is not compared."""
+    words = " ".join(f"w{i}" for i in range(60))
+    texts, nodes = [words, words + " a", words + " b", "quite another text"], np.arange(4)
+    a, b = simhash.linked_members(nodes, nodes, np.array([0, 0, 1, 1]), texts)
+    assert sorted(map(sorted, zip(a, b))) == [[0, 2], [1, 2]]
+    assert simhash.linked_members(nodes, np.array([7, 7, 7, 8]), np.zeros(4, int), texts) == ([], [])
+    assert len(simhash.linked_members(nodes, nodes, np.zeros(4, int), texts)[0]) == 2
