@@ -13,6 +13,8 @@ from riskweave.session import cut_lineage
 
 #: Limits within which two rows are one event.
 MATCH_SECONDS, MATCH_KM = 5.0, 15.0
+#: Width of the slots and cells in which rows meet, in these limits: a row reaches 1 + 2 / width of them on each axis.
+SLOT_LIMITS, CELL_LIMITS = 4, 3
 
 
 def normalize_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -65,38 +67,57 @@ def incremental_merge(old: DataFrame, new: DataFrame, id_col: str = "id",
     return dedupe_by_id_then_space(both, order, id_col, space).drop("__src")
 
 
-def fuzzy_match(incoming: DataFrame, base: DataFrame, seconds: float = MATCH_SECONDS, km: float = MATCH_KM, dmag: float = 0.5,
-                row: str = "row") -> DataFrame:
-    """Nearest base row of every incoming row within the time, distance and magnitude limits.
+def meeting_sides(incoming: DataFrame, base: DataFrame, seconds: float, km: float, row: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of :func:`fuzzy_match` with __slot, __band and __cell; the batch stands in each that its limits reach."""
+    height = km / 111.0 * 1.02  # degrees of latitude within the limit
+    slot_width, band_width = SLOT_LIMITS * seconds * 1e6, CELL_LIMITS * height
 
-    Exact copies in the base are merged first. Both sides meet on (time slot, latitude band, longitude cell). The
-    batch is replicated to neighbouring cells and the base stays as it is; the best match is a ``min_by``
-    aggregation, so no list of candidates is ever built. Adds ``match`` (the base *row*) and ``match_km``.
-    """
-    height = km / 111.0 * 1.02
+    def micros(c):
+        return F.unix_micros(F.col(c).cast("timestamp"))
 
-    def slot(c):
-        return F.floor(F.unix_micros(F.col(c).cast("timestamp")) / F.lit(seconds * 1e6))
+    def slot(at):
+        return F.floor(at / F.lit(slot_width))
 
-    def cells_of_band(band):
-        """Cells around the globe: in this band and the next ones no distance within *km* spans more than one."""
-        edge = F.least(F.greatest(F.abs(band - 1), F.abs(band + 2)) * height, F.lit(90.0))
-        reach = F.sin(F.lit(km / 6371.0 / 2)) / F.greatest(F.cos(F.radians(edge)), F.lit(1e-9))
-        return F.when(reach >= 1, 1).otherwise(F.greatest(F.floor(F.lit(360.0) / (F.degrees(F.asin(F.least(reach, F.lit(1.0)))) * 2 * 1.02)), F.lit(1))).cast("long")
+    def band(lat):
+        return F.floor(lat / F.lit(band_width))
+
+    def reach(b):
+        """Degrees of longitude that a distance within *km* can span between this band and what is as near to it."""
+        edge = F.least(F.greatest(F.abs(b * band_width - height), F.abs((b + 1) * band_width + height)), F.lit(90.0))
+        half = F.sin(F.lit(km / 6371.0 / 2)) / F.greatest(F.cos(F.radians(edge)), F.lit(1e-9))
+        return F.degrees(F.asin(F.least(half, F.lit(1.0)))) * 2 * 1.02
+
+    def around(b):
+        """Cells around the globe in this band, each CELL_LIMITS times the reach at least."""
+        return F.greatest(F.floor(F.lit(360.0) / (reach(b) * CELL_LIMITS)), F.lit(1)).cast("long")
 
     def cell(lon, n):
-        return F.pmod(F.floor((lon + 180.0) / 360.0 * n), n)
+        return F.floor((lon + 180.0) / 360.0 * n)
 
     place = ["time", "latitude", "longitude", "mag"]
     b = base.groupBy(*place).agg(F.min(row).alias("__brow"))
     b = b.select(*[F.col(c).alias(f"__b_{c}") for c in place], "__brow")
-    b = b.withColumns({"__slot": slot("__b_time"), "__band": F.floor(F.col("__b_latitude") / F.lit(height))})
-    b = b.withColumn("__cell", cell(F.col("__b_longitude"), cells_of_band(F.col("__band"))))
-    around = F.sequence(F.lit(-1), F.lit(1))
-    inc = incoming.withColumn("__s", F.explode(around)).withColumn("__slot", slot("time") + F.col("__s"))
-    inc = inc.withColumn("__s", F.explode(around)).withColumn("__band", F.floor(F.col("latitude") / F.lit(height)) + F.col("__s"))
-    inc = inc.withColumn("__c", cells_of_band(F.col("__band")))
-    inc = inc.withColumn("__cell", F.explode(F.array_distinct(F.transform(around, lambda s: F.pmod(cell(F.col("longitude"), F.col("__c")) + s, F.col("__c"))))))
+    b = b.withColumns({"__slot": slot(micros("__b_time")), "__band": band(F.col("__b_latitude"))})
+    b = b.withColumn("__n", around(F.col("__band"))).withColumn("__cell", F.pmod(cell(F.col("__b_longitude"), F.col("__n")), F.col("__n"))).drop("__n")
+    inc = incoming.select(row, *place).filter(" AND ".join(f"{c} IS NOT NULL" for c in place))
+    inc = inc.withColumn("__slot", F.explode(F.sequence(slot(micros("time") - F.lit(seconds * 1e6)), slot(micros("time") + F.lit(seconds * 1e6)))))
+    inc = inc.withColumn("__band", F.explode(F.sequence(band(F.col("latitude") - height), band(F.col("latitude") + height))))
+    inc = inc.withColumns({"__n": around(F.col("__band")), "__reach": F.least(reach(F.col("__band")), F.lit(180.0))})
+    cells = F.sequence(cell(F.col("longitude") - F.col("__reach"), F.col("__n")), cell(F.col("longitude") + F.col("__reach"), F.col("__n")))
+    inc = inc.withColumn("__cell", F.explode(F.array_distinct(F.transform(cells, lambda c: F.pmod(c, F.col("__n")))))).drop("__n", "__reach")
+    return inc, b
+
+
+def fuzzy_match(incoming: DataFrame, base: DataFrame, seconds: float = MATCH_SECONDS, km: float = MATCH_KM, dmag: float = 0.5,
+                row: str = "row") -> DataFrame:
+    """Nearest base row of every incoming row within the time, distance and magnitude limits.
+
+    Exact copies in the base are merged first. Both sides meet on (time slot, latitude band, longitude cell), which are
+    a few limits wide. Of the batch only name, time, place and magnitude are sent to the one or two cells of each axis
+    that the limits reach, and the base stays as it is; the best match is a ``min_by`` aggregation, so no list of
+    candidates is ever built. Adds ``match`` (the base *row*) and ``match_km``.
+    """
+    inc, b = meeting_sides(incoming, base, seconds, km, row)
     d = haversine_km("__b_latitude", "__b_longitude", "latitude", "longitude")
     dt = F.abs(F.unix_micros(F.col("time").cast("timestamp")) - F.unix_micros(F.col("__b_time").cast("timestamp"))) / F.lit(1e6)
     hit = inc.join(b, ["__slot", "__band", "__cell"]).withColumn("__d", d)

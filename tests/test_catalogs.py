@@ -1,6 +1,7 @@
 """Revisions, duplicates, the ledger, as-of joins with hot keys, and rule strictness."""
 
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
@@ -156,3 +157,15 @@ def test_corridor_prefilter_changes_nothing(spark):
     tr = sp.traces(spark.createDataFrame([(0, 0, 172.0, -22.0), (0, 1, 173.0, -20.0)], "segment int, i int, lon double, lat double"))
     near = {r["id"] for r in sp.polyline_distance(pts, tr, max_km=100.0).collect()}
     assert near == {r["id"] for r in sp.polyline_distance(pts, tr).filter(F.col("dist_km") <= 100.0).collect()}
+
+
+def test_batch_rows_stand_in_few_cells(spark):
+    """A row of the batch is sent to the cells that its limits reach, not to all 27 around its own; no partner is lost."""
+    rng = random.Random(11)
+    spots = [(i, dt.datetime(2020, 1, 1) + dt.timedelta(seconds=rng.uniform(0, 1e6)), rng.uniform(-80, 80), rng.uniform(-180, 180), 5.0) for i in range(300)]
+    near = [(i, t + dt.timedelta(seconds=rng.uniform(-4.9, 4.9)), lat + rng.uniform(-0.09, 0.09), lon, m) for i, t, lat, lon, m in spots]
+    schema = "row long, time timestamp_ntz, latitude double, longitude double, mag double"
+    base, inc = spark.createDataFrame(spots, schema), spark.createDataFrame(near, schema)
+    sent, _ = cat.meeting_sides(inc, base, 5.0, 15.0, "row")
+    assert sent.count() < 7 * 300
+    assert all(r["match"] == r["row"] for r in cat.fuzzy_match(inc, base).collect())
