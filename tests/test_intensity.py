@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql.functions import col
 
 from riskweave.operators import episodes as ep, intensity as it, spatial as sp
 from riskweave.operators.consequents import SignOrder, fit_consequents
@@ -140,3 +141,13 @@ def test_few_events_keep_the_prior(spark):
     df = spark.createDataFrame(rows, ", ".join(f"w_{c} double" for c in NAMES) + ", lam double, n int")
     got, info = fit_consequents(df, "lam", "n", PRIOR, fixed=("anchor",))
     assert got == PRIOR and not info["trained"]
+
+
+def test_moments_move_once(spark):
+    """Of the buckets of three alphas one row each is shuffled, and the join takes the rows where they are."""
+    events = spark.createDataFrame([("a", a, t / 7, 1.0) for a in (0.5, 0.9, 1.5) for t in range(300)], "g string, alpha double, t double, w double")
+    kernels = spark.createDataFrame([(i, a, 0.02, 1.1) for i, a in enumerate((0.5, 0.9, 1.5))], "cand int, alpha double, c double, q double")
+    times = events.select("g", "t").distinct().withColumn("at", col("t"))
+    plan = kernel_sums(events, times, kernels, ["g"], 50.0, 0.02)._jdf.queryExecution().optimizedPlan().toString()
+    moments = [line for line in plan.splitlines() if "Aggregate" in line and "level" in line]
+    assert moments and not any("alpha" in line.split("[")[1] for line in moments)
