@@ -173,3 +173,21 @@ def test_leave_group_out_reads_the_events_without_a_join(spark, monkeypatch):
     load_all()["leave_group_out"].run(spark, "/root/testdata/sf0.001")
     plan = seen[0]._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Exchange" not in plan and "region" in seen[0].columns
+
+
+def test_forest_sees_cells_of_rows_and_draws_their_rows(spark):
+    """Repeated rows add no cells, a cell is drawn once for each of its rows, and the importances are those of Spark's forest on rows."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    k = F.col("id")
+    rows = spark.range(4000).select((k % 37).cast("double").alias("a"), (k % 23).cast("double").alias("b"), (k % 5).cast("double").alias("c"),
+                                    ((k % 37 > 20) & (k % 23 > 8) | (k % 11 == 0)).cast("int").alias("y"))
+    cells, more = (ln.bin_cells(d, ["a", "b", "c"], "y", None) for d in (rows, rows.unionByName(rows).unionByName(rows)))
+    assert cells.count() == more.count() < 3800 and cells.agg(F.sum("__n")).first()[0] == 4000
+    many = cells.withColumn("__n", F.lit(50)).limit(2000)
+    drawn = ln.bootstrap(many, 3).agg(F.count(F.lit(1)).alias("n"), F.avg("__w").alias("m"), F.variance("__w").alias("v")).first()
+    assert drawn["n"] == 2000 and drawn["m"] == pytest.approx(50, abs=1) and drawn["v"] == pytest.approx(50, rel=0.2)
+    data, _ = ln.assemble(rows.withColumn("__y", F.col("y").cast("double")), ["a", "b", "c"])
+    want = RandomForestClassifier(featuresCol="features", labelCol="__y", numTrees=80, maxDepth=4, seed=1).fit(data).featureImportances.toArray()
+    got = ln.forest_importance(rows, ["a", "b", "c"], "y", trees=80, depth=4)
+    assert sum(v for _, v in got) == pytest.approx(1) and [v for _, v in got] == pytest.approx(list(want), abs=0.1)
