@@ -21,6 +21,8 @@ TERMS = 14
 NEAR = 2
 #: Events of so many levels of buckets are kept together when they are merged, so that what stands for them on the levels above is one row.
 TOGETHER = 6
+#: Rows of a task in which moments are made. A row becomes some hundred times as wide there, so sizes before say nothing.
+TASK_ROWS = 50_000
 
 
 def days_since(time: Column, start: Column) -> Column:
@@ -61,7 +63,8 @@ def kernel_sums(events: DataFrame, targets: DataFrame, kernels: DataFrame, keys:
     sum is that of w * ln(lag + c). Times lie from 0 to *span*. Targets without earlier events have no row.
 
     Moments of all alphas are columns of one row of a bucket, sums of all kernels columns of one row of a target. Events
-    are dealt out by stretches of time, so that a task adds up whole buckets before their moments move.
+    are dealt out by stretches of time, so that a task adds up whole buckets before their moments move. The number of
+    tasks follows the rows, TASK_ROWS to each: the memory of a task does not grow with the tables.
     """
     k, finest = list(keys), c_min / (NEAR + 1)
     rows = kernels.select("cand", "alpha", "c", "q").orderBy("cand").collect()
@@ -72,7 +75,8 @@ def kernel_sums(events: DataFrame, targets: DataFrame, kernels: DataFrame, keys:
     top = max(0, math.ceil(math.log2(max(span, finest) / finest / (NEAR + 1)))) + 1
     weights = [F.sum(F.when(F.col("alpha") == a, F.col("w"))).alias(f"w{i}") for i, a in enumerate(alphas)]
     placed = events.withColumn("b0", F.floor(F.col("t") / finest)).withColumn("__block", F.shiftright("b0", TOGETHER))
-    src = placed.repartition(*k, "__block").groupBy(*k, "__block", "b0", "t").agg(*weights).drop("__block")
+    held = events.count() / len(alphas)
+    src = placed.repartition(math.ceil(held / TASK_ROWS) + 1, *k, "__block").groupBy(*k, "__block", "b0", "t").agg(*weights).drop("__block")
     levels = F.sequence(F.lit(0), F.lit(top))
     width = F.lit(finest) * F.pow(F.lit(2.0), F.col("level"))
     up = src.withColumn("level", F.explode(levels)).withColumn("b", F.expr("shiftright(b0, level)")).withColumn("x", F.col("t") / width - F.col("b") - 0.5)
@@ -91,7 +95,8 @@ def kernel_sums(events: DataFrame, targets: DataFrame, kernels: DataFrame, keys:
     low = F.when(F.col("level") < top, F.greatest(2 * (F.shiftright("i", 1) - NEAR), F.lit(0))).otherwise(F.lit(0)).cast("long")
     high = F.when(F.col("level") > 0, F.col("i") - NEAR - 1).otherwise(F.col("i") - 1).cast("long")
     far = far.withColumns({"low": low, "high": high}).filter("high >= low").withColumn("b", F.explode(F.sequence("low", "high"))).drop("low", "high", "i", "b0")
-    met = far.join(moments, [*k, "level", "b"])
+    # Spark takes the exploded places for as small as the places and would broadcast them
+    met = far.join(moments.hint("merge"), [*k, "level", "b"])
     distant = summed(met, F.col("at") - (F.col("b") + 0.5) * width, width)
     # within the finest bucket: running moments, targets before the events of the same time; they are made where the rows are gathered
     names = [f"w{i}" for i in range(len(alphas))]
@@ -99,7 +104,7 @@ def kernel_sums(events: DataFrame, targets: DataFrame, kernels: DataFrame, keys:
     ask = places.join(src.select(*k, "b0").distinct(), [*k, "b0"], "left_semi").select(
         *k, "b0", "t", "at", F.lit(0).alias("kind"), *[F.lit(None).cast("double").alias(n) for n in names])
     w = Window.partitionBy(*k, "b0").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    both = own.unionByName(ask).repartition(*k, "b0").withColumn("x", F.col("t") / F.lit(finest) - F.col("b0") - 0.5)
+    both = own.unionByName(ask).repartition(math.ceil((held + targets.count()) / TASK_ROWS) + 1, *k, "b0").withColumn("x", F.col("t") / F.lit(finest) - F.col("b0") - 0.5)
     here = both.withColumns({f"m{i}_{j}": F.sum(F.col(n) * p).over(w) for i, n in enumerate(names) for j, p in enumerate(_powers(F.col("x")))}).filter("kind = 0")
     close = summed(here, F.col("at") - (F.col("b0") + 0.5) * finest, F.lit(finest))
     wide = distant.unionByName(close).groupBy(*k, "t").agg(*[F.sum(F.when(F.col("cand") == r["cand"], F.col(out))).alias(f"__s{i}") for i, r in enumerate(rows)])

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.functions import col
 
 from riskweave.operators import episodes as ep, intensity as it, spatial as sp
@@ -151,3 +152,16 @@ def test_moments_move_once(spark):
     plan = kernel_sums(events, times, kernels, ["g"], 50.0, 0.02)._jdf.queryExecution().optimizedPlan().toString()
     moments = [line for line in plan.splitlines() if "Aggregate" in line and "level" in line]
     assert moments and not any("alpha" in line.split("[")[1] for line in moments)
+
+
+def test_kernel_sums_neither_broadcast_places_nor_gather_rows(spark):
+    """A place becomes some fifty rows, a row a hundred columns: places are sorted to their buckets, and rows are dealt out by number."""
+    from riskweave.operators import kernel_sums as ks
+
+    events = spark.range(3 * ks.TASK_ROWS).select(F.lit("a").alias("g"), F.lit(1.0).alias("alpha"), (F.col("id") / 100).alias("t"), F.lit(1.0).alias("w"))
+    targets = spark.range(10).select(F.lit("a").alias("g"), (F.col("id") * 100 + 0.5).alias("t"), (F.col("id") * 100 + 0.5).alias("at"))
+    kernels = spark.createDataFrame([(0, 1.0, 0.02, 1.1)], "cand int, alpha double, c double, q double")
+    plan = kernel_sums(events, targets, kernels, ["g"], 1500.0, 0.02)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "level" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+    assert "REPARTITION_BY_NUM" in plan and "REPARTITION_BY_COL" not in plan
