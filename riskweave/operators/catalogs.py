@@ -14,7 +14,10 @@ from riskweave.session import cut_lineage
 #: Limits within which two rows are one event.
 MATCH_SECONDS, MATCH_KM = 5.0, 15.0
 #: Width of the slots and cells in which rows meet, in these limits: a row reaches 1 + 2 / width of them on each axis.
-SLOT_LIMITS, CELL_LIMITS = 4, 3
+SLOT_LIMITS, CELL_LIMITS = 12, 6
+MEET = ["__slot", "__band", "__cell"]
+#: What a row is to its identity in an upsert, in the order in which one wins: held so far, taken away by a match, named so from now on.
+HELD, GONE, TAKEN = 0, 1, 2
 
 
 def normalize_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -95,10 +98,11 @@ def meeting_sides(incoming: DataFrame, base: DataFrame, seconds: float, km: floa
         return F.floor((lon + 180.0) / 360.0 * n)
 
     place = ["time", "latitude", "longitude", "mag"]
-    b = base.groupBy(*place).agg(F.min(row).alias("__brow"))
-    b = b.select(*[F.col(c).alias(f"__b_{c}") for c in place], "__brow")
+    b = base.select(*[F.col(c).alias(f"__b_{c}") for c in place], F.col(row).alias("__brow")).filter(" AND ".join(f"__b_{c} IS NOT NULL" for c in place))
     b = b.withColumns({"__slot": slot(micros("__b_time")), "__band": band(F.col("__b_latitude"))})
     b = b.withColumn("__n", around(F.col("__band"))).withColumn("__cell", F.pmod(cell(F.col("__b_longitude"), F.col("__n")), F.col("__n"))).drop("__n")
+    # one exchange serves the merge of copies and the join
+    b = b.repartition(*MEET).groupBy(*MEET, *[f"__b_{c}" for c in place]).agg(F.min("__brow").alias("__brow"))
     inc = incoming.select(row, *place).filter(" AND ".join(f"{c} IS NOT NULL" for c in place))
     inc = inc.withColumn("__slot", F.explode(F.sequence(slot(micros("time") - F.lit(seconds * 1e6)), slot(micros("time") + F.lit(seconds * 1e6)))))
     inc = inc.withColumn("__band", F.explode(F.sequence(band(F.col("latitude") - height), band(F.col("latitude") + height))))
@@ -108,24 +112,30 @@ def meeting_sides(incoming: DataFrame, base: DataFrame, seconds: float, km: floa
     return inc, b
 
 
-def fuzzy_match(incoming: DataFrame, base: DataFrame, seconds: float = MATCH_SECONDS, km: float = MATCH_KM, dmag: float = 0.5,
-                row: str = "row") -> DataFrame:
-    """Nearest base row of every incoming row within the time, distance and magnitude limits.
+def nearest_rows(incoming: DataFrame, base: DataFrame, seconds: float = MATCH_SECONDS, km: float = MATCH_KM, dmag: float = 0.5,
+                 row: str = "row") -> DataFrame:
+    """(*row*, match, match_km): nearest base row of each incoming row that has one within the time, distance and magnitude limits.
 
-    Exact copies in the base are merged first. Both sides meet on (time slot, latitude band, longitude cell), which are
-    a few limits wide. Of the batch only name, time, place and magnitude are sent to the one or two cells of each axis
+    Both sides meet on (time slot, latitude band, longitude cell), which are a few limits wide; exact copies in the base
+    are merged where they meet. Of the batch only name, time, place and magnitude are sent to the one or two cells of each axis
     that the limits reach, and the base stays as it is; the best match is a ``min_by`` aggregation, so no list of
-    candidates is ever built. Adds ``match`` (the base *row*) and ``match_km``.
+    candidates is ever built.
     """
     inc, b = meeting_sides(incoming, base, seconds, km, row)
     d = haversine_km("__b_latitude", "__b_longitude", "latitude", "longitude")
     dt = F.abs(F.unix_micros(F.col("time").cast("timestamp")) - F.unix_micros(F.col("__b_time").cast("timestamp"))) / F.lit(1e6)
-    hit = inc.join(b, ["__slot", "__band", "__cell"]).withColumn("__d", d)
+    hit = inc.join(b, MEET).withColumn("__d", d)
     hit = hit.filter((dt <= seconds) & (F.col("__d") <= km) & (F.abs(F.col("mag") - F.col("__b_mag")) <= dmag))
     best = hit.groupBy(row).agg(F.min_by(F.struct(F.col("__brow").alias("m"), F.col("__d").alias("d")),
                                          F.struct("__d", "__brow")).alias("__m"))
-    return incoming.join(best, row, "left").select(
-        *incoming.columns, F.col("__m.m").alias("match"), F.col("__m.d").alias("match_km"))
+    return best.select(row, F.col("__m.m").alias("match"), F.col("__m.d").alias("match_km"))
+
+
+def fuzzy_match(incoming: DataFrame, base: DataFrame, seconds: float = MATCH_SECONDS, km: float = MATCH_KM, dmag: float = 0.5,
+                row: str = "row") -> DataFrame:
+    """*incoming* with ``match`` (the base *row*) and ``match_km`` of :func:`nearest_rows`."""
+    best = nearest_rows(incoming, base, seconds, km, dmag, row)
+    return incoming.join(best, row, "left").select(*incoming.columns, "match", "match_km")
 
 
 def catalog_upsert(base: DataFrame, incoming: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -137,30 +147,59 @@ def catalog_upsert(base: DataFrame, incoming: DataFrame, columns: Sequence[str])
     settled by the latest ``updated``.
     """
     cols = list(columns)
-    b = base.select(*cols).withColumn("row", identity_key(cols))
-    inc = incoming.select(*cols).withColumn("row", row_identity(cols))
     # only ids that the batch asks for leave the base
-    asked = inc.filter(has_id()).select("id").distinct()
-    known = b.select("id").join(asked, "id", "left_semi").distinct().withColumnRenamed("id", "__known")
-    # one feed batch, read by both branches below
-    inc = cut_lineage(inc.join(known, inc["id"] == known["__known"], "left"))
-    exact = inc.filter(F.col("__known").isNotNull())
-    matched = fuzzy_match(inc.filter(F.col("__known").isNull()).drop("__known"), b)
-    key_new = F.concat(F.lit("new:"), identity_key(cols))
-    far = F.lit("9999-12-31").cast("timestamp_ntz")
-    old_time = F.lit("0001-01-01").cast("timestamp_ntz")
+    asked = incoming.filter(has_id()).select("id").distinct()
+    known = base.select("id").join(asked, "id", "left_semi").distinct()
+    return upsert_known(base, with_known(incoming.select(*cols), known.withColumn("held", F.lit(True))), cols)[0].select(*cols)
+
+
+def with_known(incoming: DataFrame, known: DataFrame) -> DataFrame:
+    """*incoming*, written once, with the number of each row and what *known* has beside its id as __known."""
+    named = known.select(F.col("id").alias("__id"), F.struct(*[c for c in known.columns if c != "id"]).alias("__known"))
+    return cut_lineage(incoming.withColumn("row", F.monotonically_increasing_id()).join(named, F.col("id") == F.col("__id"), "left").drop("__id"))
+
+
+def upsert_known(base: DataFrame, incoming: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """:func:`catalog_upsert` of rows of :func:`with_known`, and the ids that matches took away.
+
+    ``__moved`` is false on rows that stay as the one row of the base with their identity.
+    Whole rows of both sides move once, to the identity they have in the result: there the base row, the revision of its
+    id, the mark that a match took it and the rows that bear this identity from now on are told apart by one aggregation.
+    """
+    cols = list(columns)
+    far, old_time = (F.lit(t).cast("timestamp_ntz") for t in ("9999-12-31", "0001-01-01"))
+    rest = [c for c in cols if c not in ("time", "updated")]
+
+    def ranked(kind, src, missing):
+        """Row of *kind* in the order in which one wins: kind, date (*missing* for none), source, time."""
+        return F.struct(F.lit(kind).alias("__kind"), F.coalesce("updated", missing).alias("__u"), F.lit(src).alias("__src"), F.col("time"),
+                        F.col("updated").isNull().alias("__undated"), *rest)
+
+    b = base.select(*cols).withColumn("row", identity_key(cols))
+    exact = incoming.filter(F.col("__known").isNotNull())
+    fresh = incoming.filter(F.col("__known").isNull()).select(*cols, "row")
+    best = cut_lineage(nearest_rows(fresh, b).select("row", "match"))
+    gone = best.select("match").distinct()
+    # a match always wins over its target, the latest of several
+    taken = fresh.join(best, "row").groupBy("match").agg(F.max(ranked(TAKEN, 2, far)).alias("r")).select("r.*")
+    taken = taken.withColumn("updated", F.when(~F.col("__undated"), F.col("__u")))
+    none = F.lit(None)
+    shape = b.select(F.col("row").alias("__key"), ranked(HELD, 0, old_time).alias("r"), none.alias("n"))
+    kind = shape.schema["r"].dataType
+    named = identity_key(cols).alias("__key")
     merged = (
-        b.select(*cols, F.col("row").alias("__key"), F.lit(0).alias("__src"), F.coalesce("updated", old_time).alias("__u"))
-        .unionByName(exact.select(*cols, F.concat(F.lit("id:"), F.col("id")).alias("__key"), F.lit(1).alias("__src"),
-                                  F.coalesce("updated", far).alias("__u")))
-        .unionByName(matched.select(*cols, F.coalesce("match", key_new).alias("__key"),
-                                    F.when(F.col("match").isNotNull(), 2).otherwise(1).alias("__src"),
-                                    F.coalesce("updated", far).alias("__u"))))
-    # a fuzzy match always wins over its target; otherwise the later date, then the incoming row
-    winner = latest_per_key(merged, ["__key"], (F.col("__src") == 2).cast("int"), "__u", "__src", "time")
-    # ids are unique in the result: a target may have taken the id of another row
-    final = winner.select(*cols, "__src").withColumn("__key", identity_key(cols))
-    return latest_per_key(final, ["__key"], F.coalesce("updated", old_time), "__src").select(*cols)
+        shape
+        .unionByName(exact.select(named, ranked(HELD, 1, far).alias("r"), none.alias("n")))
+        .unionByName(gone.select(
+            F.col("match").alias("__key"), F.struct(F.lit(GONE).alias("__kind"), *[none.cast(f.dataType).alias(f.name) for f in kind.fields[1:]]).alias("r"), none.alias("n")))
+        .unionByName(taken.select(named, ranked(TAKEN, 2, old_time).alias("r"), none.alias("n")))
+        .unionByName(fresh.join(best, "row", "left_anti").select(named, none.cast(kind).alias("r"), ranked(TAKEN, 1, far).alias("n"))))
+    both = merged.groupBy("__key").agg(F.max("r").alias("r"), F.max("n").alias("n"), F.count(F.when(F.col("r.__src") == 0, 1)).alias("held"))
+    # ids are unique in the result: a match may bear the id of a row that is new
+    new = F.col("r").isNull() | (F.col("r.__kind") < TAKEN) | (F.col("r.__u") < F.when(F.col("n.__undated"), old_time).otherwise(F.col("n.__u")))
+    final = both.select(F.when(F.col("n").isNotNull() & new, F.col("n")).otherwise(F.col("r")).alias("r"), "held").select("r.*", "held").filter(F.col("__kind") != GONE)
+    final = final.withColumns({"updated": F.when(~F.col("__undated"), F.col("__u")), "__moved": (F.col("__src") > 0) | (F.col("held") > 1)})
+    return final.select(*cols, "__moved"), gone.filter(F.col("match").startswith("id:")).select(F.substr("match", F.lit(4)).alias("id"))
 
 
 def new_ids(merged: DataFrame, before: DataFrame, id_col: str = "id") -> DataFrame:

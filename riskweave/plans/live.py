@@ -37,14 +37,14 @@ def span(df, time):
     return df.agg(F.min(sec), F.max(sec)).first()
 
 
-def replay(spark, df, time, label, slices=3, late=None):
-    """*df* written as *slices* of its time span, one after the other, each by several tasks.
+def replay(spark, df, time, label, slices=3, late=None, columns=("*",)):
+    """*columns* of *df* written as *slices* of its time span, one after the other, each by several tasks.
 
     *late* marks rows that come up to twenty days behind: one slice later if a cut lies within.
     """
     folder = shared_dir(spark, label)
     for i in range(slices):
-        in_slice(df, time, slices, late).filter(F.col("slice") == i).drop("slice").repartition(PARTS).write.mode("append").parquet(folder)
+        in_slice(df, time, slices, late).filter(F.col("slice") == i).drop("slice").select(*columns).repartition(PARTS).write.mode("append").parquet(folder)
     return folder
 
 
@@ -203,7 +203,7 @@ def _(spark, sf):
     store = CatalogStore(spark, shared_dir(spark, "catalog"), base.schema, days=180)
     store.load(base)
     inc = incoming_rows(spark, sf)
-    rows = feeds.table_stream(spark, replay(spark, inc, "time", "revisions-src", 2, F.expr(UPSERT_LATE)), "*.parquet",
+    rows = feeds.table_stream(spark, replay(spark, inc, "time", "revisions-src", 2, F.expr(UPSERT_LATE), COLS), "*.parquet",
                               "id string, time timestamp_ntz, updated timestamp_ntz, latitude double, longitude double, depth double, mag double, net string", None, PARTS)
     upsert_stream(rows, store, shared_dir(spark, "catalog-cp"))
     return rounded(store.read(), keep=("depth",))

@@ -2,13 +2,13 @@
 
 Layout below one folder, everything by version (the number of the batch):
 
-- ``data/version=V/day=D/zone=Z``: rows of the partitions that version V rewrote;
-- ``ids/version=V/bucket=B``: where the ids of those partitions are now, or that they are gone;
+- ``data/version=V/day=D/zone=Z``: rows of the partitions that version V rewrote, and which of them it put there;
+- ``ids/version=V/bucket=B``: where the ids are that version V put somewhere, or that they are gone;
 - ``manifest/version=V``: one row for each rewritten partition, with the number of such rows.
 
 A version counts only when its manifest is complete, which is written last; so readers see a batch whole or
-not at all, and a replayed batch overwrites its own folders. A batch reads the partitions its rows can match
-and writes those that change, whatever the size of the catalog.
+not at all, and a replayed batch overwrites its own folders. A batch reads the partitions its rows can match,
+writes them, and takes away those that came out the same, whatever the size of the catalog.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskweave.operators.catalogs import MATCH_KM, MATCH_SECONDS, catalog_upsert, has_id
+from riskweave.operators.catalogs import MATCH_KM, MATCH_SECONDS, has_id, upsert_known, with_known
 from riskweave.session import cut_lineage
 from riskweave.streaming.feeds import drain
 
@@ -81,7 +81,7 @@ class CatalogStore:
             F.max_by(F.struct("version", "n"), "version").alias("m")).select(*PART, "m.version", "m.n")
 
     def _rows(self, paths: Sequence[str] = ()) -> DataFrame:
-        full = T.StructType([*self.schema.fields, T.StructField("version", T.IntegerType()), T.StructField("day", T.DateType()), T.StructField("zone", T.IntegerType())])
+        full = T.StructType([*self.schema.fields, T.StructField("__moved", T.BooleanType()), T.StructField("version", T.IntegerType()), T.StructField("day", T.DateType()), T.StructField("zone", T.IntegerType())])
         root = f"{self.path}/data"
         return self.spark.read.schema(full).option("basePath", root).parquet(*(paths or [root]))
 
@@ -100,22 +100,36 @@ class CatalogStore:
         last = known.join(wanted, "id", "left_semi").groupBy("id").agg(F.max_by(F.struct(*PART, "alive"), "version").alias("l"))
         return last.filter("l.alive").select("id", "l.day", "l.zone")
 
-    def _write(self, rows: DataFrame, ids: DataFrame, parts: DataFrame, version: int) -> None:
-        rows.hint("rebalance", *PART).write.mode("overwrite").partitionBy(*PART).parquet(f"{self.path}/data/version={version}")
+    def _write_rows(self, rows: DataFrame, version: int) -> DataFrame:
+        """The partitions of *rows* as data of *version*, read back from there."""
+        self.placed(rows).hint("rebalance", *PART).write.mode("overwrite").partitionBy(*PART).parquet(f"{self.path}/data/version={version}")
+        return self._written(version)
+
+    def _written(self, version: int) -> DataFrame:
+        return self._rows([f"{self.path}/data/version={version}"])
+
+    def _publish(self, ids: DataFrame, parts: DataFrame, version: int) -> None:
         ids.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int")).hint("rebalance", "bucket").write.mode("overwrite").partitionBy(
             "bucket").parquet(f"{self.path}/ids/version={version}")
         parts.write.mode("overwrite").parquet(f"{self.path}/manifest/version={version}")
 
-    @staticmethod
-    def _ids(rows: DataFrame, alive: bool) -> DataFrame:
-        return rows.filter(has_id()).select("id", *PART).withColumn("alive", F.lit(alive))
+    def _remove(self, version: int, parts: Sequence) -> None:
+        """Take away partitions that *version* wrote but does not publish."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for r in parts:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/data/version={version}/day={r['day']}/zone={r['zone']}")
+            path.getFileSystem(conf).delete(path, True)
 
     def load(self, rows: DataFrame) -> None:
         """Version 0: a whole catalog."""
-        rows = cut_lineage(self.placed(rows.select(*self.columns)))
-        parts = rows.groupBy(*PART).agg(F.count(F.lit(1)).alias("n"))
+        held = self._write_rows(rows.select(*self.columns, F.lit(True).alias("__moved")), 0)
+        parts = held.groupBy(*PART).agg(F.count(F.lit(1)).alias("n"))
         total = parts.agg(F.count(F.lit(1)).alias("parts"))
-        self._write(rows, self._ids(rows, True), parts.crossJoin(F.broadcast(total)), 0)
+        self._publish(self._moved(held), parts.crossJoin(F.broadcast(total)), 0)
+
+    @staticmethod
+    def _moved(rows: DataFrame) -> DataFrame:
+        return rows.filter(has_id() & F.col("__moved")).select("id", *PART, F.lit(True).alias("alive"))
 
     @staticmethod
     def _marks(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -130,19 +144,22 @@ class CatalogStore:
         partitions that the batch touches, never rows.
         """
         inc = cut_lineage(incoming.select(*self.columns))
-        wanted = self.reach(inc).unionByName(self._known_ids(inc, version).select(*PART)).distinct()
+        inc = with_known(inc, self._known_ids(inc, version))
+        wanted = self.reach(inc).unionByName(inc.filter("__known IS NOT NULL").select("__known.day", "__known.zone")).distinct()
         found = self.entries(version).filter("n > 0").join(wanted, PART, "left_semi").collect()
         paths = [f"{self.path}/data/version={r['version']}/day={r['day']}/zone={r['zone']}" for r in found]
         base = self._rows(paths).select(*self.columns, *PART) if paths else self.placed(self.spark.createDataFrame([], self.schema))
-        after = cut_lineage(self.placed(catalog_upsert(base.select(*self.columns), inc, self.columns)))
+        result, taken = upsert_known(base.select(*self.columns), inc, self.columns)
+        after = self._write_rows(result, version)
         old, new = self._marks(base, self.columns), self._marks(after, self.columns)
         both = old.select(*PART, F.struct("n", "x", "s").alias("old")).join(new.select(*PART, "n", F.struct("n", "x", "s").alias("new")), PART, "full")
-        changed = cut_lineage(both.filter(~F.col("old").eqNullSafe(F.col("new"))).select(*PART, F.coalesce("n", F.lit(0)).alias("n")))
+        both = cut_lineage(both.select(*PART, F.coalesce("n", F.lit(0)).alias("n"), F.col("old").eqNullSafe(F.col("new")).alias("same")))
+        changed = both.filter("NOT same").select(*PART, "n")
         count = changed.count()
-        rows, before = (d.join(F.broadcast(changed.select(*PART)), PART, "left_semi") for d in (after, base))
-        here = self._ids(rows, True)
-        gone = self._ids(before, False).join(here.select("id"), "id", "left_anti")
-        self._write(rows.select(*self.columns, *PART), here.unionByName(gone), changed.withColumn("parts", F.lit(count).cast("long")), version)
+        self._remove(version, both.filter("same").collect())
+        ids = self._moved(self._written(version))  # what is left are the partitions that changed
+        gone = taken.select("id", F.lit(None).cast("date").alias("day"), F.lit(None).cast("int").alias("zone"), F.lit(False).alias("alive"))
+        self._publish(ids.unionByName(gone), changed.withColumn("parts", F.lit(count).cast("long")), version)
         return {"read": len(paths), "written": count}
 
 

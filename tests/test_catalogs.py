@@ -1,6 +1,7 @@
 """Revisions, duplicates, the ledger, as-of joins with hot keys, and rule strictness."""
 
 import datetime as dt
+import math
 import random
 
 import numpy as np
@@ -169,3 +170,50 @@ def test_batch_rows_stand_in_few_cells(spark):
     sent, _ = cat.meeting_sides(inc, base, 5.0, 15.0, "row")
     assert sent.count() < 7 * 300
     assert all(r["match"] == r["row"] for r in cat.fuzzy_match(inc, base).collect())
+
+
+def upserted(base, batch):
+    """The rules of catalog_upsert, row by row; a row is (id, time, updated, latitude, longitude, depth, mag, net)."""
+    far, old = dt.datetime(9999, 12, 31), dt.datetime(1, 1, 1)
+    km = lambda a, b: 12742 * math.asin(math.sqrt(math.sin(math.radians(a[3] - b[3]) / 2) ** 2 + math.cos(math.radians(a[3])) * math.cos(
+        math.radians(b[3])) * math.sin(math.radians(a[4] - b[4]) / 2) ** 2))
+    name = lambda r: r[0] or ("row", *r)
+    known, held, taken = {r[0] for r in base if r[0]}, {}, {}
+    for r in base:
+        held.setdefault(name(r), []).append((False, r[2] or old, 0, r[1], r))
+    for r in batch:
+        if r[0] in known:
+            held[r[0]].append((False, r[2] or far, 1, r[1], r))
+            continue
+        near = [(km(r, b), name(b)) for b in base if abs((r[1] - b[1]).total_seconds()) <= 5 and abs(r[6] - b[6]) <= 0.5 and km(r, b) <= 15]
+        key, src = (min(near)[1], 2) if near else (("new", name(r)), 1)
+        held.setdefault(key, []).append((src == 2, r[2] or far, src, r[1], r))
+    for rows in held.values():
+        best = max(rows, key=lambda x: x[:4])
+        taken.setdefault(name(best[4]), []).append((best[4][2] or old, best[2], best[3], best[4]))
+    return sorted((max(rows, key=lambda x: x[:3])[3] for rows in taken.values()), key=repr)
+
+
+def test_upsert_against_the_rules_row_by_row(spark):
+    rng = random.Random(5)
+    second = iter(rng.sample(range(10 ** 6), 1000))
+    start = dt.datetime(2020, 1, 1)
+    def one(i, at):
+        return (i, at, rng.choice([None, start + dt.timedelta(days=400, seconds=next(second))]), rng.uniform(-80, 80), rng.uniform(-179, 179), 1.0, 5.0, "x")
+    base = [one(None if i % 6 == 0 else f"b{i}", start + dt.timedelta(seconds=1000 * i)) for i in range(90)]
+    batch = [one(rng.choice([None, "n1", "n2", f"b{i}"]), start + dt.timedelta(seconds=777 * i)) for i in range(60)]
+    for i, b in enumerate(base):  # near ones, several of a target, names shared with others
+        for _ in range(rng.randrange(3)):
+            near = one(rng.choice([None, f"n{rng.randrange(30)}", f"b{rng.randrange(90)}"]), b[1] + dt.timedelta(seconds=rng.uniform(-4, 4)))
+            batch.append((*near[:3], b[3] + rng.uniform(-0.05, 0.05), b[4], *near[5:]))
+    frames = [spark.createDataFrame(rows, DDL) for rows in (base, batch)]
+    got = cat.catalog_upsert(*frames, frames[0].columns).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == upserted(base, batch)
+
+
+def test_few_copies_of_a_batch_meet_the_base(spark):
+    """Cells are so wide that a row of the batch stands in little more than two of them, time and both axes together."""
+    rng = random.Random(12)
+    spots = [(i, dt.datetime(2020, 1, 1) + dt.timedelta(seconds=rng.uniform(0, 1e6)), rng.uniform(-80, 80), rng.uniform(-180, 180), 5.0) for i in range(300)]
+    frame = spark.createDataFrame(spots, "row long, time timestamp_ntz, latitude double, longitude double, mag double")
+    assert cat.meeting_sides(frame, frame, 5.0, 15.0, "row")[0].count() < 3 * 300

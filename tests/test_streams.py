@@ -174,3 +174,17 @@ def test_fuzzy_match_near_poles_and_across_the_date_line(spark):
     want = {r[0]: r[1] for r in pairs.groupBy("i.row").agg(F.min_by("b.row", F.struct("d", "b.row"))).collect()}
     got = {r["row"]: r["match"] for r in fuzzy_match(inc, base).collect()}
     assert got == want and len(want) == len(places)
+
+
+def test_a_batch_indexes_the_ids_it_put(spark):
+    rng = random.Random(9)
+    base = events(rng, 300, 0, 30)
+    store = CatalogStore(spark, shared_dir(spark, "cat"), spark.createDataFrame([], ROW).schema, degrees=90.0, days=400)
+    store.load(spark.createDataFrame(base, ROW))
+    one, near = base[17], base[40]
+    batch = [(one[0], one[1], T0 + dt.timedelta(days=900), one[3], one[4], one[5] + 0.3, "ak"), ("other", near[1], T0, near[3] + 0.01, near[4], near[5], "ak")]
+    store.merge(spark.createDataFrame(batch, ROW), 1)
+    put = spark.read.parquet(f"{store.path}/ids/version=1").collect()
+    assert sorted((r["id"], r["alive"]) for r in put) == sorted([(one[0], True), ("other", True), (near[0], False)])
+    store.merge(spark.createDataFrame([("other", near[1], T0 + dt.timedelta(days=901), near[3], near[4], 3.0, "us")], ROW), 2)
+    assert store.read().filter("id = 'other'").collect()[0]["net"] == "us" and store.read().count() == 300
