@@ -1,6 +1,7 @@
 """Operators against brute force on small tables: nulls, empty texts, ties, repeated rows, clashing names."""
 
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -11,6 +12,7 @@ import xxhash
 
 from riskweave.llm import (common, decontamination, linededup, mixing, neighbours, quoting, scoring, sharding, simhash,
                            toxicity, warc)
+from riskweave.session import shared_root
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -277,6 +279,43 @@ def test_fingerprints_of_long_lines_and_repeated_rows(spark):
     assert Counter(r.fp % 2 ** 64 for r in rows) == Counter(map(simhash_of_words, [long] + ["short line"] * 2 + ["same row here"] * 3))
 
 
+def test_pairs_of_long_lists_meet_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "CELL", 8)
+    monkeypatch.setattr(linededup, "AT_ONCE", 10)
+    rng = random.Random(21)
+    norm, root = {}, {}
+    for i in range(30):
+        x = words(rng, rng.randrange(3, 12))
+        norm[2 * i], norm[2 * i + 1] = x, x[:-1] + rng.choice(["", "qq", " and many more words than it had before"])
+        root[2 * i], root[2 * i + 1] = 2 * i, 2 * i + rng.randrange(2)
+    lists = {7: range(45), 8: range(30, 60), 9: range(3)}
+    rows = [(k, i, len(norm[i]), 0, len(held), root[i]) for k, held in lists.items() for i in held]
+    rest = spark.createDataFrame(rows, "list long, node long, size int, fp long, n long, root long")
+    texts = spark.createDataFrame(list(norm.items()), "node long, norm string").withColumn("part", linededup.part("node", 3))
+    want = {(i, j) for held in lists.values() for i in held for j in held if i < j and root[i] != root[j]
+            and edit_distance(norm[i], norm[j]) <= 0.2 * max(len(norm[i]), len(norm[j])) + 1e-9}
+    for n_texts in (1_000, 80):
+        got = linededup.met_in_cells(rest, texts, 3, n_texts, linededup.Stages(spark)).collect()
+        assert {(r.a, r.b) for r in got} == want and 3 < len(want) < 30
+
+
+def bytes_below(*folders):
+    return sum(os.lstat(f"{d}/{x}").st_size for top in folders for d, _, names in os.walk(top) for x in names)
+
+
+def test_texts_of_pairs_are_not_kept(spark):
+    rng = random.Random(31)
+    lines = ["".join(rng.choice("abc") for _ in range(160)) for _ in range(400)]
+    copies = {400 + i: 7 * i for i in range(20)}
+    lines += [lines[i][:-3] + "xyz" for i in copies.values()]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    folder = shared_root(spark).removeprefix("file://")
+    before = bytes_below(folder)
+    root = {int(r._id): r.root for r in linededup.line_groups(docs).collect()}
+    assert bytes_below(folder) - before < 2 * sum(map(len, lines))
+    assert all(root[i] == root[j] for i, j in copies.items()) and len(set(root.values())) == 400
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "u", "a\r\n\r\nWARC/1.1 b"), (2, "u", "a\r\n\r\nWARC/1.1 b"), (2, "u", "a\r\n\r\nWARC/1.1 b"), (None, None, None), (7, "é\nx", ""),
             (None, "q", "ü"), (3, "http://x", "\r\n\r\n"), (4, "http://x", "y" * 100_000)]
